@@ -14,6 +14,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(text: str) -> str:
+    """A SQL string literal holding exactly ``text``."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
     return F.col(quoted(name))
 
@@ -59,6 +64,12 @@ def join_groups(
 def one_row(stats: DataFrame) -> Column:
     """The columns of a one-row aggregate as one struct value, without a join.
 
-    Spark runs it as a scalar subquery: one row, once, handed to every task as a constant.
+    Spark runs it as a scalar subquery: one row, once, handed to every task as a constant. Where several
+    of its fields are used, put it into a column first (``with_row``): each mention is planned anew.
     """
     return stats.select(F.struct(*[col(c) for c in stats.columns]).alias("s")).scalar()
+
+
+def with_row(df: DataFrame, stats: DataFrame, name: str = "_row") -> DataFrame:
+    """Add a one-row aggregate to every row as struct ``name``."""
+    return df.withColumn(name, one_row(stats))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import as_list, col, one_row
+from plumbline.functions.frames import as_list, col, one_row, with_row
 from plumbline.operators.quantiles import quantiles
 
 
@@ -73,14 +73,15 @@ def compare(df: DataFrame, dim: str, a, b, metric: str, by: str | Sequence[str]
 def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
     """Equal-width bins over the range of the column with their row counts, empty bins included."""
     v = col(name).cast("double")
-    ends = one_row(df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")))
+    range_of = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    ends = F.col("_ends")
     width = (ends["hi"] - ends["lo"]) / bins
     at = F.coalesce(F.floor(F.try_divide(v - ends["lo"], width)), F.lit(0))
-    counts = df.filter(v.isNotNull()).groupBy(
+    counts = with_row(df.filter(v.isNotNull()).select(col(name)), range_of, "_ends").groupBy(
         F.least(at, F.lit(bins - 1).cast("bigint")).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
     axis = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return axis.join(counts, "bin", "left").select(
+    return with_row(axis.join(counts, "bin", "left"), range_of, "_ends").select(
         "bin",
         (ends["lo"] + F.col("bin") * width).alias("low"),
         (ends["lo"] + (F.col("bin") + 1) * width).alias("high"),
@@ -196,8 +197,8 @@ def hold_out(df: DataFrame, date: str, metric: str, by: str | Sequence[str] | No
         joined = rest.join(lines, by)
         slope, intercept = F.col("slope"), F.col("intercept")
     else:
-        line = one_row(lines)
-        joined, slope, intercept = rest, line["slope"], line["intercept"]
+        line = F.col("_line")
+        joined, slope, intercept = with_row(rest, lines, "_line"), line["slope"], line["intercept"]
     return joined.select(*keys, "period", "actual", (intercept + slope * x).alias("predicted"))
 
 
@@ -242,8 +243,8 @@ def anomalies(
 
 def benchmark(df: DataFrame, dim: str, metric: str) -> DataFrame:
     """Mean per segment against the mean over all rows."""
-    overall = one_row(df.agg(F.avg(col(metric)).alias("m")))["m"]
-    return df.groupBy(col(dim)).agg(F.avg(col(metric)).alias("segment_mean"), F.count(F.lit(1)).alias("n")).withColumns({
-        "overall_mean": overall,
-        "difference_pct": F.try_divide((F.col("segment_mean") - overall) * 100.0, overall),
-    })
+    segments = df.groupBy(col(dim)).agg(F.avg(col(metric)).alias("segment_mean"), F.count(F.lit(1)).alias("n"))
+    overall = F.col("overall_mean")
+    return segments.withColumn("overall_mean", one_row(df.agg(F.avg(col(metric)).alias("m")))["m"]).withColumn(
+        "difference_pct", F.try_divide((F.col("segment_mean") - overall) * 100.0, overall)
+    )

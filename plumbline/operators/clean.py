@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import DROP_COLUMN_ABOVE, DROP_ROWS_BELOW
-from plumbline.functions.frames import as_list, col, is_numeric, join_groups, one_row
+from plumbline.functions.frames import as_list, col, is_numeric, join_groups, with_row
 from plumbline.operators.ordered import running_sum
 from plumbline.operators.quantiles import most_frequent, wide_quantiles
 
@@ -20,8 +20,8 @@ def _with_stats(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     """Add the columns of ``stats``: per group by a join, for the whole table as a constant."""
     if by:
         return join_groups(df, stats, by)
-    row = one_row(stats)
-    return df.withColumns({c: row[c] for c in stats.columns})
+    row = F.col("_row")
+    return with_row(df, stats).withColumns({c: row[c] for c in stats.columns}).drop("_row")
 
 
 # missing values

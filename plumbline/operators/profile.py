@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import KEY_UNIQUE_SHARE, MAX_SAMPLES
-from plumbline.functions.frames import as_list, col, is_integral, is_numeric, is_temporal
+from plumbline.functions.frames import (
+    as_list, col, is_integral, is_numeric, is_temporal, quoted, text_literal, with_row,
+)
 from plumbline.operators.quantiles import quantiles_of_counts
 
 LONG_TEXT = 64
+SKETCH_ACCURACY = 1000  # rank error of sketched quartiles: one in a thousand rows
 
 
 def describe_schema(df: DataFrame) -> DataFrame:
@@ -35,123 +39,129 @@ def sample_rows(df: DataFrame, n: int = MAX_SAMPLES, order_by: str | Sequence[st
     return (df.orderBy(*keys) if keys else df).limit(n)
 
 
-def _text_identity(value: Column) -> Column:
-    """The text itself, or the digest of a long one so that distinct counting ships little."""
-    return F.when(F.length(value) > LONG_TEXT, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
-
-
-def _cell(field: T.StructField) -> Column:
-    """One cell as (column name, text identity, whole number, number)."""
-    c, kind = col(field.name), field.dataType
-    text, whole, number = F.lit(None), F.lit(None), F.lit(None)
+def _cell(field: T.StructField) -> str:
+    """One cell as (column name, text identity, whole number, number), in SQL text."""
+    c, kind = quoted(field.name), field.dataType
+    text, whole, number = "NULL", "NULL", "NULL"
     if is_integral(kind):
         whole, number = c, c
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        number = F.when(~F.isnan(c), c)
-        text = F.when(F.isnan(c), F.lit("NaN"))
+        number = f"nanvl({c}, NULL)"
+        text = f"CASE WHEN isnan({c}) THEN 'NaN' END"
     elif isinstance(kind, T.DecimalType):
-        text, number = c.cast("string"), c
+        text, number = c, c
     elif is_temporal(kind):
-        whole = F.unix_micros(c.cast("timestamp"))
+        whole = f"unix_micros(CAST({c} AS TIMESTAMP))"
     elif isinstance(kind, T.BooleanType):
-        whole = c.cast("int")
-    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-        text = F.when(c.isNotNull(), F.sha2(F.to_json(c), 256))
+        whole = f"CAST({c} AS INT)"
+    elif _is_nested(kind):
+        text = f"sha2(to_json({c}), 256)"
     elif isinstance(kind, T.BinaryType):
-        text = F.sha2(c, 256)
+        text = f"sha2({c}, 256)"
     else:
-        text = _text_identity(c.cast("string"))
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        text.cast("string").alias("txt"),
-        whole.cast("bigint").alias("whole"),
-        number.cast("double").alias("num"),
+        # a long text is told apart by its digest, so that distinct counting ships little
+        text = f"CASE WHEN length({c}) > {LONG_TEXT} THEN concat('#', sha2({c}, 256)) ELSE CAST({c} AS STRING) END"
+    return (
+        f"named_struct('column_name', {text_literal(field.name)}, 'txt', CAST({text} AS STRING), "
+        f"'whole', CAST({whole} AS BIGINT), 'num', CAST({number} AS DOUBLE))"
     )
 
 
 def cell_counts(df: DataFrame) -> DataFrame:
     """How often each distinct value of each column occurs: one scan, one map-side-combined shuffle."""
-    cells = df.select(F.inline(F.array(*[_cell(f) for f in df.schema.fields])))
+    cells = df.select(F.expr(f"inline(array({', '.join(_cell(f) for f in df.schema.fields)}))"))
     filled = cells.filter("txt IS NOT NULL OR whole IS NOT NULL OR num IS NOT NULL")
     return filled.groupBy("column_name", "txt", "whole", "num").agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _base_stats(df: DataFrame, exact: bool) -> DataFrame:
-    """One aggregation over all columns, turned into a row per column."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+def _is_nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.StructType, T.MapType))
+
+
+def _base_stats(df: DataFrame, distinct: bool, quartiles: bool) -> DataFrame:
+    """A row per column: plain statistics in one aggregation, sketches (where asked for) in a second one.
+
+    Plain figures compile to one tight loop. Sketches in the same aggregation would take that away and cost
+    several times the processor time, far more than reading the columns again. The expressions are
+    written as SQL text, since a wide table needs very many of them.
+    """
+    plain, sketches = ["count(1) AS n"], []
     for i, field in enumerate(df.schema.fields):
-        c = col(field.name)
-        aggs.append(F.count(c).alias(f"count_{i}"))
-        if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType, T.BinaryType)):
-            aggs += [F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}")]
+        c = quoted(field.name)
+        plain.append(f"count({c}) AS count_{i}")
+        if not _is_nested(field.dataType) and not isinstance(field.dataType, T.BinaryType):
+            plain += [f"min({c}) AS min_{i}", f"max({c}) AS max_{i}"]
         if is_numeric(field.dataType):
-            aggs += [F.avg(c).alias(f"avg_{i}"), F.stddev_samp(c).alias(f"std_{i}")]
-            if not exact:
-                aggs.append(F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75], 10000).alias(f"q_{i}"))
-        if not exact:
-            seen = c if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(c)
-            aggs.append(F.approx_count_distinct(seen).alias(f"unique_{i}"))
-    wide = df.agg(*aggs)
-    have = set(wide.columns)
-
-    def get(name: str, kind: str) -> Column:
-        return (F.col(name) if name in have else F.lit(None)).cast(kind)
+            plain += [f"avg({c}) AS avg_{i}", f"stddev_samp({c}) AS std_{i}"]
+            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+                plain.append(f"coalesce(max(isnan({c})), false) AS nan_{i}")
+            if quartiles:
+                sketches.append(
+                    f"percentile_approx(CAST({c} AS DOUBLE), array(0.25, 0.5, 0.75), {SKETCH_ACCURACY}) AS q_{i}"
+                )
+        if distinct:
+            seen = f"to_json({c})" if _is_nested(field.dataType) else c
+            sketches.append(f"approx_count_distinct({seen}) AS unique_{i}")
+    wide = df.agg(*[F.expr(e) for e in plain])
+    have = {name: name for name in wide.columns}
+    if sketches:
+        sketch = df.agg(*[F.expr(e) for e in sketches])
+        wide = with_row(wide, sketch, "_sketch")
+        have |= {name: f"_sketch.{name}" for name in sketch.columns}
+
+    def get(name: str, kind: str) -> str:
+        return f"CAST({have.get(name, 'NULL')} AS {kind})"
 
     rows = []
     for i, field in enumerate(df.schema.fields):
-        q = f"q_{i}"
-        rows.append(F.struct(
-            F.lit(i).alias("position"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("column_type"),
-            get(f"min_{i}", "string").alias("min"),
-            get(f"max_{i}", "string").alias("max"),
-            get(f"unique_{i}", "bigint").alias("unique"),
-            get(f"avg_{i}", "double").alias("avg"),
-            get(f"std_{i}", "double").alias("std"),
-            *[
-                (F.get(F.col(q), F.lit(j)) if q in have else F.lit(None)).cast("double").alias(name)
-                for j, name in enumerate(("q25", "q50", "q75"))
-            ],
-            F.col(f"count_{i}").alias("present"),
-            F.col("n").alias("n"),
-        ))
-    return wide.select(F.inline(F.array(*rows)))
+        q = get(f"q_{i}", "array<double>")
+        rows.append(
+            f"named_struct('column_name', {text_literal(field.name)}, "
+            f"'column_type', {text_literal(field.dataType.simpleString())}, "
+            f"'min', {get(f'min_{i}', 'string')}, 'max', {get(f'max_{i}', 'string')}, "
+            f"'unique', {get(f'unique_{i}', 'bigint')}, 'avg', {get(f'avg_{i}', 'double')}, "
+            f"'std', {get(f'std_{i}', 'double')}, 'q25', get({q}, 0), 'q50', get({q}, 1), 'q75', get({q}, 2), "
+            f"'has_nan', {get(f'nan_{i}', 'boolean')}, 'present', count_{i}, 'n', n)"
+        )
+    return wide.select(F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def summarize(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: min, max, distinct, mean, deviation, quartiles, row count and null percentage.
 
-    The default is one aggregation with sketches for distinct counts and quartiles; ``exact`` adds one
-    shuffle of value counts that serves both.
+    The default sketches distinct counts and quartiles and moves next to nothing between tasks;
+    ``exact`` adds one shuffle of value counts that serves both.
     """
-    base = _base_stats(df, exact)
+    base = _base_stats(df, distinct=not exact, quartiles=not exact)
     if exact:
-        counts = cell_counts(df)
-        unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique"))
-        numbers = counts.filter("num IS NOT NULL").select("column_name", F.col("num").alias("_v"), "_n")
-        q = (
-            quantiles_of_counts(numbers, [0.25, 0.5, 0.75], "column_name")
-            .groupBy("column_name")
-            .agg(*[
-                F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
-            ])
-        )
-        base = (
-            base.drop("unique", "q25", "q50", "q75")
-            .join(unique, "column_name", "left")
-            .join(q, "column_name", "left")
-        )
+        base = base.drop("unique", "q25", "q50", "q75").join(_exact_figures(df), "column_name", "left")
+    # the value counts leave NaN out; it is one more value
+    unique = F.coalesce("unique", F.lit(0)) + (F.when(F.col("has_nan"), 1).otherwise(0) if exact else 0)
     return base.select(
-        "column_name", "column_type", "min", "max",
-        F.coalesce("unique", F.lit(0)).cast("bigint").alias("approx_unique"),
+        "column_name", "column_type", "min", "max", unique.cast("bigint").alias("approx_unique"),
         "avg", "std", "q25", "q50", "q75",
         F.col("n").alias("count"),
         F.try_divide((F.col("n") - F.col("present")) * 100.0, F.col("n")).alias("null_percentage"),
     )
 
 
+def _exact_figures(df: DataFrame) -> DataFrame:
+    """Distinct counts of all columns and quartiles of the numeric ones from one shuffle of value counts each."""
+    numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    others = [c for c in df.columns if c not in numbers]
+    parts = []
+    if numbers:
+        counts = cell_counts(df.select(*[col(c) for c in numbers])).withColumnRenamed("num", "_v")
+        long = quantiles_of_counts(counts.filter("_v IS NOT NULL"), [0.25, 0.5, 0.75], "column_name")
+        parts.append(long.groupBy("column_name").agg(F.max("distinct_count").alias("unique"), *[
+            F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+        ]))
+    if others:
+        counts = cell_counts(df.select(*[col(c) for c in others]))
+        parts.append(counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def summary_as_text(summary: DataFrame) -> DataFrame:
     """The summary with every cell rendered: numbers to three places, missing as N/A, line breaks removed."""
 
@@ -181,7 +191,7 @@ def profile_columns(
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name)
             for f in df.schema.fields
         ])
-    base = _base_stats(df, exact)
+    base = _base_stats(df, distinct=not exact, quartiles=False)
     if exact:
         unique = cell_counts(df).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique"))
         base = base.drop("unique").join(unique, "column_name", "left")
@@ -240,9 +250,13 @@ def text_lengths(df: DataFrame) -> DataFrame:
 
 
 def infer_semantic_types(profile: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """Fill ``semantic_type`` by name, type and uniqueness; the first rule that applies wins."""
+    """Fill ``semantic_type`` by name, type and uniqueness; the first rule that applies wins.
+
+    A fractional number is never taken for an identifier, however unique its values.
+    """
     name, dtype = F.lower("name"), F.col("dtype")
     numeric = dtype.rlike(r"^(tinyint|smallint|int|bigint|float|double|decimal)")
+    fractional = dtype.rlike("^(float|double|decimal)")
     if lengths is not None:
         profile = profile.join(lengths, "name", "left")
     else:
@@ -257,7 +271,7 @@ def infer_semantic_types(profile: DataFrame, lengths: DataFrame | None = None) -
         .when(
             dtype.rlike("^(date|timestamp)") | name.rlike("(^|_)(date|time|ts|day|month|year)($|_)"), "date"
         )
-        .when(F.col("is_primary_key") | name.rlike("(^|_)(id|key)$"), "identifier")
+        .when((F.col("is_primary_key") & ~fractional) | name.rlike("(^|_)(id|key)$"), "identifier")
         .when(numeric & name.rlike("price|cost|revenue|sales|amount|bal|salary|charge"), "currency")
         .when(numeric & name.rlike("pct|percent|rate|ratio|discount|tax"), "percentage")
         .when(name.rlike("country|region|nation|city|state|zip|lat|lon"), "geographic")

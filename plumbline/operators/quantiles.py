@@ -34,17 +34,23 @@ def value_counts(df: DataFrame, value: str, by: str | Sequence[str] | None = Non
 
 
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: str | Sequence[str] | None = None) -> DataFrame:
-    """Interpolated quantiles of a ``value_counts`` frame, one row per group and probability."""
+    """Interpolated quantiles of a ``value_counts`` frame, one row per group and probability.
+
+    ``distinct_count`` is the number of rows of ``counts`` in the group.
+    """
     by = as_list(by)
     keys = [col(c) for c in by]
     counts = counts.withColumn("_slot", _slot(F.col("_v")))
     ordered = Window.partitionBy(*keys).orderBy("_slot") if keys else Window.orderBy("_slot")
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     # one row per group and slot from here on, not per value
-    slots = counts.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_in_slot"))
-    slots = slots.withColumn("_upto", F.sum("_in_slot").over(ordered)).withColumn(
-        "_total", F.sum("_in_slot").over(whole)
+    slots = counts.groupBy(*keys, "_slot").agg(
+        F.sum("_n").alias("_in_slot"), F.count(F.lit(1)).alias("_values_in_slot")
     )
+    slots = slots.withColumns({
+        "_upto": F.sum("_in_slot").over(ordered), "_total": F.sum("_in_slot").over(whole),
+        "_values": F.sum("_values_in_slot").over(whole),
+    })
     wanted = F.flatten(F.array(*[
         F.array(
             F.struct(
@@ -65,11 +71,13 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: str | Seq
         "_wanted",
         F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto"))),
     ).filter(F.size("_wanted") > 0)
-    picked = join_groups(counts, slots.select(*keys, "_slot", "_before", "_wanted"), [*by, "_slot"], "inner")
-    in_slot = Window.partitionBy(*keys, F.col("_slot")).orderBy("_v")
+    picked = join_groups(
+        counts, slots.select(*keys, "_slot", "_before", "_wanted", "_values"), [*by, "_slot"], "inner"
+    )
+    in_slot = Window.partitionBy(*keys, F.col("_slot")).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = picked.withColumn("_end", F.col("_before") + F.sum("_n").over(in_slot))
     hits = picked.select(
-        *keys, "_v",
+        *keys, "_v", "_values",
         F.explode(
             F.filter(
                 "_wanted",
@@ -81,9 +89,10 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: str | Seq
         F.max(F.when(F.col("w.part") == 0, F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("w.part") == 1, F.col("_v"))).alias("_hi"),
         F.max("w.at").alias("_at"),
+        F.max("_values").alias("distinct_count"),
     )
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
-    return ends.select(*keys, "prob", value.alias("value"))
+    return ends.select(*keys, "prob", value.alias("value"), "distinct_count")
 
 
 def quantiles(
@@ -96,7 +105,7 @@ def quantiles(
     """Quantiles per group in long form (group columns, ``prob``, ``value``)."""
     by = as_list(by)
     if exact:
-        return quantiles_of_counts(value_counts(df, value, by), probs, by)
+        return quantiles_of_counts(value_counts(df, value, by), probs, by).drop("distinct_count")
     keys = [col(c) for c in by]
     wide = df.groupBy(*keys).agg(
         F.percentile_approx(col(value).cast("double"), [float(p) for p in probs], 10000).alias("_q")

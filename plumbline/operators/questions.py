@@ -37,10 +37,13 @@ def classify_questions(df: DataFrame, text: str, whole_word: bool = False) -> Da
 
     Phrases match inside words as well (``order`` in ``border``) unless ``whole_word`` is set.
     """
-    lower = F.lower(F.coalesce(col(text), F.lit("")))
-    return df.withColumn("intent", _first_match(lower, INTENT_PHRASES, DEFAULT_INTENT, whole_word)).withColumn(
-        "domain", _first_match(lower, DOMAIN_PHRASES, DEFAULT_DOMAIN, whole_word)
-    )
+    # a column of its own, so that the text is lower-cased once and not per phrase
+    lowered = df.withColumn("_lower", F.lower(F.coalesce(col(text), F.lit(""))))
+    lower = F.col("_lower")
+    return lowered.withColumns({
+        "intent": _first_match(lower, INTENT_PHRASES, DEFAULT_INTENT, whole_word),
+        "domain": _first_match(lower, DOMAIN_PHRASES, DEFAULT_DOMAIN, whole_word),
+    }).drop("_lower")
 
 
 def extract_time_phrase(df: DataFrame, text: str) -> DataFrame:

@@ -22,7 +22,7 @@ def summarize_result(
 ) -> DataFrame:
     """One row: row count, column names and at most five sample rows as JSON."""
     head = sample_rows(df, MAX_SAMPLES, order_by)
-    shown = one_row(head.agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in df.columns]))).alias("rows")))
+    shown = one_row(head.agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})).alias("rows")))
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(query_id).alias("query_id"),
         F.lit(path).alias("result_path"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import DEFAULT_DOMAIN, DEFAULT_INTENT, DOMAIN_PHRASES, INTENT_PHRASES
 from plumbline.operators import analyses, questions
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread_table, table
 
 
 def orders_with_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def question_classes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = questions.classify_questions(table(spark, sf_dir, "documents").select("text"), "text")
+    classes = questions.classify_questions(spread_table(spark, sf_dir, "documents").select("text"), "text")
     return classes.groupBy("intent", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 

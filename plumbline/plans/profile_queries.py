@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import CONSUMER_FIELDS
 from plumbline.operators import profile
-from plumbline.plans.registry import query, table
+from plumbline.plans.registry import query, spread_table, table
 
 COLUMNS = {
     "customer": [
@@ -78,7 +78,7 @@ def _summary(name: str) -> None:
     @query(f"profile_summary_{name}", _summary_sql(name))
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(
-            profile.summarize(table(spark, sf_dir, name), exact=True), "avg", "std", "q25", "q50", "q75"
+            profile.summarize(spread_table(spark, sf_dir, name), exact=True), "avg", "std", "q25", "q50", "q75"
         )
 
 
@@ -89,7 +89,7 @@ _summary("lineitem")
 @query("profile_summary_sketch")
 def profile_summary_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default summary: one aggregation with sketches (its closeness to the exact one is unit-tested)."""
-    return profile.summarize(table(spark, sf_dir, "lineitem"))
+    return profile.summarize(spread_table(spark, sf_dir, "lineitem"))
 
 
 def _profile_sql(name: str, key: str, where: str = "") -> str:
@@ -122,7 +122,7 @@ def profile_columns_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("profile_columns_orders", _profile_sql("orders", "o_orderkey"))
 def profile_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_profile(profile.profile_columns(table(spark, sf_dir, "orders"), order_by="o_orderkey"))
+    return _flat_profile(profile.profile_columns(spread_table(spark, sf_dir, "orders"), order_by="o_orderkey"))
 
 
 @query("profile_empty_table", _profile_sql("customer", "c_custkey", "WHERE c_acctbal > 1e12"))
@@ -152,7 +152,7 @@ def _typed(df: DataFrame, entities: list[str] | None = None) -> DataFrame:
     """
     WITH shares AS (
       SELECT count(DISTINCT c_custkey) / count(*) AS k, count(DISTINCT c_name) / count(*) AS n,
-        count(DISTINCT c_acctbal) / count(*) AS a, count(DISTINCT c_mktsegment) / count(*) AS m,
+        count(DISTINCT c_mktsegment) / count(*) AS m,
         avg(length(c_name)) AS ln, avg(length(c_mktsegment)) AS lm
       FROM customer)
     SELECT 'c_custkey' AS name, CASE WHEN k > 0.99 THEN 'identifier' ELSE 'metric' END AS semantic_type,
@@ -160,8 +160,7 @@ def _typed(df: DataFrame, entities: list[str] | None = None) -> DataFrame:
     UNION ALL SELECT 'c_name', CASE WHEN n > 0.99 THEN 'identifier' WHEN ln > 50 THEN 'text_description'
       WHEN n <= 0.5 THEN 'dimension' ELSE 'unknown' END, 'C Name', false, false FROM shares
     UNION ALL SELECT 'c_nationkey', 'geographic', 'C Nationkey', false, false FROM shares
-    UNION ALL SELECT 'c_acctbal', CASE WHEN a > 0.99 THEN 'identifier' ELSE 'currency' END, 'C Acctbal', true, false
-      FROM shares
+    UNION ALL SELECT 'c_acctbal', 'currency', 'C Acctbal', true, false FROM shares
     UNION ALL SELECT 'c_mktsegment', CASE WHEN lm > 50 THEN 'text_description' WHEN m <= 0.5 THEN 'dimension'
       ELSE 'unknown' END, 'C Mktsegment', false, false FROM shares
     """,
@@ -181,7 +180,7 @@ def profile_semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def profile_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.compact_profile(profile.profile_columns(table(spark, sf_dir, "orders"), order_by="o_orderkey"))
+    return profile.compact_profile(profile.profile_columns(spread_table(spark, sf_dir, "orders"), order_by="o_orderkey"))
 
 
 @query(

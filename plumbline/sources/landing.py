@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.fixed_values import MAX_UPLOAD_BYTES
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _rows_in_footer(footers: pd.Series) -> pd.Series:
     """Row count from the closing bytes of a Parquet file."""
 
@@ -62,8 +65,7 @@ def _rows(content: Column, text: Column, kind: Column) -> Column:
         F.when(kind == "parquet", _rows_in_footer(footer))
         .when(kind == "csv", F.greatest(F.lit(0), lines - 1))
         .when((kind == "json") & body.startswith("["), F.json_array_length(text))
-        .when((kind == "json") & (filled > 1) & F.try_parse_json(text).isNull(), filled)
-        .when((kind == "json") & (filled > 1) & F.from_json(text, "map<string,string>").isNull(), filled)
+        .when((kind == "json") & (filled > 1), filled)  # an estimate: one object over several lines counts its lines
         .when(kind == "json", one_document)
         .when(kind.isNotNull(), F.lit(1))
         .otherwise(F.lit(0))
@@ -71,6 +73,11 @@ def _rows(content: Column, text: Column, kind: Column) -> Column:
     )
 
 
+def _plain_path(listed: str) -> str:
+    """A listed file address as the source's ``path`` column writes it."""
+    return re.sub(r"^file:/+", "file:/", unquote(listed))
+
+
 def catalog_files(spark: SparkSession, folder: str, max_bytes: int = MAX_UPLOAD_BYTES, glob: str = "*") -> DataFrame:
     """Path, size, kind by content, whether the extension disagrees, and a row estimate for every file.
 
@@ -85,9 +92,15 @@ def catalog_files(spark: SparkSession, folder: str, max_bytes: int = MAX_UPLOAD_
     large = files.filter(F.col("length") > max_bytes).select(
         "path", "length", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("row_estimate")
     )
+    # the source passes over empty files, so those come from the file listing, which the driver holds anyway
+    listed = [(_plain_path(name),) for name in files.inputFiles()]
+    named_only = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("string").alias("kind"),
+        F.lit(0).cast("bigint").alias("row_estimate"),
+    )
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     named = F.when(extension.isin("jsonl", "ndjson"), "json").otherwise(extension)
-    return small.unionByName(large).select(
+    return small.unionByName(large).unionByName(named_only).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
         "path",
         F.col("length").alias("size_bytes"),

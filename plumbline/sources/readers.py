@@ -36,13 +36,15 @@ def read_table(
     schema: T.StructType | str | None = None,
     sampling_ratio: float = 1.0,
     describe: bool = False,
+    spread: bool = False,
 ) -> DataFrame:
     """Read files of one kind; ``path`` may name any store Spark reaches (``s3a://``, ``hdfs://`` ...).
 
     Text formats without ``schema`` are scanned to infer one (a share of them with
     ``sampling_ratio``); cells that do not fit become NULL. Newline-delimited JSON stays splittable; only a
     file that opens with ``[`` is read as one document. With ``describe`` the load envelope is
-    returned instead: table name, row count, column count and column names.
+    returned instead: table name, row count, column count and column names. ``spread`` is for heavy
+    per-row work on a table stored in fewer pieces than there are cores; see ``spread_rows``.
     """
     kind = file_kind(kind)
     if kind == "parquet":
@@ -58,7 +60,18 @@ def read_table(
             df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
         else:
             df = reader.option("multiLine", _starts_with_array(spark, path)).json(path)
-    return load_envelope(df, path.rstrip("/").rsplit("/", 1)[-1]) if describe else df
+    if describe:
+        return load_envelope(df, path.rstrip("/").rsplit("/", 1)[-1])
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain file scan to all cores when the files come as fewer splits than that.
+
+    A scan with so few splits is small, so the extra shuffle is bounded; a large table is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def load_envelope(df: DataFrame, table_name: str) -> DataFrame:
