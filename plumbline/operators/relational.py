@@ -72,23 +72,28 @@ def run_batch(
     timeout_s: float = 10.0,
     parallel: int = 4,
 ) -> DataFrame:
-    """Run several queries side by side; one that fails or overruns its time does not stop the rest."""
+    """Run several queries side by side; one that fails or overruns its time does not stop the rest.
+
+    The time of a query includes waiting for cores, so set ``parallel`` to what the cluster can run at once.
+    """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
+    context = spark.sparkContext
     seats = threading.Semaphore(parallel)
     outcomes: list[tuple] = []
 
     def work(query_id: str, text: str) -> None:
         tag = f"batch-{uuid.uuid4().hex}"
         with seats:
-            spark.addTag(tag)
-            alarm = threading.Timer(timeout_s, lambda: spark.interruptTag(tag))
+            context.addJobTag(tag)
+            context.setLocalProperty("spark.scheduler.pool", tag)  # its own share under the FAIR scheduler
+            alarm = threading.Timer(timeout_s, context.cancelJobsWithTag, [tag])
             alarm.start()
             try:
                 outcomes.append(_run(spark, query_id, text, base))
             finally:
                 alarm.cancel()
-                spark.removeTag(tag)
+                context.removeJobTag(tag)
 
     threads = [InheritableThread(target=work, args=item) for item in queries.items()]
     for t in threads:

@@ -57,7 +57,7 @@ def budget_status(usage: DataFrame, limits: DataFrame) -> DataFrame:
     limit = F.col("daily_limit")
     return usage.join(limits, "provider", "left").withColumns({
         "used_pct": F.try_divide(F.col("used") * 100.0, limit),
-        "remaining": F.greatest(limit - F.col("used"), F.lit(0.0)),
+        "remaining": F.when(limit.isNotNull(), F.greatest(limit - F.col("used"), F.lit(0.0))),
         "is_exhausted": F.coalesce(F.col("used") >= limit * EXHAUSTED_AT, F.lit(False)),
     })
 

@@ -49,8 +49,9 @@ def _kind(content: Column, text: Column) -> Column:
 
 
 def _rows(content: Column, text: Column, kind: Column) -> Column:
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    lines = breaks + F.when(text.endswith("\n"), 0).otherwise(1)
+    raw = F.decode(content, "ISO-8859-1")  # one character per byte, so that damaged text keeps its line ends
+    breaks = F.length(raw) - F.length(F.replace(raw, F.lit("\n"), F.lit("")))
+    lines = breaks + F.when(raw.endswith("\n"), 0).otherwise(1)
     filled = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
     body = F.regexp_replace(text, r"^\s+", "")
     lists = F.filter(

@@ -31,7 +31,7 @@ def test_run_query_envelope(spark, tmp_path):
 
 def test_batch_stops_slow_query(spark, tmp_path):
     slow = "SELECT count(*) AS n FROM range(0, 4000000000000) WHERE sqrt(id) % 7 = 3"
-    out = relational.run_batch(spark, {"slow": slow, "fast": "SELECT 1 AS one"}, str(tmp_path), timeout_s=8)
+    out = relational.run_batch(spark, {"slow": slow, "fast": "SELECT 1 AS one"}, str(tmp_path), timeout_s=8, parallel=1)
     got = {r["query_id"]: r["success"] for r in out.collect()}
     assert got == {"slow": False, "fast": True}
 
