@@ -53,8 +53,7 @@ KINDS = {
 }
 
 
-def differences(spark, con, sf_dir, build, sql) -> list[str]:
-    df = build(spark, sf_dir)
+def differences(df, con, sql) -> list[str]:
     got = df.collect()
     res = con.execute(sql)
     names = [d[0] for d in res.description]
@@ -95,7 +94,7 @@ if __name__ == "__main__":
         start = time.time()
         try:
             if name in sqls:
-                notes = differences(spark, con, sf, build, sqls[name])
+                notes = differences(build(spark, sf), con, sqls[name])
             else:
                 rows = build(spark, sf).count()
                 notes = [] if rows else ["no rows"]
