@@ -20,6 +20,7 @@ CHUNK = "_chunk"
 TIME_SLOTS = 100_000
 SLOTS_PER_E_FOLD = 4096
 MAX_BROADCAST_SLOTS = 1_000_000
+MAX_BROADCAST_CHUNKS = 20_000
 
 
 def _position(df: DataFrame, name: str) -> Column:
@@ -28,11 +29,11 @@ def _position(df: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
-def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int) -> DataFrame | None:
-    """Add ``_chunk``, or return None when no key holds more than ``rows_per_chunk`` rows.
+def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int) -> tuple[DataFrame, int] | None:
+    """Add ``_chunk`` and bound the number of chunks, or return None when no key exceeds ``rows_per_chunk`` rows.
 
     Chunks follow a fine histogram of the large keys, so an uneven spread over the ordering column is
-    evened out. Rows of all other keys are chunk 0 of their key.
+    evened out. Rows of all other keys are chunk 0; the large keys' chunks count from 1.
     """
     by = list(by)
     spot = _position(df, order)
@@ -40,7 +41,9 @@ def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(spot).alias("_lo"), F.max(spot).alias("_hi")
     ).filter(F.col("_rows") > rows_per_chunk)
-    found = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+    found = sizes.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")
+    ).first()
     if found["n"] == 0:
         return None
     lo, hi = found["lo"], found["hi"]
@@ -63,7 +66,14 @@ def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int
     if found["n"] * slots <= MAX_BROADCAST_SLOTS:  # number of large keys is known here, so this bounds the table
         chunk_of = F.broadcast(chunk_of)
     joined = join_groups(slotted, chunk_of, [*by, "_slot"])
-    return joined.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).drop("_slot")
+    chunks = found["rows"] // rows_per_chunk + found["n"]
+    return joined.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).drop("_slot"), chunks
+
+
+def _join_carried(rows: DataFrame, carried: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
+    """Bring what crosses chunk borders to the rows; broadcast while the known number of chunks is small."""
+    side = F.broadcast(carried) if chunks <= MAX_BROADCAST_CHUNKS else carried
+    return join_groups(rows, side, [*by, CHUNK])
 
 
 def neighbour(
@@ -83,14 +93,15 @@ def neighbour(
     packed = F.struct(*[col(c) for c in cols])
     sort = [col(c) for c in order]
     keys = [col(c) for c in by]
-    rows = add_chunks(df, by, order[0], rows_per_chunk)
-    if rows is None:
+    cut = add_chunks(df, by, order[0], rows_per_chunk)
+    if cut is None:
         return df.withColumn(name, shift(packed).over(Window.partitionBy(*keys).orderBy(*sort)))
+    rows, chunks = cut
     edge = F.max_by if step == "previous" else F.min_by
     local = rows.withColumn(name, shift(packed).over(Window.partitionBy(*keys, CHUNK).orderBy(*sort)))
-    edges = rows.groupBy(*keys, CHUNK).agg(edge(packed, F.struct(*sort)).alias("_edge"))
+    edges = rows.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(edge(packed, F.struct(*sort)).alias("_edge"))
     carried = edges.withColumn("_carry", shift("_edge").over(Window.partitionBy(*keys).orderBy(CHUNK))).drop("_edge")
-    joined = join_groups(local, carried, [*by, CHUNK])
+    joined = _join_carried(local, carried, by, chunks)
     return joined.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_carry", CHUNK)
 
 
@@ -107,20 +118,22 @@ def running_sum(
     keys = [col(c) for c in by]
     sort = [col(c) for c in order]
     upto = F.sum(col(value))
-    rows = add_chunks(df, by, order[0], rows_per_chunk)
-    if rows is None:
+    cut = add_chunks(df, by, order[0], rows_per_chunk)
+    if cut is None:
         whole = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, upto.over(whole))
+    rows, chunks = cut
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*keys, CHUNK)
+        rows.filter(F.col(CHUNK) > 0)
+        .groupBy(*keys, CHUNK)
         .agg(upto.alias("_in_chunk"))
         .withColumn("_offset", F.coalesce(F.sum("_in_chunk").over(before), F.lit(0)))
         .drop("_in_chunk")
     )
-    summed = join_groups(rows.withColumn(name, upto.over(inside)), offsets, [*by, CHUNK])
-    return summed.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset", CHUNK)
+    summed = _join_carried(rows.withColumn(name, upto.over(inside)), offsets, by, chunks)
+    return summed.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset", CHUNK)
 
 
 def row_position(
@@ -200,16 +213,17 @@ def as_of_join(
     both = a.unionByName(b)
     sort = [col(on), F.col("_side"), F.col("_tie")]
     latest = F.last("_r", ignorenulls=True)
-    rows = add_chunks(both, by, on, rows_per_chunk)
-    if rows is None:
+    cut = add_chunks(both, by, on, rows_per_chunk)
+    if cut is None:
         upto = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(name, latest.over(upto)).filter("_side = 1").select("_l.*", name)
+    rows, chunks = cut
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_hit", latest.over(inside)).filter("_side = 1")
-    edges = rows.groupBy(*keys, CHUNK).agg(
+    edges = rows.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(
         F.max_by("_r", F.when(F.col("_side") == 0, F.struct(col(on), F.col("_tie")))).alias("_edge")
     )
     carried = edges.withColumn("_carry", F.last("_edge", ignorenulls=True).over(before)).drop("_edge")
-    joined = join_groups(local.drop("_r", "_tie", "_side"), carried, [*by, CHUNK])
+    joined = _join_carried(local.drop("_r", "_tie", "_side"), carried, by, chunks)
     return joined.select("_l.*", F.coalesce("_hit", "_carry").alias(name))

@@ -26,7 +26,7 @@ LOG = """
 
 
 def limits(df: DataFrame) -> DataFrame:
-    """A daily limit per provider, derived from the data: the second largest of its daily sums."""
+    """A daily limit per provider, derived from the data: nine tenths of its largest daily sum."""
     return df.groupBy("provider").agg((F.max("used") * 0.9).alias("daily_limit"))
 
 

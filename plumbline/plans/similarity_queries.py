@@ -69,10 +69,10 @@ def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-def _user_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _user_columns(events: DataFrame) -> DataFrame:
     """Each user stands for a dataset whose columns are the event types seen, by weekday and size of value."""
     kind = F.when(F.col("value") < 20, "metric").otherwise("currency")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("dataset"),
         F.concat("event_type", F.lit("_"), F.weekday("ts")).alias("name"),
         kind.alias("semantic"),
@@ -99,38 +99,48 @@ _TEXTS = """
     """,
 )
 def schema_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = similarity.schema_vectors(_user_columns(spark, sf_dir), "dataset", "name", "semantic")
+    vectors = similarity.schema_vectors(_user_columns(table(spark, sf_dir, "events")), "dataset", "name", "semantic")
     long = vectors.select("dataset", "schema_text", F.posexplode("vector").alias("slot", "weight"))
     return long.filter("weight > 0").withColumn("weight", F.round("weight", 6))
 
 
+def _parts(name: str, when: str) -> str:
+    """Texts, slot counts and vector lengths of the datasets seen in one half of the month."""
+    texts = _TEXTS.replace("FROM events)", f"FROM events WHERE {when})")
+    return f"""
+    {name}_t AS ({texts}),
+    {name}_c AS (SELECT dataset, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n
+                 FROM (SELECT dataset, unnest(string_split(schema_text, ' ')) AS w FROM {name}_t) GROUP BY 1, 2),
+    {name}_l AS (SELECT dataset, sqrt(sum(n * n)) AS len FROM {name}_c GROUP BY 1)"""
+
+
 @query(
     "schema_matches",
     f"""
-    WITH t AS ({_TEXTS}),
-    h AS (SELECT dataset, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot
-          FROM (SELECT dataset, unnest(string_split(schema_text, ' ')) AS w FROM t)),
-    c AS (SELECT dataset, slot, count(*) AS n FROM h GROUP BY 1, 2),
-    l AS (SELECT dataset, sqrt(sum(n * n)) AS len FROM c GROUP BY 1),
-    known AS (SELECT * FROM t WHERE dataset % 3 <> 0), fresh AS (SELECT * FROM t WHERE dataset % 3 = 0),
-    same AS (SELECT f.dataset, min(k.dataset) AS matched FROM fresh f JOIN known k ON f.schema_text = k.schema_text GROUP BY 1),
+    WITH {_parts('old', "ts < '2024-01-16'")}, {_parts('new', "ts >= '2024-01-16'")},
+    same AS (SELECT f.dataset, min(k.dataset) AS matched FROM new_t f JOIN old_t k ON f.schema_text = k.schema_text GROUP BY 1),
     sims AS (SELECT a.dataset, b.dataset AS other, round(sum(a.n * b.n) / any_value(la.len * lb.len), 12) AS s
-             FROM c a JOIN c b ON a.slot = b.slot JOIN l la ON la.dataset = a.dataset JOIN l lb ON lb.dataset = b.dataset
-             WHERE a.dataset % 3 = 0 AND b.dataset % 3 <> 0 GROUP BY 1, 2),
+             FROM new_c a JOIN old_c b ON a.slot = b.slot JOIN new_l la ON la.dataset = a.dataset
+             JOIN old_l lb ON lb.dataset = b.dataset GROUP BY 1, 2),
     near AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY s DESC, other) = 1)
-    SELECT f.dataset, CASE WHEN same.matched IS NOT NULL THEN same.matched WHEN near.s >= 0.6 THEN near.other END AS matched,
-      CASE WHEN same.matched IS NOT NULL THEN 1.0::DOUBLE WHEN near.s >= 0.6 THEN round(near.s, 6) END AS similarity,
-      CASE WHEN same.matched IS NOT NULL THEN 'exact' WHEN near.s >= 0.6 THEN 'similar' ELSE 'none' END AS match_kind
-    FROM fresh f LEFT JOIN same ON f.dataset = same.dataset LEFT JOIN near ON f.dataset = near.dataset
+    SELECT f.dataset, CASE WHEN same.matched IS NOT NULL THEN same.matched WHEN near.s >= 0.7 THEN near.other END AS matched,
+      CASE WHEN same.matched IS NOT NULL THEN 1.0::DOUBLE WHEN near.s >= 0.7 THEN round(near.s, 6) END AS similarity,
+      CASE WHEN same.matched IS NOT NULL THEN 'exact' WHEN near.s >= 0.7 THEN 'similar' ELSE 'none' END AS match_kind
+    FROM new_t f LEFT JOIN same ON f.dataset = same.dataset LEFT JOIN near ON f.dataset = near.dataset
     """,
 )
 def schema_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with a number divisible by three are the newcomers, all others the known datasets."""
-    columns = _user_columns(spark, sf_dir)
-    vectors = similarity.schema_vectors(columns, "dataset", "name", "semantic")
-    prints = profile.fingerprint_catalog(columns, "dataset", "name", "semantic")
-    catalog = vectors.join(prints, "dataset").select("dataset", "fingerprint", "vector")
+    """Schemas seen in the first half of the month are the known ones, those of the second half the newcomers."""
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+
+    def catalog(events: DataFrame) -> DataFrame:
+        columns = _user_columns(events)
+        prints = profile.fingerprint_catalog(columns, "dataset", "name", "semantic")
+        vectors = similarity.schema_vectors(columns, "dataset", "name", "semantic")
+        return vectors.join(prints, "dataset").select("dataset", "fingerprint", "vector")
+
+    events = table(spark, sf_dir, "events")
     matches = similarity.match_schemas(
-        catalog.filter("dataset % 3 = 0"), catalog.filter("dataset % 3 <> 0"), threshold=0.6
+        catalog(events.filter(F.col("ts") >= middle)), catalog(events.filter(F.col("ts") < middle)), threshold=0.7
     )
     return matches.withColumn("similarity", F.round("similarity", 6))

@@ -30,10 +30,11 @@ def as_set(df):
 
 
 def test_only_large_keys_are_cut(skewed):
-    chunks = ordered.add_chunks(skewed, ["k"], "ts", 100)
+    chunks, bound = ordered.add_chunks(skewed, ["k"], "ts", 100)
     per_key = {r["k"]: r["n"] for r in chunks.groupBy("k").agg(F.count_distinct("_chunk").alias("n")).collect()}
     assert per_key[1] > 5 and all(n == 1 for k, n in per_key.items() if k != 1)
     assert chunks.count() == 3000
+    assert chunks.filter("_chunk > 0").select("k", "_chunk").distinct().count() <= bound
     assert ordered.add_chunks(skewed, ["k"], "ts", 10**6) is None
 
 
