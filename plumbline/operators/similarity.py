@@ -14,7 +14,8 @@ from plumbline.fixed_values import SIMILAR_AT
 from plumbline.functions.frames import col
 from plumbline.functions.vectors import as_vector, cosine
 
-QUERIES_PER_PASS = 512
+QUERIES_PER_PASS = 8192
+QUERIES_PER_PRODUCT = 512  # bounds the score matrix a task holds at once
 HASH_DIMS = 64
 
 
@@ -45,25 +46,27 @@ def _nearest_in_pass(ids: np.ndarray, matrix: np.ndarray, key: str, vector: str,
         return rows.groupby("q", sort=False).head(k)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame({"q": [], "id": [], "similarity": []})
+        kept = pd.DataFrame()
         for batch in batches:
             if batch.empty:
                 continue
+            found = [] if kept.empty else [kept]
             vectors = np.array(batch[vector].tolist(), dtype="float64")
             lengths = np.linalg.norm(vectors, axis=1)
             real = lengths > 0
             vectors, names = vectors[real] / lengths[real, None], batch[key].to_numpy()[real]
             if not len(names):
                 continue
-            # rounded so that equal vectors tie exactly wherever they lie in the product
-            scores = np.round(matrix @ vectors.T, 12)
-            if scores.shape[1] > k:
-                border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                q, at = np.nonzero(scores >= border[:, None])
-            else:
-                q, at = np.indices(scores.shape).reshape(2, -1)
-            fresh = pd.DataFrame({"q": q, "id": names[at], "similarity": scores[q, at]})
-            kept = best(fresh if kept.empty else pd.concat([kept, fresh]))
+            for first in range(0, len(matrix), QUERIES_PER_PRODUCT):
+                # rounded so that equal vectors tie exactly wherever they lie in the product
+                scores = np.round(matrix[first:first + QUERIES_PER_PRODUCT] @ vectors.T, 12)
+                if scores.shape[1] > k:
+                    border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    q, at = np.nonzero(scores >= border[:, None])
+                else:
+                    q, at = np.indices(scores.shape).reshape(2, -1)
+                found.append(best(pd.DataFrame({"q": q + first, "id": names[at], "similarity": scores[q, at]})))
+            kept = best(pd.concat(found))
         if not kept.empty:
             yield pd.DataFrame({
                 "query_id": ids[kept["q"].to_numpy().astype(int)], "base_id": kept["id"].to_numpy(),
