@@ -16,6 +16,7 @@ from plumbline.session import local_session  # noqa: E402
 HEADLINE = (
     "profile_summary_sketch",
     "profile_summary_lineitem",
+    "profile_columns_sketch",
     "profile_columns_orders",
     "source_csv",
     "clean_fill_median",

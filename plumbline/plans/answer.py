@@ -14,13 +14,19 @@ from plumbline.sources.readers import read_table
 from plumbline.sources.sinks import store_result
 
 
+def _first_of(kinds: dict[str, str], wanted: str) -> str:
+    for name, kind in kinds.items():
+        if kind == wanted:
+            return name
+    raise ValueError(f"the table has no {wanted} column to answer with")
+
+
 def revenue_trend_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """"Show the monthly revenue trend": one row with the stored result, its summary and its chart type."""
     orders = read_table(spark, f"{sf_dir}/orders.parquet", "parquet")
     profile = infer_semantic_types(profile_columns(orders, exact=False))
     kinds = {r["name"]: r["semantic_type"] for r in profile.select("name", "semantic_type").collect()}
-    date = next(n for n, k in kinds.items() if k == "date")
-    metric = next(n for n, k in kinds.items() if k == "currency")
+    date, metric = _first_of(kinds, "date"), _first_of(kinds, "currency")
     answer = trend(deduplicate(orders), date, metric, "month")
     path = store_result(answer, shared_folder(spark, "answer"), "q_001")
     stored = read_table(spark, path, "parquet")

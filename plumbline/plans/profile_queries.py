@@ -92,6 +92,12 @@ def profile_summary_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.summarize(spread_table(spark, sf_dir, "lineitem"))
 
 
+@query("profile_columns_sketch")
+def profile_columns_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile with sketched distinct counts, for wide or very large tables."""
+    return profile.profile_columns(spread_table(spark, sf_dir, "lineitem"), exact=False, order_by="l_orderkey")
+
+
 def _profile_sql(name: str, key: str, where: str = "") -> str:
     def one(c: str, t: str) -> str:
         samples = (
