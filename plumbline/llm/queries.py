@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
+from plumbline.llm.embedding_dedup import near_duplicate_vectors
+from plumbline.llm.langid import held_out, identify_language, language_prototypes
+from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.piece_codec import encode_pieces
+from plumbline.llm.warc import read_archive, write_archive
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +36,35 @@ def piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.93).drop("row")
+
+
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(table(spark, sf_dir, "pages"))
+    return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language_prototypes(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    return identify_language(docs, prototypes).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Builder] = {
     "op1_packing": packing,
+    "op2_embedding_near_dedup": embedding_near_dedup,
+    "op3_warc": warc,
     "op4_piece_codec": piece_codec,
+    "op6_minhash": minhash,
+    "op10_language_id": language_id,
 }
 ORACLES: dict[str, str] = {}
