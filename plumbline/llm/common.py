@@ -29,8 +29,3 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text, split at ASCII white space; empty for a null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

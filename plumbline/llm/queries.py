@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.langid import held_out, identify_language, language_prototypes
+from plumbline.llm.line_dedup import deduplicate_lines
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.piece_codec import encode_pieces
+from plumbline.llm.quality import quality_rules
+from plumbline.llm.secrets import BASE, RULES, count_of, find_secrets, listed
 from plumbline.llm.warc import read_archive, write_archive
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +48,30 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    return find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count_of(spans, r.kind).alias(f"n_{r.kind}") for r in RULES[:BASE]],
+        F.sha2(listed(spans, [r.kind for r in RULES[:BASE]]), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).select(
         "doc_id", "n_shingles", "component_id", "kept"
     )
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_prototypes(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
@@ -64,7 +85,10 @@ QUERIES: dict[str, Builder] = {
     "op2_embedding_near_dedup": embedding_near_dedup,
     "op3_warc": warc,
     "op4_piece_codec": piece_codec,
+    "op5_secrets": secrets,
     "op6_minhash": minhash,
+    "op7_quality": quality,
+    "op8_line_dedup": line_dedup,
     "op10_language_id": language_id,
 }
 ORACLES: dict[str, str] = {}
