@@ -14,6 +14,8 @@ from plumbline.llm.common import saved
 from plumbline.llm.graph import connected_components
 
 CACHED_WORDS = 1_000_000
+#: 64-bit words of a sketch; a power of two.
+SKETCH_WORDS = 16
 #: Odd multipliers mixing the positions of a shingle's words.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -53,6 +55,25 @@ def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.array([mixed(shingles ^ s).min() for s in seeds]) if len(shingles) else np.zeros(0, np.uint64)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits that say of each slot whether an odd number of shingles falls into it, as signed 64-bit words.
+
+    The sketches of two sets differ in no more bits than the sets do in shingles.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """False only if sizes (``n_``) or sketches (``sketch_``) of the two sides rule the similarity out."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        differ = differ + F.bit_count(F.get(F.col(f"sketch_{a}"), F.lit(i)).bitwiseXOR(F.get(F.col(f"sketch_{b}"), F.lit(i))))
+    # sets of similarity p share p / (1 + p) of their summed sizes and differ in the rest
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * differ <= (100 - percent) * (n_a + n_b))
+
+
 def _over_texts(work: Callable[[pd.DataFrame], pd.DataFrame], rows: int = 1000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,7 +105,9 @@ def near_duplicates(
        are skipped, yet no pair of classes above the match threshold is lost.
     3. In each list the members are compared with its first class only; collisions over the whole signature are
        counted, then the shingle sets confirm. After these links are united, lists that still hold several groups
-       compare their members across groups. Thousands of near copies of one text thus never form all pairs.
+       compare their members across groups; set sizes and sketches, which rule out no similar pair, are a part of
+       that join's condition. So neither thousands of near copies of one text nor thousands of texts around one
+       passage become pairs.
     4. Confirmed links are united to components.
 
     At the default of 12 of 24 coordinates a pair of similarity 0.8 is missed with probability 1e-4.
@@ -105,10 +128,10 @@ def near_duplicates(
         signs = [signature(s, seeds).view(np.int64) for s in sets]
         return pd.DataFrame({
             "doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"],
-            "n_shingles": [len(s) for s in sets], "set_key": keys, "signature": signs,
+            "n_shingles": [len(s) for s in sets], "set_key": keys, "signature": signs, "sketch": [odd_sketch(s) for s in sets],
         })
 
-    schema = "doc_id long, text_key long, n_shingles long, set_key binary, signature array<long>"
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, signature array<long>, sketch array<long>"
     signed = saved(
         rows.mapInPandas(_over_texts(sign), schema).withColumn("row", F.monotonically_increasing_id()), "minhash-signed"
     )
@@ -116,8 +139,8 @@ def near_duplicates(
     classes = saved(
         of_text.groupBy("set_key").agg(
             F.min("row").alias("class"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"),
-            F.min(F.struct("row", "doc_id", "text_key", "signature")).alias("first"),
-        ).select("set_key", "class", "least_id", "n", F.col("first.doc_id").alias("doc_id"), "first.text_key", "first.signature"),
+            F.min(F.struct("row", "doc_id", "text_key", "signature", "sketch")).alias("first"),
+        ).select("set_key", "class", "least_id", "n", F.col("first.doc_id").alias("doc_id"), "first.text_key", "first.signature", "first.sketch"),
         "minhash-classes",
     )
     pairs = classes.select("class", F.posexplode("signature").alias("at", "value")).select(
@@ -128,7 +151,7 @@ def near_duplicates(
     posted = saved(
         ranked.filter(F.size("shared") >= matches)
         .select("class", F.slice("shared", F.lit(1), F.size("shared") - matches + 1).alias("shared"))
-        .join(classes.select("class", "doc_id", "text_key", "n", "signature"), "class"),
+        .join(classes.select("class", "doc_id", "text_key", "n", "signature", "sketch"), "class"),
         "minhash-posted",
     )
 
@@ -146,10 +169,12 @@ def near_duplicates(
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that collide often enough and whose sets are similar."""
-        side = lambda name: posted.select(F.col("class").alias(name), F.col("signature").alias(f"signature_{name}"))
+        own = ("signature", "sketch", "n")
+        side = lambda name: posted.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in own])
         collided = saved(
             candidates.distinct().join(side("b"), "b").join(side("a"), "a")
-            .filter(shared_coordinates(F.col("signature_a"), F.col("signature_b")) >= matches).select("a", "b"),
+            .filter(may_be_similar("a", "b", percent) & (shared_coordinates(F.col("signature_a"), F.col("signature_b")) >= matches))
+            .select("a", "b"),
             "minhash-collided",
         )
         full = lambda name: sets.select(F.col("class").alias(name), F.col("shingles").alias(f"set_{name}"))
@@ -166,11 +191,16 @@ def near_duplicates(
         "pair", "class", F.coalesce("component", "class").alias("group")
     )
     mixed_lists = grouped.groupBy("pair").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
-    open_lists = saved(grouped.join(mixed_lists.select("pair"), "pair", "left_semi"), "minhash-open")
-    other = open_lists.select("pair", F.col("class").alias("other"), F.col("group").alias("other_group"))
-    across = open_lists.join(other, "pair").filter("class < other and group <> other_group").select(
-        F.col("class").alias("a"), F.col("other").alias("b")
+    open_lists = saved(
+        grouped.join(mixed_lists.select("pair"), "pair", "left_semi").join(posted.select("class", "n", "sketch"), "class"), "minhash-open"
     )
+    side = lambda name: open_lists.select("pair", *[F.col(c).alias(f"{c}_{name}") for c in ("class", "group", "n", "sketch")])
+    one, other = side("a"), side("b")
+    across = one.join(
+        other,
+        (one["pair"] == other["pair"]) & (F.col("class_a") < F.col("class_b")) & (F.col("group_a") != F.col("group_b"))
+        & may_be_similar("a", "b", percent),
+    ).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     links = stars.unionByName(saved(confirmed(across), "minhash-links"))
     joined = connected_components(links)
     of_class = classes.select("set_key", "class", "least_id").join(
