@@ -85,6 +85,15 @@ def _grown(at: DataFrame, splits: DataFrame, tree: int, depth: int, overlap: flo
     )
 
 
+def _fitter(tree: int, depth: int, leaf_rows: int, overlap: float):
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = unit_rows(part["vector"]) @ directions(tree, depth, LEVELS, len(part["vector"].iloc[0])).T
+        least = leaf_rows * len(part) / part["n"].iloc[0]
+        return pd.DataFrame({"group": [key[0]], "node": [key[1]], "splits": [fit_splits(x, LEVELS, overlap, least)]})
+
+    return fit
+
+
 def tree_leaves(classes: DataFrame, tree: int, leaf_rows: int, overlap: float) -> DataFrame:
     """Leaves of one tree: (class, group, weight, vector, node). Every row is in a leaf at least once.
 
@@ -102,12 +111,7 @@ def tree_leaves(classes: DataFrame, tree: int, leaf_rows: int, overlap: float) -
         drawn = at.filter("not done").join(large, ["group", "node"]).filter(
             F.pmod(F.xxhash64("class", F.lit(tree), F.lit(round_)), F.lit(1 << 40)) < F.lit(float(SAMPLE) * (1 << 40)) / F.col("n")
         )
-
-        def fit(key, part: pd.DataFrame, depth=depth) -> pd.DataFrame:
-            x = unit_rows(part["vector"]) @ directions(tree, depth, LEVELS, len(part["vector"].iloc[0])).T
-            least = leaf_rows * len(part) / part["n"].iloc[0]
-            return pd.DataFrame({"group": [key[0]], "node": [key[1]], "splits": [fit_splits(x, LEVELS, overlap, least)]})
-
+        fit = _fitter(tree, depth, leaf_rows, overlap)
         splits = saved(
             drawn.groupBy("group", "node").applyInPandas(fit, "group string, node string, splits array<double>"), "forest-splits"
         )
