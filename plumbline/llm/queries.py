@@ -15,6 +15,7 @@ from plumbline.llm.line_dedup import deduplicate_lines
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.piece_codec import encode_pieces
+from plumbline.llm.pii import KINDS, find_personal_data, learn_field
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.secrets import BASE, RULES, count_of, find_secrets, listed
 from plumbline.llm.warc import read_archive, write_archive
@@ -72,6 +73,17 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    base = F.filter("spans", lambda s: s["base"])
+    return find_personal_data(docs, learn_field(docs)).select(
+        "doc_id",
+        *[count_of(base, kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_prototypes(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
@@ -89,6 +101,7 @@ QUERIES: dict[str, Builder] = {
     "op6_minhash": minhash,
     "op7_quality": quality,
     "op8_line_dedup": line_dedup,
+    "op9_personal_data": personal_data,
     "op10_language_id": language_id,
 }
 ORACLES: dict[str, str] = {}
