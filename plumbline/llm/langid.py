@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import col
+
 UNKNOWN = "und"
 #: Characters worked on together, and characters after which a very long text is cut (at a space).
 BATCH_CHARS, PART_CHARS = 400_000, 1_000_000
@@ -118,7 +121,7 @@ def language_prototypes(
     ``lang_column``, whose number is that of the labels' set and does not grow with the rows. Rows with a null text or language
     teach nothing.
     """
-    rows = docs.select(F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    rows = docs.select(col(text_column).alias("text"), col(lang_column).cast("string").alias("lang"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles, sums = Profiles(dimensions), {}
@@ -145,6 +148,29 @@ def language_prototypes(
     return found
 
 
+class Guess:
+    """Compares texts with the prototypes of the languages."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]) -> None:
+        self.names = sorted(prototypes)
+        self.dimensions = len(prototypes[self.names[0]]) if self.names else 1
+        self.profiles = Profiles(self.dimensions)
+        units = [prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in self.names]
+        self.matrix = np.stack(units).T.astype(np.float32) if units else None
+
+    def over(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last + 1, languages, scores) of consecutive texts."""
+        for start, stop, vectors, lettered in bundled(self.profiles, texts):
+            lang, score = np.full(stop - start, UNKNOWN, object), np.zeros(stop - start)
+            if self.names:
+                length = np.linalg.norm(vectors, axis=1)
+                cosine = (vectors @ self.matrix) / np.where(length > 0, length, 1)[:, None]
+                best = cosine.argmax(axis=1)
+                lang = np.where(lettered, np.array(self.names, object)[best], UNKNOWN)
+                score = np.where(lettered, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float)
+            yield start, stop, lang, score
+
+
 def identify_language(
     docs: DataFrame, prototypes: dict[str, np.ndarray], id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -155,23 +181,31 @@ def identify_language(
     prototype all are ``und``. Repeated rows and null ids stay, other columns are never looked at, an
     empty table gives no rows. No shuffle.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    names = sorted(prototypes)
-    dimensions = len(prototypes[names[0]]) if names else 1
-    matrix = np.stack([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]) if names else np.zeros((0, 1))
+    rows = docs.select(col(id_column).cast("long").alias("doc_id"), col(text_column).alias("text"))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        profiles = Profiles(dimensions)
+        guess = Guess(prototypes)
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            for start, stop, vectors, lettered in bundled(profiles, texts):
-                lang, score = np.full(stop - start, UNKNOWN, object), np.zeros(stop - start)
-                if names:
-                    length = np.linalg.norm(vectors, axis=1)
-                    cosine = (vectors @ matrix.T.astype(np.float32)) / np.where(length > 0, length, 1)[:, None]
-                    best = cosine.argmax(axis=1)
-                    lang = np.where(lettered, np.array(names, object)[best], UNKNOWN)
-                    score = np.where(lettered, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(float)
+            for start, stop, lang, score in guess.over(texts):
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:stop].astype("Int64"), "lang_pred": lang, "score": score})
 
     return rows.mapInPandas(predict, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text_column: str = "text", above: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, unchanged, that have a letter and a score greater than ``above``: what is like no language goes.
+
+    Texts of a word or two have small scores too, so the default asks for any likeness only.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guess = Guess(prototypes)
+        for batch in batches:
+            texts = batch.column(text_column).to_pylist()
+            good = np.zeros(len(texts), bool)
+            for start, stop, lang, score in guess.over(texts):
+                good[start:stop] = (lang != UNKNOWN) & (score > above)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)

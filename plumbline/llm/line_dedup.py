@@ -172,7 +172,7 @@ def deduplicate_lines(
     Result: the columns of ``docs`` in their order with the shortened text, and n_lines, n_dropped (long). Rows of the
     same id and text are one document and fare alike; documents that share an id but not the text share their places.
     Null ids come last. A null text stays null, with no lines; a text whose lines all go becomes empty; empty
-    tables give no rows. Columns of any other name pass through untouched.
+    tables give no rows. Columns of other names pass through untouched; input columns n_lines and n_dropped are replaced.
     """
     others = [c for c in docs.columns if c != text_column]
     whole = docs.select(
@@ -251,6 +251,6 @@ def deduplicate_lines(
     )
     out = flagged.filter("not hit").select("row", n_lines.alias("n_lines"), "text", F.lit(0).alias("n_dropped")).unionByName(kept)
     return out.select(
-        *[F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns],
+        *[F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"),
     )

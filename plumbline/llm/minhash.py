@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.frames import col
 from plumbline.llm.common import saved
 from plumbline.llm.graph import connected_components
 
@@ -112,13 +113,13 @@ def near_duplicates(
 
     At the default of 12 of 24 coordinates a pair of similarity 0.8 is missed with probability 1e-4.
 
-    One row per row of ``docs``: doc_id, row (unique), n_shingles, component_id (smallest doc_id of the
+    One row per row of ``docs``: doc_id, text_key (hash of the text), row (unique), n_shingles, component_id (smallest doc_id of the
     component), kept (doc_id = component_id) and leads (true for exactly one row of each component, also where
     ids repeat or are null). Null and blank texts have no shingles and are linked with nothing; a null id
     counts as none when the smallest is sought, and such a row is kept only if its component has no id at
     all; repeated rows fall into one component; other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(col(id_column).cast("long").alias("doc_id"), col(text_column).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     seeds = mixed(np.arange(1, coordinates + 1, dtype=np.uint64))
 
@@ -208,24 +209,38 @@ def near_duplicates(
     ).select("set_key", "class", "least_id", F.coalesce("component", "class").alias("component"))
     least = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("class").alias("any_row"))
     named = of_class.join(least, "component").select("set_key", "component", "component_id")
-    out = signed.select("doc_id", "row", "n_shingles", "set_key").join(
+    out = signed.select("doc_id", "text_key", "row", "n_shingles", "set_key").join(
         named, (signed["set_key"] == named["set_key"]) & (signed["n_shingles"] > 0), "left"
     )
     out = saved(
         out.select(
-            "doc_id", "row", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-            "component",
+            "doc_id", "text_key", "row", "n_shingles",
+            F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component",
         ), "minhash-rows",
     )
     leaders = out.filter("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m")
     ).select(F.col("m.row").alias("leader"))
     return out.join(leaders, out["row"] == leaders["leader"], "left").select(
-        "doc_id", "row", "n_shingles", "component_id",
+        "doc_id", "text_key", "row", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         (F.col("component").isNull() | F.col("leader").isNotNull()).alias("leads"),
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **more) -> DataFrame:
+    """``docs`` with one row left of each group of near duplicates, the one of smallest id; ``more`` as in ``near_duplicates``.
+
+    Rows of the same id and text are the same document, of which one stays. Documents without words all stay.
+    """
+    found = near_duplicates(docs, id_column=id_column, text_column=text_column, **more)
+    lead = found.filter("leads").select(F.col("doc_id").alias("lead_id"), F.col("text_key").alias("lead_key")).distinct()
+    whole = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_column).cast("long").alias("own_id"), F.xxhash64(col(text_column)).alias("own_key")
+    )
+    kept = whole.join(lead, F.col("own_id").eqNullSafe(F.col("lead_id")) & (F.col("own_key") == F.col("lead_key")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 #: Shared by the batches of a worker process.
 WORDS = WordHashes()

@@ -238,7 +238,7 @@ def learn_field(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             before = np.where(np.array(tokens.follows, bool), np.append(-1, labels[:-1])[: len(labels)], -1)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64").to_numpy()[tokens.doc], "at": tokens.start,
-                "slots": list(slots), "label": labels, "before": before,
+                "slots": pd.Series(list(slots), dtype=object), "label": labels, "before": before,
             }).astype({"doc_id": "Int64"})
 
     seen = rows.mapInPandas(look, "doc_id long, at long, slots array<long>, label long, before long")

@@ -135,7 +135,7 @@ def find_secrets(
 
     The columns of ``docs`` and ``spans``: array<struct<kind, start, end>> in code points, end exclusive, by
     start and then by the rules' order. A null text has no spans; repeated rows are scanned alike; an empty table gives
-    no rows. Columns of other names, nulls in them included, pass through (the input must have no column ``spans``).
+    no rows. Columns of other names, nulls in them included, pass through; an input column ``spans`` is replaced.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     text = F.coalesce(col(text_column), F.lit(""))
@@ -166,7 +166,7 @@ def find_secrets(
         F.array_sort(F.concat(*found)),
         lambda s: F.struct(names[s["rule"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return looked.select(*[F.col("row")[c].alias(c) for c in docs.columns], spans.alias("spans"))
+    return looked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "spans"], spans.alias("spans"))
 
 
 def listed(spans: Column, kinds: Sequence[str] | None = None) -> Column:
@@ -178,3 +178,18 @@ def listed(spans: Column, kinds: Sequence[str] | None = None) -> Column:
 
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """The text with every span, or run of spans that overlap, replaced by ``mask``; spans come in order of start."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, span: Column) -> Column:
+        ahead = F.concat(state["out"], F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mask))
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.when(span["start"] >= state["at"], ahead).otherwise(state["out"]).alias("out"),
+        )
+
+    end = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, end).otherwise(text)
