@@ -1,27 +1,70 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes what the one before kept, written as Parquet and read again, and works on all of it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm.common import saved, table
+from plumbline.llm.common import saved, table, words
+from plumbline.llm.langid import held_out, keep_identified, language_prototypes
+from plumbline.llm.line_dedup import deduplicate_lines
+from plumbline.llm.minhash import drop_near_duplicates
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.secrets import find_secrets, redacted
 
 #: No SQL: the stages use learned prototypes and a tokenizer.
 ORACLE_SQL = None
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """A new text and its number of characters in the place of the old ones."""
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    taught = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return keep_identified(docs, language_prototypes(taught))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines seen earlier in the corpus go, and documents that have no word left after it."""
+    done = deduplicate_lines(docs)
+    kept = done.filter((F.col("n_dropped") == 0) | (F.size(words(F.col("text"))) > 0))
+    return _with_text(kept, F.col("text")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return drop_near_duplicates(docs, width=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; the documents stay."""
+    found = find_secrets(docs)
+    return _with_text(found, redacted(F.col("text"), F.col("spans"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack what is left."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_copies),
+    ("secret scan", secrets),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = saved(stage(spark, docs, sf_dir), "corpus-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
