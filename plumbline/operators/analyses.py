@@ -12,7 +12,16 @@ from plumbline.functions.frames import as_list, col, one_row, with_row
 from plumbline.operators.quantiles import quantiles
 
 
+#: Grains of time with the length of one period.
+GRAINS = {
+    "minute": "1 MINUTE", "hour": "1 HOUR", "day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "quarter": "3 MONTH",
+    "year": "1 YEAR",
+}
+
+
 def period_start(date: Column, grain: str) -> Column:
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain {grain!r}; use one of {', '.join(GRAINS)}")
     return F.date_trunc(grain, date).cast("timestamp_ntz")
 
 
@@ -71,8 +80,11 @@ def compare(df: DataFrame, dim: str, a, b, metric: str, by: str | Sequence[str]
 
 
 def histogram(df: DataFrame, name: str, bins: int) -> DataFrame:
-    """Equal-width bins over the range of the column with their row counts, empty bins included."""
-    v = col(name).cast("double")
+    """Equal-width bins over the range of the column with their row counts, empty bins included.
+
+    Nulls, NaN and infinite values have no place on the axis and are left out.
+    """
+    v = F.when(F.abs(col(name).cast("double")) < float("inf"), col(name).cast("double"))
     range_of = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     ends = F.col("_ends")
     width = (ends["hi"] - ends["lo"]) / bins

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,10 +138,16 @@ def normalize(df: DataFrame, name: str, method: str = "min_max", by: str | Seque
 
 
 def numeric_text(text: Column) -> Column:
-    """``$1,234.00``, ``1.2K`` or ``(12)`` as a number; anything else NULL."""
-    bare = F.upper(F.regexp_replace(F.trim(text), r"[$€₹,\s]", ""))
+    """``$1,234.00``, ``1.2K`` or ``(12)`` as a number; anything else NULL.
+
+    A comma behind points that mark thousands, or a lone one with one or two digits behind it, is a decimal
+    comma (``€1.234,56``, ``12,5``); other commas mark thousands.
+    """
+    bare = F.upper(F.regexp_replace(F.trim(text), r"[$€₹\s]", ""))
     minus = bare.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(bare, r"[()]", "")
+    bare = F.when(minus, F.regexp_extract(bare, r"^\((.*)\)$", 1)).otherwise(bare)
+    comma = bare.rlike(r"^[-+]?([0-9]{1,3}(\.[0-9]{3})+,[0-9]+|[0-9]+,[0-9]{1,2})[KMB]?$")
+    bare = F.when(comma, F.translate(bare, ",.", ".")).otherwise(F.translate(bare, ",", ""))
     factor = F.when(bare.endswith("K"), 1e3).when(bare.endswith("M"), 1e6).when(bare.endswith("B"), 1e9).otherwise(1.0)
     number = F.regexp_replace(bare, "[KMB]$", "")
     plain = number.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[-+]?[0-9]+)?$")
@@ -308,11 +315,20 @@ def _null_counts(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
     )
 
 
-def cleaning_log(before: DataFrame, after: DataFrame, ops: Sequence[dict[str, str]]) -> DataFrame:
+def cleaning_log(before: DataFrame, after: DataFrame | Sequence[DataFrame], ops: Sequence[dict[str, str]]) -> DataFrame:
     """One row per operation with nulls before and after; a single aggregation over each table.
 
-    ``rows_affected`` is the number of rows removed for row-removing strategies, else of nulls resolved.
+    ``after`` is the table after all operations, or the tables after each of them in turn. ``rows_affected`` is the number
+    of rows removed for row-removing strategies, else of nulls resolved; several operations that remove rows can only be
+    told apart by their own tables.
     """
+    if not isinstance(after, DataFrame):
+        if len(after) != len(ops):
+            raise ValueError("give one table per operation")
+        steps = [cleaning_log(a, b, [op]) for a, b, op in zip([before, *after[:-1]], after, ops)]
+        return reduce(DataFrame.unionByName, steps)
+    if sum(op.get("strategy") in ROW_REMOVING for op in ops) > 1:
+        raise ValueError("several operations remove rows; give the table after each operation")
     columns = sorted({op["column"] for op in ops})
     listed = F.array(*[
         F.struct(*[F.lit(op.get(k, "")).alias(k) for k in ("column", "operation", "strategy", "rationale")])

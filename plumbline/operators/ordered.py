@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.frames import as_list, col, is_temporal, join_groups
 
@@ -19,18 +20,33 @@ ROWS_PER_CHUNK = 2_000_000
 CHUNK = "_chunk"
 TIME_SLOTS = 100_000
 SLOTS_PER_E_FOLD = 4096
-MAX_BROADCAST_SLOTS = 1_000_000
-MAX_BROADCAST_CHUNKS = 20_000
+#: An ordering column: its name, or (name, True) for descending order with nulls last.
+Order = str | tuple[str, bool]
 
 
-def _position(df: DataFrame, name: str) -> Column:
+def _name(order: Order) -> str:
+    return order if isinstance(order, str) else order[0]
+
+
+def _sorted(order: Sequence[Order]) -> list[Column]:
+    return [col(o) if isinstance(o, str) else col(o[0]).desc_nulls_last() if o[1] else col(o[0]) for o in order]
+
+
+def _position(df: DataFrame, order: Order) -> Column:
+    """A number that never falls along the order: rows it cannot tell apart merely share a slot."""
+    name = _name(order)
     if is_temporal(df.schema[name].dataType):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    return col(name).cast("double")
+        spot = F.unix_micros(col(name).cast("timestamp")).cast("double")
+    elif isinstance(df.schema[name].dataType, T.StringType):
+        first_bytes = F.rpad(F.hex(F.substring(col(name).cast("binary"), 1, 6)), 12, "0")
+        spot = F.conv(first_bytes, 16, 10).cast("double")
+    else:
+        spot = col(name).cast("double")
+    return spot if isinstance(order, str) or not order[1] else -spot
 
 
-def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int) -> tuple[DataFrame, int] | None:
-    """Add ``_chunk`` and bound the number of chunks, or return None when no key exceeds ``rows_per_chunk`` rows.
+def add_chunks(df: DataFrame, by: Sequence[str], order: Order, rows_per_chunk: int) -> DataFrame | None:
+    """Add ``_chunk``, or return None when no key exceeds ``rows_per_chunk`` rows.
 
     Chunks follow a fine histogram of the large keys, so an uneven spread over the ordering column is
     evened out. Rows of all other keys are chunk 0; the large keys' chunks count from 1.
@@ -48,13 +64,13 @@ def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int
         return None
     lo, hi = found["lo"], found["hi"]
     if lo is None:
-        slot, slots = F.lit(-1).cast("bigint"), 1
-    elif is_temporal(df.schema[order].dataType):
-        slot, slots = F.floor((spot - lo) / ((hi - lo + 1) / TIME_SLOTS)), TIME_SLOTS
+        slot = F.lit(-1).cast("bigint")
+    elif is_temporal(df.schema[_name(order)].dataType):
+        slot = F.floor((spot - lo) / ((hi - lo + 1) / TIME_SLOTS))
     else:
-        slot = F.floor(F.log1p(F.greatest(F.lit(0.0), spot - lo)) * SLOTS_PER_E_FOLD)
-        slots = 64 * SLOTS_PER_E_FOLD
-    slotted = df.withColumn("_slot", F.coalesce(slot, F.lit(-1).cast("bigint")))
+        slot = F.when(spot.isNotNull(), F.floor(F.log1p(F.greatest(F.lit(0.0), spot - lo)) * SLOTS_PER_E_FOLD))
+    nulls = -1 if isinstance(order, str) or not order[1] else 2**62  # where the nulls come in this order
+    slotted = df.withColumn("_slot", F.coalesce(slot, F.lit(nulls).cast("bigint")))
     large = join_groups(slotted.select(*keys, "_slot"), sizes.select(*keys), by, "inner")
     before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     chunk_of = (
@@ -63,17 +79,13 @@ def add_chunks(df: DataFrame, by: Sequence[str], order: str, rows_per_chunk: int
         .withColumn(CHUNK, F.floor(F.coalesce(F.sum("_in_slot").over(before), F.lit(0)) / rows_per_chunk) + 1)
         .select(*keys, "_slot", CHUNK)
     )
-    if found["n"] * slots <= MAX_BROADCAST_SLOTS:  # number of large keys is known here, so this bounds the table
-        chunk_of = F.broadcast(chunk_of)
     joined = join_groups(slotted, chunk_of, [*by, "_slot"])
-    chunks = found["rows"] // rows_per_chunk + found["n"]
-    return joined.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).drop("_slot"), chunks
+    return joined.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).drop("_slot")
 
 
-def _join_carried(rows: DataFrame, carried: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
-    """Bring what crosses chunk borders to the rows; broadcast while the known number of chunks is small."""
-    side = F.broadcast(carried) if chunks <= MAX_BROADCAST_CHUNKS else carried
-    return join_groups(rows, side, [*by, CHUNK])
+def _join_carried(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bring what crosses chunk borders to the rows."""
+    return join_groups(rows, carried, [*by, CHUNK])
 
 
 def neighbour(
@@ -93,53 +105,52 @@ def neighbour(
     packed = F.struct(*[col(c) for c in cols])
     sort = [col(c) for c in order]
     keys = [col(c) for c in by]
-    cut = add_chunks(df, by, order[0], rows_per_chunk)
-    if cut is None:
+    rows = add_chunks(df, by, order[0], rows_per_chunk)
+    if rows is None:
         return df.withColumn(name, shift(packed).over(Window.partitionBy(*keys).orderBy(*sort)))
-    rows, chunks = cut
     edge = F.max_by if step == "previous" else F.min_by
     local = rows.withColumn(name, shift(packed).over(Window.partitionBy(*keys, CHUNK).orderBy(*sort)))
     edges = rows.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK).agg(edge(packed, F.struct(*sort)).alias("_edge"))
     carried = edges.withColumn("_carry", shift("_edge").over(Window.partitionBy(*keys).orderBy(CHUNK))).drop("_edge")
-    joined = _join_carried(local, carried, by, chunks)
+    joined = _join_carried(local, carried, by)
     return joined.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_carry", CHUNK)
 
 
 def running_sum(
     df: DataFrame,
     by: str | Sequence[str],
-    order: Sequence[str],
+    order: Sequence[Order],
     value: str,
     name: str = "running",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Add the sum of ``value`` over the rows of the group up to and including this one."""
+    """Add the sum of ``value`` over the rows of the group up to and including this one; NULL before the first value."""
     by = as_list(by)
     keys = [col(c) for c in by]
-    sort = [col(c) for c in order]
+    sort = _sorted(order)
     upto = F.sum(col(value))
-    cut = add_chunks(df, by, order[0], rows_per_chunk)
-    if cut is None:
+    rows = add_chunks(df, by, order[0], rows_per_chunk)
+    if rows is None:
         whole = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, upto.over(whole))
-    rows, chunks = cut
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.filter(F.col(CHUNK) > 0)
         .groupBy(*keys, CHUNK)
         .agg(upto.alias("_in_chunk"))
-        .withColumn("_offset", F.coalesce(F.sum("_in_chunk").over(before), F.lit(0)))
+        .withColumn("_offset", F.sum("_in_chunk").over(before))
         .drop("_in_chunk")
     )
-    summed = _join_carried(rows.withColumn(name, upto.over(inside)), offsets, by, chunks)
-    return summed.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset", CHUNK)
+    summed = _join_carried(rows.withColumn(name, upto.over(inside)), offsets, by)
+    total = F.coalesce(F.col(name) + F.col("_offset"), F.col(name), F.col("_offset"))
+    return summed.withColumn(name, total).drop("_offset", CHUNK)
 
 
 def row_position(
     df: DataFrame,
     by: str | Sequence[str],
-    order: Sequence[str],
+    order: Sequence[Order],
     name: str = "position",
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
@@ -157,17 +168,17 @@ def ranks(
     tiles: int = 4,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Add row_number, rank, dense_rank, percent_rank and ntile within the group.
+    """Add row_number, rank, dense_rank, percent_rank and ntile within the group, by the value in its own type.
 
-    ``tie`` is a unique column that orders equal values for row_number and ntile.
+    NULLs come last in descending order and first in ascending order. ``tie`` is a unique column that orders equal values for row_number and ntile.
     """
     by = as_list(by)
     keys = [col(c) for c in by]
-    measure = col(value).cast("double")
-    rows = df.withColumn("_measure", -measure if descending else measure)
-    placed = row_position(rows, by, ["_measure", tie], "row_number", rows_per_chunk)
+    rows = df.withColumn("_measure", col(value))
+    order = ("_measure", descending)
+    placed = row_position(rows, by, [order, tie], "row_number", rows_per_chunk)
     peers = placed.groupBy(*keys, "_measure").agg(F.min("row_number").alias("rank"))
-    peers = row_position(peers, by, ["_measure"], "dense_rank", rows_per_chunk)
+    peers = row_position(peers, by, [order], "dense_rank", rows_per_chunk)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     joined = join_groups(join_groups(placed, peers, [*by, "_measure"]), sizes, by)
     # the first (size mod tiles) tiles hold one row more than the others
@@ -213,11 +224,10 @@ def as_of_join(
     both = a.unionByName(b)
     sort = [col(on), F.col("_side"), F.col("_tie")]
     latest = F.last("_r", ignorenulls=True)
-    cut = add_chunks(both, by, on, rows_per_chunk)
-    if cut is None:
+    rows = add_chunks(both, by, on, rows_per_chunk)
+    if rows is None:
         upto = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(name, latest.over(upto)).filter("_side = 1").select("_l.*", name)
-    rows, chunks = cut
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_hit", latest.over(inside)).filter("_side = 1")
@@ -225,5 +235,5 @@ def as_of_join(
         F.max_by("_r", F.when(F.col("_side") == 0, F.struct(col(on), F.col("_tie")))).alias("_edge")
     )
     carried = edges.withColumn("_carry", F.last("_edge", ignorenulls=True).over(before)).drop("_edge")
-    joined = _join_carried(local.drop("_r", "_tie", "_side"), carried, by, chunks)
+    joined = _join_carried(local.drop("_r", "_tie", "_side"), carried, by)
     return joined.select("_l.*", F.coalesce("_hit", "_carry").alias(name))

@@ -28,15 +28,20 @@ def guard_sql(text: str) -> str:
     return text
 
 
+def read_only(text: str) -> str:
+    """The query as the source of a SELECT: there the parser takes queries only and refuses every command."""
+    return f"SELECT * FROM (\n{text.strip().rstrip(';')}\n) AS _query"
+
+
 def scan_sql_log(df: DataFrame, name: str) -> DataFrame:
     """Mark the rows of a query log that break the read-only rule."""
     return df.withColumn("is_forbidden", col(name).rlike(FORBIDDEN))
 
 
 def validate_sql(spark: SparkSession, text: str) -> str | None:
-    """None if the query holds, else the error; analysis only, no data is read."""
+    """None if the query holds, else the error; analysis only, no data is read and no command runs."""
     try:
-        spark.sql(guard_sql(text)).schema
+        spark.sql(read_only(text)).schema
     except (PySparkException, ValueError) as error:
         return str(error)
     return None
@@ -45,7 +50,7 @@ def validate_sql(spark: SparkSession, text: str) -> str | None:
 def _run(spark: SparkSession, query_id: str, text: str, base: str) -> tuple:
     start = time.perf_counter()
     try:
-        path = store_result(spark.sql(guard_sql(text)), base, query_id)
+        path = store_result(spark.sql(read_only(text)), base, query_id)
         rows = spark.read.parquet(path).count()
         outcome = (query_id, True, path, None, rows)
     except (PySparkException, ValueError) as error:
@@ -69,10 +74,10 @@ def run_batch(
     queries: dict[str, str],
     base: str,
     views: dict[str, DataFrame] | None = None,
-    timeout_s: float = 10.0,
+    timeout_s: float | None = None,
     parallel: int = 4,
 ) -> DataFrame:
-    """Run several queries side by side; one that fails or overruns its time does not stop the rest.
+    """Run several queries side by side; one that fails or overruns ``timeout_s`` does not stop the rest.
 
     The time of a query includes waiting for cores, so set ``parallel`` to what the cluster can run at once.
     """
@@ -82,17 +87,25 @@ def run_batch(
     seats = threading.Semaphore(parallel)
     outcomes: list[tuple] = []
 
+    def stop(tag: str, done: threading.Event) -> None:
+        """From the time limit on cancel the query's jobs, again and again: it may be between two of them."""
+        overdue = done.wait(timeout_s)
+        while not overdue:
+            context.cancelJobsWithTag(tag)
+            overdue = done.wait(0.5)
+
     def work(query_id: str, text: str) -> None:
         tag = f"batch-{uuid.uuid4().hex}"
         with seats:
             context.addJobTag(tag)
             context.setLocalProperty("spark.scheduler.pool", tag)  # its own share under the FAIR scheduler
-            alarm = threading.Timer(timeout_s, context.cancelJobsWithTag, [tag])
-            alarm.start()
+            done = threading.Event()
+            if timeout_s is not None:
+                threading.Thread(target=stop, args=(tag, done), daemon=True).start()
             try:
                 outcomes.append(_run(spark, query_id, text, base))
             finally:
-                alarm.cancel()
+                done.set()
                 context.removeJobTag(tag)
 
     threads = [InheritableThread(target=work, args=item) for item in queries.items()]

@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from plumbline.fixed_values import MAX_SAMPLES
 from plumbline.functions.frames import as_list, col, is_temporal, one_row
+from plumbline.operators.analyses import GRAINS, period_start
 from plumbline.operators.ordered import neighbour
 from plumbline.operators.profile import sample_rows
 
-MAX_AXIS = 10_000
+#: Column categories of a matrix that are kept in one value.
+AXIS_BLOCK = 1_000
 
 
 def summarize_result(
@@ -50,38 +52,40 @@ def top_with_others(df: DataFrame, dim: str, metric: str, n: int = 7, others: st
 
 
 def matrix(df: DataFrame, rows: str, cols: str, metric: str, col_values: Sequence | None = None) -> DataFrame:
-    """Long category-by-category totals with a zero where a pair does not occur.
+    """Long category-by-category totals with a zero where a pair does not occur; NULL is a category like the others.
 
-    The column categories form one small array per table (they are the axis of a chart), so each row category is
-    expanded by them without a join of all pairs of rows.
+    Every row category is expanded by the column categories, which is what a matrix is; they come in blocks of
+    about ``AXIS_BLOCK``, so that no value grows with their number.
     """
-    totals = df.groupBy(col(rows), col(cols)).agg(F.sum(col(metric)).alias(metric))
+    totals = df.groupBy(col(rows).alias("_r"), col(cols).alias("_c")).agg(F.sum(col(metric)).alias("_total"))
+    members = totals.select("_r").distinct()
     if col_values is None:
-        found = df.filter(col(cols).isNotNull()).select(col(cols)).distinct().limit(MAX_AXIS + 1)
-        axis = one_row(found.agg(F.collect_list(col(cols)).alias("axis")))["axis"]
-        axis = F.when(F.size(axis) <= MAX_AXIS, axis).otherwise(
-            F.raise_error(F.lit(f"{cols} has more than {MAX_AXIS} members; too many for a chart axis"))
+        axis = totals.select("_c").distinct()
+        blocks = F.greatest(F.lit(1), F.ceil(axis.agg(F.count(F.lit(1))).scalar() / AXIS_BLOCK))
+        listed = axis.groupBy(F.pmod(F.xxhash64("_c"), blocks).alias("_block")).agg(
+            F.collect_list(F.struct("_c")).alias("_members")
         )
+        spread = members.select("_r", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_block"))
+        cells = spread.join(listed, "_block").select("_r", F.inline("_members"))
     else:
-        axis = F.array(*[F.lit(v) for v in col_values])
-    by_row = totals.groupBy(col(rows)).agg(
-        F.map_from_entries(F.collect_list(F.struct(col(cols), col(metric)))).alias("_found")
-    )
-    cells = by_row.select(col(rows), F.explode(axis).alias(cols), "_found")
-    return cells.select(rows, cols, F.coalesce(F.try_element_at("_found", col(cols)), F.lit(0.0)).alias(metric))
+        cells = members.select("_r", F.explode(F.array(*[F.lit(v) for v in col_values])).alias("_c"))
+    found = totals.withColumnsRenamed({"_r": "_found_r", "_c": "_found_c"})
+    return cells.join(
+        found, F.col("_r").eqNullSafe(F.col("_found_r")) & F.col("_c").eqNullSafe(F.col("_found_c")), "left"
+    ).select(F.col("_r").alias(rows), F.col("_c").alias(cols), F.coalesce("_total", F.lit(0.0)).alias(metric))
 
 
 def series(df: DataFrame, date: str, grain: str, by: str, metric: str) -> DataFrame:
-    """Totals per period and series with a zero for every missing period of the whole range."""
-    when = F.date_trunc(grain, col(date)).cast("timestamp_ntz")
-    totals = df.groupBy(col(by), when.alias("period")).agg(F.sum(col(metric)).alias(metric))
-    ends = one_row(totals.agg(F.min("period").alias("lo"), F.max("period").alias("hi")))
-    step = F.expr(f"INTERVAL 1 {grain.upper()}")
-    spine = totals.select(col(by)).distinct().select(
+    """Totals per period and series with a zero for every missing period of the whole range; NULL is a series like the others."""
+    when = period_start(col(date), grain)
+    totals = df.groupBy(col(by).alias("_by"), when.alias("_period")).agg(F.sum(col(metric)).alias("_total"))
+    ends = one_row(totals.agg(F.min("_period").alias("lo"), F.max("_period").alias("hi")))
+    step = F.expr(f"INTERVAL {GRAINS[grain]}")
+    spine = totals.select(F.col("_by").alias(by)).distinct().select(
         col(by), F.explode(F.sequence(ends["lo"], ends["hi"], step)).alias("period")
     )
-    return spine.join(totals, [by, "period"], "left").select(
-        by, "period", F.coalesce(col(metric), F.lit(0.0)).alias(metric)
+    return spine.join(totals, col(by).eqNullSafe(F.col("_by")) & (F.col("period") == F.col("_period")), "left").select(
+        by, "period", F.coalesce("_total", F.lit(0.0)).alias(metric)
     )
 
 

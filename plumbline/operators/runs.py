@@ -63,13 +63,19 @@ def budget_status(usage: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def remaining_runs(usage: DataFrame, limits: DataFrame, per_run: DataFrame) -> DataFrame:
-    """How many more runs each day's budget allows: the tightest provider decides.
+    """How many more runs each day's budget allows: the tightest provider decides, used that day or not.
 
-    ``limits`` has provider and daily_limit, ``per_run`` provider and tokens_per_run.
+    ``limits`` has provider and daily_limit (NULL: unlimited), ``per_run`` provider and tokens_per_run; both are
+    configuration tables, a row per provider, which each day of ``usage`` is expanded by.
     """
-    left = usage.join(limits, "provider").join(per_run, "provider")
-    runs = F.floor(F.try_divide(F.col("daily_limit") - F.col("used"), F.col("tokens_per_run")))
-    return left.groupBy("day").agg(F.min(F.greatest(F.lit(0), runs)).cast("bigint").alias("remaining_runs"))
+    config = limits.join(per_run, "provider").agg(
+        F.collect_list(F.struct("provider", "daily_limit", "tokens_per_run")).alias("providers")
+    )
+    days = usage.select("day").distinct().select("day", F.inline(one_row(config)["providers"]))
+    left = days.join(usage, ["day", "provider"], "left")
+    used = F.coalesce("used", F.lit(0))
+    runs = F.floor(F.try_divide(F.col("daily_limit") - used, F.col("tokens_per_run")))
+    return left.groupBy("day").agg(F.min(F.when(runs.isNotNull(), F.greatest(F.lit(0), runs))).cast("bigint").alias("remaining_runs"))
 
 
 def apply_quota(
@@ -85,14 +91,15 @@ def apply_quota(
 
 
 def pick_provider(requests: DataFrame, configs: DataFrame, usage: DataFrame) -> DataFrame:
-    """For every request the provider of best priority for its task that is not exhausted that day.
+    """For every request the provider of best priority for its task that is not exhausted that day (NULL limit: never).
 
     ``requests``: request_id, task, day; ``configs``: task, provider, priority, daily_limit; ``usage``: day, provider, used.
     The choice is made once per task and day and then looked up by the requests.
     """
     days = requests.select("task", "day").distinct()
     options = days.join(configs, "task").join(usage, ["day", "provider"], "left")
-    free = options.filter(F.coalesce(F.col("used"), F.lit(0)) < F.col("daily_limit") * EXHAUSTED_AT)
+    exhausted = F.coalesce(F.col("used"), F.lit(0)) >= F.col("daily_limit") * EXHAUSTED_AT
+    free = options.filter(~F.coalesce(exhausted, F.lit(False)))
     choice = free.groupBy("task", "day").agg(
         F.min_by("provider", F.struct("priority", "provider")).alias("chosen_provider")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.fixed_values import CONSUMER_FIELDS
 from plumbline.operators import profile
-from plumbline.plans.registry import query, spread_table, table
+from plumbline.plans.registry import query, table
 
 COLUMNS = {
     "customer": [
@@ -78,7 +78,7 @@ def _summary(name: str) -> None:
     @query(f"profile_summary_{name}", _summary_sql(name))
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(
-            profile.summarize(spread_table(spark, sf_dir, name), exact=True), "avg", "std", "q25", "q50", "q75"
+            profile.summarize(table(spark, sf_dir, name), exact=True), "avg", "std", "q25", "q50", "q75"
         )
 
 
@@ -89,13 +89,13 @@ _summary("lineitem")
 @query("profile_summary_sketch")
 def profile_summary_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default summary: one aggregation with sketches (its closeness to the exact one is unit-tested)."""
-    return profile.summarize(spread_table(spark, sf_dir, "lineitem"))
+    return profile.summarize(table(spark, sf_dir, "lineitem"))
 
 
 @query("profile_columns_sketch")
 def profile_columns_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile with sketched distinct counts, for wide or very large tables."""
-    return profile.profile_columns(spread_table(spark, sf_dir, "lineitem"), exact=False, order_by="l_orderkey")
+    return profile.profile_columns(table(spark, sf_dir, "lineitem"), exact=False, order_by="l_orderkey")
 
 
 def _profile_sql(name: str, key: str, where: str = "") -> str:
@@ -128,7 +128,7 @@ def profile_columns_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("profile_columns_orders", _profile_sql("orders", "o_orderkey"))
 def profile_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_profile(profile.profile_columns(spread_table(spark, sf_dir, "orders"), order_by="o_orderkey"))
+    return _flat_profile(profile.profile_columns(table(spark, sf_dir, "orders"), order_by="o_orderkey"))
 
 
 @query("profile_empty_table", _profile_sql("customer", "c_custkey", "WHERE c_acctbal > 1e12"))
@@ -186,7 +186,7 @@ def profile_semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def profile_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.compact_profile(profile.profile_columns(spread_table(spark, sf_dir, "orders"), order_by="o_orderkey"))
+    return profile.compact_profile(profile.profile_columns(table(spark, sf_dir, "orders"), order_by="o_orderkey"))
 
 
 @query(

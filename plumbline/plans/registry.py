@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.sources.readers import read_table
-
 Builder = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Builder] = {}
@@ -30,8 +28,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: read so that every core has a share."""
-    return read_table(spark, f"{sf_dir}/{name}.parquet", "parquet", spread=True)

@@ -86,9 +86,10 @@ def run_budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "run_remaining_runs",
     f"""
-    SELECT u.day, min(greatest(0, floor((daily_limit - used) / tokens_per_run)))::BIGINT AS remaining_runs
-    FROM {USAGE} u JOIN {LIMITS} l ON u.provider = l.provider
-    JOIN (SELECT event_type AS provider, avg(value) AS tokens_per_run FROM events GROUP BY 1) a ON u.provider = a.provider
+    SELECT d.day, min(greatest(0, floor((daily_limit - coalesce(used, 0)) / tokens_per_run)))::BIGINT AS remaining_runs
+    FROM (SELECT DISTINCT day FROM {USAGE}) d CROSS JOIN {LIMITS} l
+    JOIN (SELECT event_type AS provider, avg(value) AS tokens_per_run FROM events GROUP BY 1) a ON l.provider = a.provider
+    LEFT JOIN {USAGE} u ON u.day = d.day AND u.provider = l.provider
     GROUP BY 1
     """,
 )

@@ -36,6 +36,25 @@ def source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed_orders(readers.read_table(spark, path, "ndjson"))
 
 
+@query("source_csv_quoted", "SELECT doc_id, text, lang, source FROM documents")
+def source_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "csv-quoted")
+    writer = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").write
+    writer.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_table(spark, path, "csv", "doc_id bigint, text string, lang string, source string", multi_line=True)
+
+
+@query("source_json_mixed", "SELECT doc_id, text, lang FROM documents UNION ALL SELECT item_id, text, NULL FROM benchmark")
+def source_json_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of newline-delimited files and files that hold one array."""
+    path = shared_folder(spark, "json-mixed")
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.json(path)
+    items = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct(F.col("item_id").alias("doc_id"), "text")).alias("item"))
+    few = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(4))).agg(F.collect_list("item").alias("items"))
+    few.select(F.concat(F.lit("[\n"), F.array_join("items", ",\n"), F.lit("\n]")).alias("value")).repartition(4).write.mode("append").text(path)
+    return readers.read_table(spark, path, "json").select("doc_id", "text", "lang")
+
+
 @query("source_parquet", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def source_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_table(spark, f"{sf_dir}/events.parquet", "parquet")

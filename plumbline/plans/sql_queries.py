@@ -404,7 +404,7 @@ def sql_date_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def sql_safe_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    big = F.col("l_orderkey") * F.lit(900000000000).cast("bigint")
+    big = F.col("l_orderkey").cast("decimal(20,0)") * F.lit(900000000000).cast("decimal(12,0)")
     per_tax = relational.safe_div(F.col("l_extendedprice"), F.col("l_tax"))
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(
         relational.safe_sum(big).cast("string").alias("big_sum"),

@@ -102,12 +102,24 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("stream_first_in_ttl")
+@query(
+    "stream_first_in_ttl",
+    """
+    WITH RECURSIVE kept AS (
+      SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+      UNION ALL
+      SELECT k.user_id, k.event_type, min(e.ts) AS ts
+      FROM kept k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts > k.ts + INTERVAL 24 HOUR
+      GROUP BY k.user_id, k.event_type, k.ts)
+    SELECT user_id, event_type, ts FROM kept
+    """,
+)
 def stream_first_in_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "first")
     first = streams.stream_first_in_ttl(_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "24 hours")
     streams.stream_to_table(first, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("user_id", "event_type", "ts")
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("user_id", "event_type", streams.as_stored(F.col("ts")).alias("ts"))
 
 
 @query("stream_to_table", "SELECT event_id, ts, user_id, event_type, value, props FROM events")

@@ -19,14 +19,17 @@ def file_kind(name: str) -> str:
     raise ValueError(f"unsupported file type {name!r}; use one of {', '.join(FILE_KINDS)}")
 
 
-def _starts_with_array(spark: SparkSession, path: str) -> bool:
-    first = (
-        spark.read.text(path)
-        .select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
-        .filter("c <> ''")
-        .first()
-    )
-    return first is not None and first["c"] == "["
+def _array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of ``path`` whose first character that is not blank is ``[``, and the other ones."""
+    at = F.col("_metadata.file_block_start")
+    heads = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), at.alias("at"), F.monotonically_increasing_id().alias("line"),
+        F.substring(F.ltrim("value"), 1, 1).alias("c"),
+    ).filter("c <> ''")
+    first = heads.groupBy("file").agg((F.min_by("c", F.struct("at", "line")) == "[").alias("array"))
+    listed = first.groupBy("array").agg(F.collect_list("file").alias("files"))  # file names, as the reader needs them
+    files = {r["array"]: r["files"] for r in listed.collect()}
+    return files.get(True, []), files.get(False, [])
 
 
 def read_table(
@@ -36,15 +39,15 @@ def read_table(
     schema: T.StructType | str | None = None,
     sampling_ratio: float = 1.0,
     describe: bool = False,
-    spread: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read files of one kind; ``path`` may name any store Spark reaches (``s3a://``, ``hdfs://`` ...).
 
     Text formats without ``schema`` are scanned to infer one (a share of them with
-    ``sampling_ratio``); cells that do not fit become NULL. Newline-delimited JSON stays splittable; only a
-    file that opens with ``[`` is read as one document. With ``describe`` the load envelope is
-    returned instead: table name, row count, column count and column names. ``spread`` is for heavy
-    per-row work on a table stored in fewer pieces than there are cores; see ``spread_rows``.
+    ``sampling_ratio``); cells that do not fit become NULL. Newline-delimited JSON stays splittable; of a folder, the
+    files that open with ``[`` are read as one document each, the others line by line. ``multi_line`` is for CSV with line
+    breaks inside quotes; such files cannot be split. With ``describe`` the load envelope is
+    returned instead: table name, row count, column count and column names.
     """
     kind = file_kind(kind)
     if kind == "parquet":
@@ -56,22 +59,16 @@ def read_table(
         else:
             reader = reader.option("samplingRatio", sampling_ratio)
         if kind == "csv":
-            reader = reader.option("header", True).option("escape", '"').option("multiLine", False)
+            reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
             df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
         else:
-            df = reader.option("multiLine", _starts_with_array(spark, path)).json(path)
-    if describe:
-        return load_envelope(df, path.rstrip("/").rsplit("/", 1)[-1])
-    return spread_rows(df) if spread else df
-
-
-def spread_rows(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain file scan to all cores when the files come as fewer splits than that.
-
-    A scan with so few splits is small, so the extra shuffle is bounded; a large table is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+            arrays, lines = _array_files(spark, path)
+            if not arrays or not lines:
+                df = reader.option("multiLine", bool(arrays)).json(path)
+            else:
+                df = reader.option("multiLine", False).json(lines)
+                df = df.unionByName(reader.option("multiLine", True).json(arrays), allowMissingColumns=True)
+    return load_envelope(df, path.rstrip("/").rsplit("/", 1)[-1]) if describe else df
 
 
 def load_envelope(df: DataFrame, table_name: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.fixed_values import EXHAUSTED_AT, STATUS_STEPS
 from plumbline.functions.frames import as_list, col
@@ -68,8 +70,36 @@ def stream_sessions(
 
 
 def stream_first_in_ttl(sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl: str = "24 hours") -> DataFrame:
-    """Drop repeats of the same keys that arrive within ``ttl``."""
-    return sdf.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(as_list(keys))
+    """Keep an event if it comes more than ``ttl`` after the last kept one of the same keys.
+
+    The moment of the last kept event is each key's state; the events of a micro-batch are taken in order of time, so
+    the result does not depend on how they fall into batches as long as these come in order. Once the watermark
+    is ``ttl`` past that moment the state goes.
+    """
+    names = as_list(keys)
+    span = pd.Timedelta(ttl)
+
+    def keep(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        kept = []
+        for at, moment in enumerate(rows[ts]):
+            if last is None or moment.tz_localize(None) - last > span:
+                last = moment.tz_localize(None)
+                kept.append(at)
+        if last is not None:
+            state.update((last.value // 1000,))
+            expires = (last + span).value // 1_000_000 + 1
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept]
+
+    timed = sdf.withWatermark(ts, ttl).filter(col(ts).isNotNull())
+    return timed.groupBy(*[col(k) for k in names]).applyInPandasWithState(
+        keep, sdf.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def stream_budget_alerts(

@@ -156,3 +156,19 @@ def test_buckets(spark):
     df = spark.createDataFrame([(None,), (1.0,), (10.0,), (99.0,)], "v double")
     got = [r["bucket"] for r in features.bucketize(df, "v", [10, 20], ["low", "mid", "high"]).collect()]
     assert got == [None, "low", "mid", "high"]
+
+
+def test_european_amounts_and_brackets(spark):
+    texts = ["€1.234,56", "12)", "(12)", "1,234.50", "12,5", "1,234", "(1.234.567,8)"]
+    df = clean.cast_numeric(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert [r["t"] for r in df.collect()] == [1234.56, None, -12.0, 1234.5, 12.5, 1234.0, -1234567.8]
+
+
+def test_log_of_two_steps_that_remove_rows(spark):
+    before = spark.createDataFrame([(1, 1.0), (2, None), (2, 3.0)], "k int, v double")
+    first = before.filter("v is not null")
+    ops = [{"column": "v", "operation": "fill_null", "strategy": "drop"}, {"column": "k", "operation": "dedupe", "strategy": "deduplicate"}]
+    log = {r["column"]: r["rows_affected"] for r in clean.cleaning_log(before, [first, first.filter("k = 1")], ops).collect()}
+    assert log == {"v": 1, "k": 1}
+    with pytest.raises(ValueError, match="table after each"):
+        clean.cleaning_log(before, first, ops)

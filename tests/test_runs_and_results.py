@@ -39,6 +39,16 @@ def test_remaining_runs_never_negative(spark):
     assert runs.remaining_runs(usage, limits, cost).first()["remaining_runs"] == 0
 
 
+def test_unused_and_unlimited_providers(spark):
+    usage = spark.createDataFrame([("d", "a", 100.0)], "day string, provider string, used double")
+    limits = spark.createDataFrame([("a", 1000.0), ("b", 100.0), ("c", None)], "provider string, daily_limit double")
+    cost = spark.createDataFrame([("a", 10.0), ("b", 20.0), ("c", 1.0)], "provider string, tokens_per_run double")
+    assert runs.remaining_runs(usage, limits, cost).first()["remaining_runs"] == 5
+    requests = spark.createDataFrame([(1, "t", "d")], "request_id int, task string, day string")
+    configs = spark.createDataFrame([("t", "c", 1, None), ("t", "b", 2, 1.0)], "task string, provider string, priority int, daily_limit double")
+    assert runs.pick_provider(requests, configs, usage).first()["chosen_provider"] == "c"
+
+
 def test_provider_choice(spark):
     requests = spark.createDataFrame([(1, "t", "d"), (2, "u", "d")], "request_id int, task string, day string")
     configs = spark.createDataFrame(
@@ -112,11 +122,19 @@ def test_top_with_others_of_few_members(spark):
     assert {(r["k"], r["v"]) for r in results.top_with_others(df, "k", "v", 7).collect()} == {("a", 3.0), ("b", 2.0)}
 
 
-def test_matrix_refuses_endless_axis(spark, monkeypatch):
-    monkeypatch.setattr(results, "MAX_AXIS", 3)
-    df = spark.range(10).selectExpr("'r' AS r", "id AS c", "1.0D AS v")
-    with pytest.raises(Exception, match="too many for a chart axis"):
-        results.matrix(df, "r", "c", "v").collect()
+def test_matrix_has_every_category(spark, monkeypatch):
+    monkeypatch.setattr(results, "AXIS_BLOCK", 3)
+    df = spark.range(10).selectExpr("if(id = 0, null, 'r') AS r", "nullif(id, 9) AS c", "1.0D AS v")
+    got = {(x["r"], x["c"]): x["v"] for x in results.matrix(df, "r", "c", "v").collect()}
+    assert len(got) == 20 and got["r", None] == 1.0 and got[None, 0] == 1.0 and sum(got.values()) == 10.0
+
+
+def test_series_of_null_and_quarters(spark):
+    df = spark.createDataFrame([(None, datetime(2024, 1, 1), 5.0), ("b", datetime(2024, 9, 4), 2.0)], "k string, t timestamp_ntz, v double")
+    got = {(x["k"], x["period"].month): x["v"] for x in results.series(df, "t", "quarter", "k", "v").collect()}
+    assert got == {(None, 1): 5.0, (None, 4): 0.0, (None, 7): 0.0, ("b", 1): 0.0, ("b", 4): 0.0, ("b", 7): 2.0}
+    with pytest.raises(ValueError, match="unknown grain"):
+        analyses.trend(df, "t", "v", "fortnight")
 
 
 def test_series_fills_gaps(spark):
@@ -124,6 +142,11 @@ def test_series_fills_gaps(spark):
     assert results.series(df, "t", "day", "k", "v").count() == 8
 
 
+def test_histogram_leaves_out_what_is_no_number(spark):
+    df = spark.createDataFrame([(0.0,), (10.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [r["n"] for r in analyses.histogram(df, "v", 2).orderBy("bin").collect()] == [1, 1]
+
+
 def test_constant_histogram(spark):
     df = spark.createDataFrame([(5.0,), (5.0,), (None,)], "v double")
     assert [r["n"] for r in analyses.histogram(df, "v", 3).orderBy("bin").collect()] == [2, 0, 0]

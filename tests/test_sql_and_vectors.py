@@ -17,7 +17,10 @@ def test_validate_reads_nothing(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert relational.validate_sql(spark, "SELECT id FROM three") is None
     assert "nope" in relational.validate_sql(spark, "SELECT nope FROM three")
-    assert "read-only" in relational.validate_sql(spark, "DROP VIEW three")
+    assert relational.validate_sql(spark, "SELECT 'update' AS word FROM three;") is None
+    for command in ("DROP VIEW three", "SET spark.sql.ansi.enabled=false", "TRUNCATE TABLE three", "ALTER VIEW three AS SELECT 1"):
+        assert "PARSE" in relational.validate_sql(spark, command)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     assert spark.catalog.tableExists("three")
 
 

@@ -40,6 +40,19 @@ def test_terminal_across_batches_and_restart(spark, tmp_path, feed):
                     event(8, 5, "c", "routing"))) == {1, 2, 4, 6, 8}
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_first_in_ttl_keeps_what_comes_a_day_later(spark, tmp_path, feed, batches):
+    hours = [0, 10, 24, 25, 40, 49, 50, 75, 76]
+    rows = [event(i, 60 * h, "q", "x") for i, h in enumerate(hours)]
+    size = len(rows) // batches
+    for at in range(0, len(rows), size):
+        sdf = feed(*rows[at : at + size])
+    first = streams.stream_first_in_ttl(sdf, "session", "ts", "24 hours")
+    streams.stream_to_table(first, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    kept = sorted(hours[r["id"]] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert kept == [0, 25, 50, 75]
+
+
 def test_first_in_ttl(spark, tmp_path, feed):
     sdf = feed(event(1, 0, "q", "x"), event(2, 30, "q", "x"), event(3, 31, "r", "x"))
     first = streams.stream_first_in_ttl(sdf, "session", "ts", "24 hours")
