@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import SIMILAR_AT
 from plumbline.functions.frames import col
 from plumbline.functions.vectors import as_vector, cosine
 
-QUERIES_PER_PASS = 8192
+QUERY_ROWS, BASE_ROWS = 8192, 65_536
 QUERIES_PER_PRODUCT = 512  # bounds the score matrix a task holds at once
 HASH_DIMS = 64
 
@@ -38,74 +37,61 @@ def find_similar(
     return scored.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), col(key)).limit(1)
 
 
-def _nearest_in_pass(ids: np.ndarray, matrix: np.ndarray, key: str, vector: str, k: int):
-    """A task keeps the best ``k`` rows per query as batches stream by, and hands on only those."""
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of those that are not zero, and where they stand."""
+    stacked = np.array(vectors.tolist(), dtype="float64")
+    lengths = np.linalg.norm(stacked, axis=1)
+    return stacked[lengths > 0] / lengths[lengths > 0, None], np.flatnonzero(lengths > 0)
+
+
+def _nearest(k: int):
+    """The best ``k`` base rows of a block for each query of a block."""
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["q", "similarity", "id"], ascending=[True, False, True], kind="stable")
-        return rows.groupby("q", sort=False).head(k)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame()
-        for batch in batches:
-            if batch.empty:
-                continue
-            found = [] if kept.empty else [kept]
-            vectors = np.array(batch[vector].tolist(), dtype="float64")
-            lengths = np.linalg.norm(vectors, axis=1)
-            real = lengths > 0
-            vectors, names = vectors[real] / lengths[real, None], batch[key].to_numpy()[real]
-            if not len(names):
-                continue
-            for first in range(0, len(matrix), QUERIES_PER_PRODUCT):
+        rows = rows.sort_values(["query_id", "similarity", "base_id"], ascending=[True, False, True], kind="stable")
+        return rows.groupby("query_id", sort=False).head(k)
+
+    def compare(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "base_id": [], "similarity": []})]
+        if len(queries) and len(base):
+            matrix, q_at = _unit(queries["v"])
+            vectors, b_at = _unit(base["v"])
+            q_ids, b_ids = queries["q"].to_numpy()[q_at], base["b"].to_numpy()[b_at]
+            for first in range(0, len(matrix) if len(b_ids) else 0, QUERIES_PER_PRODUCT):
                 # rounded so that equal vectors tie exactly wherever they lie in the product
                 scores = np.round(matrix[first:first + QUERIES_PER_PRODUCT] @ vectors.T, 12)
-                if scores.shape[1] > k:
-                    border = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    q, at = np.nonzero(scores >= border[:, None])
-                else:
-                    q, at = np.indices(scores.shape).reshape(2, -1)
-                found.append(best(pd.DataFrame({"q": q + first, "id": names[at], "similarity": scores[q, at]})))
-            kept = best(pd.concat(found))
-        if not kept.empty:
-            yield pd.DataFrame({
-                "query_id": ids[kept["q"].to_numpy().astype(int)], "base_id": kept["id"].to_numpy(),
-                "similarity": kept["similarity"].to_numpy(),
-            })
-
-    return scan
+                border = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(axis=1)
+                q, at = np.nonzero(scores >= border[:, None])
+                found.append(best(pd.DataFrame({"query_id": q_ids[q + first], "base_id": b_ids[at], "similarity": scores[q, at]})))
+        return pd.concat(found[1:] or found)
+
+    return compare
 
 
 def knn(
     queries: DataFrame, query_key: str, query_vector: str, base: DataFrame, base_key: str, base_vector: str, k: int,
-    queries_per_pass: int = QUERIES_PER_PASS,
+    query_rows: int = QUERY_ROWS, base_rows: int = BASE_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar base rows of every query: query_id, base_id, similarity, place.
 
-    Exact. The base is scanned, never shuffled: each task multiplies its batches with the query matrix and
-    passes on its ``k`` best per query. A pass takes at most about ``queries_per_pass`` queries to the tasks; more
-    queries are split by hash into several passes.
+    Exact. Both sides are dealt into blocks of about ``query_rows`` and ``base_rows`` rows by a hash of their keys;
+    every block of queries meets every block of the base in a task of its own, which hands on its ``k`` best per query.
     """
-    wanted = queries.select(col(query_key).alias("q"), col(query_vector).cast("array<double>").alias("v"))
-    passes = max(1, -(-wanted.count() // queries_per_pass))
-    side = base.select(col(base_key), col(base_vector).cast("array<double>").alias(base_vector))
+
+    def side(df: DataFrame, key: str, vector: str, name: str, rows: int) -> tuple[DataFrame, Column]:
+        plain = df.select(col(key).alias(name), col(vector).cast("array<double>").alias("v")).filter("v is not null")
+        blocks = F.greatest(F.lit(1), F.ceil(plain.agg(F.count(F.lit(1))).scalar() / rows)).cast("int")
+        return plain.withColumn(f"{name}_block", F.pmod(F.xxhash64(name), blocks).cast("int")), blocks
+
+    wanted, query_blocks = side(queries, query_key, query_vector, "q", query_rows)
+    known, base_blocks = side(base, base_key, base_vector, "b", base_rows)
+    wanted = wanted.withColumn("b_block", F.explode(F.sequence(F.lit(0), base_blocks - 1)))
+    known = known.withColumn("q_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     key_type = base.schema[base_key].dataType.simpleString()
     query_type = queries.schema[query_key].dataType.simpleString()
-    parts = []
-    for number in range(passes):
-        block = wanted.filter(F.pmod(F.xxhash64("q"), F.lit(passes)) == number).toPandas()
-        block = block[[any(v) for v in block["v"]]] if len(block) else block
-        if not len(block):
-            continue
-        matrix = np.array(block["v"].tolist(), dtype="float64")
-        matrix = matrix / np.linalg.norm(matrix, axis=1)[:, None]
-        scan = _nearest_in_pass(block["q"].to_numpy(), matrix, base_key, base_vector, k)
-        parts.append(side.mapInPandas(scan, f"query_id {query_type}, base_id {key_type}, similarity double"))
-    if not parts:
-        return base.sparkSession.createDataFrame(
-            [], f"query_id {query_type}, base_id {key_type}, similarity double, place int"
-        )
-    found = reduce(DataFrame.unionByName, parts)
+    found = wanted.groupBy("q_block", "b_block").cogroup(known.groupBy("q_block", "b_block")).applyInPandas(
+        _nearest(k), f"query_id {query_type}, base_id {key_type}, similarity double"
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 

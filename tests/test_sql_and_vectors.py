@@ -67,7 +67,7 @@ def test_knn_with_copies_and_zero_vectors(spark, per_pass):
         want |= {(q, i, p + 1) for p, i in enumerate(order)}
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "q int, v array<double>")
     bdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "b int, w array<double>").repartition(5)
-    got = similarity.knn(qdf, "q", "v", bdf, "b", "w", 6, queries_per_pass=per_pass)
+    got = similarity.knn(qdf, "q", "v", bdf, "b", "w", 6, query_rows=per_pass, base_rows=40)
     assert {(r["query_id"], r["base_id"], r["place"]) for r in got.collect()} == want
 
 
