@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import oracles
 from plumbline.llm.common import table
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.langid import held_out, identify_language, language_prototypes
@@ -104,4 +105,9 @@ QUERIES: dict[str, Builder] = {
     "op9_personal_data": personal_data,
     "op10_language_id": language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op3_warc": oracles.WARC,
+    "op5_secrets": oracles.SECRETS,
+    "op6_minhash": oracles.MINHASH,
+}
