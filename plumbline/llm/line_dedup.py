@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +23,23 @@ def segment(length: Column, number: int, segments: int) -> tuple[Column, Column]
     return start, (length * (number + 1) / segments).cast("int") - start
 
 
-def index_keys(line: Column, max_edits: int) -> Column:
+def index_keys(line: Column, max_edits: int, length: Column | None = None) -> Column:
     """A key for each of the ``max_edits + 1`` segments: hash of line length, segment number and substring."""
-    n = F.length(line)
-    keys = []
+    n, keys = F.length(line) if length is None else length, []
     for number in range(max_edits + 1):
         start, size = segment(n, number, max_edits + 1)
         keys.append(F.xxhash64(n, F.lit(number), F.substring(line, start + 1, size)))
     return F.array(*keys)
 
 
-def probe_keys(line: Column, max_edits: int) -> Column:
+def probe_keys(line: Column, max_edits: int, length: Column | None = None) -> Column:
     """Keys under which a line of the same length or up to ``max_edits`` shorter is indexed if it is within ``max_edits``.
 
     A line that is shorter by d keeps some segment unchanged, and, looking for it from both ends of the line, it
     is enough to seek segment k shifted by s with |s| <= k, |s - d| <= max_edits - k and
     |s| + |s - d| <= max_edits: edits before it and edits behind it.
     """
-    n, keys = F.length(line), []
+    n, keys = F.length(line) if length is None else length, []
     for shorter in range(max_edits + 1):
         m = n - shorter
         for number in range(max_edits + 1):
@@ -50,16 +51,21 @@ def probe_keys(line: Column, max_edits: int) -> Column:
     return F.array(*keys)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix, by bisection: a step doubles or halves what is compared."""
     steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
-    limit = F.least(F.length(a), F.length(b))
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda known, step: F.when(
-            (known + step <= limit) & (F.substring(a, known + 1, step) == F.substring(b, known + 1, step)), known + step
-        ).otherwise(known),
+    longer = lambda p, known, step: (known + step <= p["limit"]) & (
+        F.substring(p["a"], known + 1, step) == F.substring(p["b"], known + 1, step)
     )
+    texts = F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("limit"))
+    return _with(texts, lambda p: F.aggregate(
+        steps, F.lit(0), lambda known, step: F.when(longer(p, known, step), known + step).otherwise(known)
+    ))
 
 
 def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
@@ -69,14 +75,28 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     ``2 * max_edits + 1`` cells around the diagonal at once: the band's vertical steps up and down are the
     bits of two numbers, and additions and shifts carry the recurrence through all cells (bit-parallel).
     """
-    start = _common_prefix(a, b)
-    rest_a, rest_b = F.substring(a, start + 1, F.length(a)), F.substring(b, start + 1, F.length(b))
-    behind = _common_prefix(F.reverse(rest_a), F.reverse(rest_b))
-    letters = lambda x: F.split(F.substring(x, F.lit(1), F.length(x) - behind), "")
-    size = lambda x: F.length(x) - behind
-    parts = F.struct(letters(rest_a).alias("a"), letters(rest_b).alias("b"), size(rest_a).alias("m"), size(rest_b).alias("n"))
-    # a single-element array, so that the parts are worked out once
-    distance = F.transform(F.array(parts), lambda p: _banded(p["a"], p["b"], p["m"], p["n"], max_edits))[0]
+
+    def front(p: Column) -> Column:
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), _common_prefix(p["a"], p["b"]).alias("same"))
+
+    def without_front(p: Column) -> Column:
+        rest = lambda x: F.substring(x, p["same"] + 1, F.lit(2**31 - 1))
+        return F.struct(rest(p["a"]).alias("a"), rest(p["b"]).alias("b"))
+
+    def back(p: Column) -> Column:
+        same = _common_prefix(F.reverse(p["a"]), F.reverse(p["b"]))
+        sizes = (F.length(p["a"]).alias("m"), F.length(p["b"]).alias("n"))
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), *sizes, same.alias("same"))
+
+    def spelled(p: Column) -> Column:
+        m, n = p["m"] - p["same"], p["n"] - p["same"]
+        letters = lambda x, size: F.split(F.substring(x, F.lit(1), size), "")
+        return F.struct(letters(p["a"], m).alias("a"), letters(p["b"], n).alias("b"), m.alias("m"), n.alias("n"))
+
+    steps = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for part in (front, without_front, back, spelled):
+        steps = F.transform(steps, part)
+    distance = F.transform(steps, lambda p: _banded(p["a"], p["b"], p["m"], p["n"], max_edits))[0]
     return F.when(a.isNotNull() & b.isNotNull(), distance)
 
 
@@ -110,7 +130,8 @@ def _banded(a: Column, b: Column, m: Column, n: Column, k: int) -> Column:
             )
 
         with_diagonal = F.transform(F.array(begun), lambda s: F.struct(carried(s).alias("diagonal"), s["up"].alias("up"), s["down"].alias("down")))
-        return F.transform(with_diagonal, ended)[0]
+        # no cell of the band is more than 2k below its lowest row, so beyond 3k no path can come back to k
+        return F.when(state["distance"] > 3 * k, state).otherwise(F.transform(with_diagonal, ended)[0])
 
     # column 0: row i has distance i, so steps go up in the rows from 1 to k, bits k to 2k - 1 once the band has moved
     start = F.struct(F.lit(full & ~((1 << k) - 1)).alias("up"), F.lit(0).alias("down"), F.lit(k).alias("distance"))
@@ -123,9 +144,9 @@ def _banded(a: Column, b: Column, m: Column, n: Column, k: int) -> Column:
             counted = F.when(m - n + k <= i, 1).otherwise(0)
             bit = lambda x, i=i: F.shiftright(x, i).bitwiseAND(F.lit(1))
             distance = distance - counted * (bit(s["up"]) - bit(s["down"]))
-        return distance
+        return F.when(s["distance"] > 3 * k, k + 1).otherwise(distance)
 
-    return F.when(F.abs(m - n) > k, k + 1).otherwise(F.least(F.transform(F.array(last), read)[0], F.lit(k + 1)))
+    return F.when(F.abs(m - n) > k, k + 1).otherwise(F.least(_with(last, read), F.lit(k + 1)))
 
 
 def _bit(key: Column) -> Column:
@@ -180,18 +201,18 @@ def deduplicate_lines(
     )
     texts = whole.select("id", "text", F.xxhash64("text").alias("text_key"))
     split = texts.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
-    long = split.filter(F.length("line") >= least_chars)
+    long = split.withColumn("length", F.length("line")).filter(F.col("length") >= least_chars)
     place = F.coalesce("id", F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("number")
-    lines = long.select("line", F.xxhash64("line").alias("h1"))
+    lines = long.select("line", "length", F.xxhash64("line").alias("h1"))
 
-    posted = lines.select("h1", F.explode(index_keys(F.col("line"), max_edits)).alias("key"))
+    posted = lines.select("h1", F.explode(index_keys(F.col("line"), max_edits, F.col("length"))).alias("key"))
     heads = posted.groupBy("key").agg(F.min("h1").alias("head"))
-    probes = lines.select("h1", F.explode(probe_keys(F.col("line"), max_edits)).alias("key")).filter("key is not null")
+    probes = lines.select("h1", F.explode(probe_keys(F.col("line"), max_edits, F.col("length"))).alias("key")).filter("key is not null")
     met = saved(probes.join(heads, "key").filter("h1 <> head").distinct(), "line-lists")
     members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
     wanted = members.select(F.col("h1").alias("key")).distinct()
     candidate = saved(
-        lines.filter(_maybe(_bits(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct(),
+        lines.select("line", "h1").filter(_maybe(_bits(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct(),
         "line-texts",
     )
 
