@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import as_list, col, one_row, with_row
+from plumbline.functions.frames import as_list, col, join_groups, one_row, with_row
+from plumbline.operators.ordered import row_position
 from plumbline.operators.quantiles import quantiles
 
 
@@ -41,7 +42,8 @@ def root_cause(
 ) -> DataFrame:
     """How much each member of each dimension adds to the change between two periods (start, end excluded).
 
-    One scan: rows are summed per combination of members, then that small table is turned on its dimensions.
+    One scan: rows are summed per combination of members, then that table is turned on its dimensions. A dimension with
+    very many members is ranked in chunks.
     """
 
     def within(span: tuple[str, str]) -> Column:
@@ -60,10 +62,12 @@ def root_cause(
     )
     sums = members.groupBy("dimension", "member").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
     sums = sums.withColumn("change", F.col("after") - F.col("before"))
-    total = F.sum("change").over(Window.partitionBy("dimension"))
-    largest = Window.partitionBy("dimension").orderBy(F.desc(F.abs("change")), "member")
-    return sums.withColumn("share_of_change", F.try_divide("change", total)).withColumn(
-        "rank", F.row_number().over(largest)
+    sums = sums.withColumn("_size", F.abs("change"))
+    totals = sums.groupBy("dimension").agg(F.sum("change").alias("_total"))
+    ranked = row_position(sums, "dimension", [("_size", True), "member"], "rank")
+    return join_groups(ranked, totals, ["dimension"]).select(
+        "dimension", "member", "before", "after", "change", F.try_divide("change", "_total").alias("share_of_change"),
+        F.col("rank").cast("int").alias("rank"),
     )
 
 

@@ -45,7 +45,7 @@ def _broken(rule: Rule) -> Column:
 
 
 def check_expectations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Failing rows and their share per rule: all row rules in one aggregation, uniqueness by group counts."""
+    """Failing rows and their share per rule: all row rules in one aggregation, all unique columns in another."""
     row_rules = [r for r in rules if r.kind != "unique"]
     parts = []
     if row_rules:
@@ -58,12 +58,17 @@ def check_expectations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 F.struct(F.lit(r.name).alias("rule"), F.col(f"f_{i}").alias("failing")) for i, r in enumerate(row_rules)
             ])),
         ))
-    for rule in (r for r in rules if r.kind == "unique"):
-        copies = df.groupBy(col(rule.column)).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(copies.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when((F.col("n") > 1) & col(rule.column).isNotNull(), F.col("n"))), F.lit(0)).alias("failing"),
-        ).select("rows", F.lit(rule.name).alias("rule"), "failing"))
+    unique = [r for r in rules if r.kind == "unique"]
+    if unique:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), col(r.column).cast("string").alias("value")) for i, r in enumerate(unique)])
+        copies = df.select(F.inline(cells)).groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+        repeated = F.when((F.col("n") > 1) & F.col("value").isNotNull(), F.col("n"))
+        counted = copies.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(repeated), F.lit(0)).alias("failing"))
+        # a row per rule also for an empty table
+        listed = df.sparkSession.createDataFrame([(i, r.name) for i, r in enumerate(unique)], "i int, rule string")
+        parts.append(listed.join(counted, "i", "left").select(
+            F.coalesce("rows", F.lit(0)).alias("rows"), "rule", F.coalesce("failing", F.lit(0)).alias("failing")
+        ))
     all_rules = reduce(DataFrame.unionByName, parts)
     return all_rules.select(
         "rule", "failing", F.coalesce(F.try_divide("failing", "rows"), F.lit(0.0)).alias("share"),

@@ -102,10 +102,9 @@ def source_landing_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "counts")
-    numbers = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    numbers.write.option("header", True).csv(path)
+    table(spark, sf_dir, "documents").write.options(header=True, quoteAll=True, escape='"').csv(path)
     parquet = landing.count_rows_by_file(spark, f"{sf_dir}/lineitem.parquet", "parquet")
-    csv = landing.count_rows_by_file(spark, path, "csv").agg(F.sum("row_count").alias("row_count"))
+    csv = landing.count_rows_by_file(spark, path, "csv", multi_line=True).agg(F.sum("row_count").alias("row_count"))
     return parquet.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "row_count").unionByName(
         csv.select(F.lit("documents.csv").alias("file_name"), "row_count")
     )

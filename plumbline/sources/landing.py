@@ -121,10 +121,16 @@ def admit_files(catalog: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFr
     return catalog.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
-def count_rows_by_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows per file without reading columns: Parquet from row groups, text by its lines (CSV less its header)."""
+def count_rows_by_file(spark: SparkSession, path: str, kind: str, multi_line: bool = False) -> DataFrame:
+    """Rows per file without reading columns: Parquet from row groups, text by its lines (CSV less its header).
+
+    ``multi_line`` is for CSV with line breaks inside quotes, whose records are then parsed.
+    """
     if kind == "parquet":
         rows = spark.read.parquet(path)
+    elif kind == "csv" and multi_line:
+        rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+        kind = "records"
     else:
         rows = spark.read.text(path).filter(F.length("value") > 0)
     counts = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
