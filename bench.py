@@ -9,9 +9,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from plumbline.operators.profile import summarize  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from plumbline.operators.profile import profile_columns, summarize  # noqa: E402
 from plumbline.plans import all_queries  # noqa: E402
-from plumbline.session import local_session  # noqa: E402
+from plumbline.session import local_session, shared_folder  # noqa: E402
+from plumbline.sources.readers import read_table  # noqa: E402
 
 HEADLINE = (
     "profile_summary_sketch",
@@ -55,6 +58,16 @@ def warm_up(spark, sf_dir: str) -> None:
         df.mapInPandas(lambda batches: batches, df.schema).groupBy(df.columns[0]).count().collect()
 
 
+def million_rows(spark) -> str:
+    """A CSV of 1,000,000 rows and four columns, the input of the reference's own timing."""
+    path = shared_folder(spark, "million")
+    spark.range(1_000_000).select(
+        "id", F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("category"),
+        (F.col("id") * 0.37 % 1000).alias("value"), (F.col("id") % 3 == 0).alias("is_active"),
+    ).write.option("header", True).csv(path)
+    return path
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -63,6 +76,10 @@ def main() -> None:
     builders = all_queries.builders()
     warm_up(spark, sf_dir)
     seconds = {}
+    path = million_rows(spark)
+    start = time.perf_counter()
+    profile_columns(read_table(spark, path, "csv"), exact=False).collect()
+    seconds["profile_csv_million"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         builders[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
