@@ -17,38 +17,41 @@ NO_ID, LINES = str(2**63), 2**32
 FILTER_WORDS = 17
 
 
-def segment(length: Column, number: int, segments: int) -> tuple[Column, Column]:
+def segment(length: Column, number: Column, segments: int) -> tuple[Column, Column]:
     """(first position from 0, length) of one of the almost equal segments of a line of ``length`` characters."""
     start = (length * number / segments).cast("int")
     return start, (length * (number + 1) / segments).cast("int") - start
 
 
-def index_keys(line: Column, max_edits: int, length: Column | None = None) -> Column:
-    """A key for each of the ``max_edits + 1`` segments: hash of line length, segment number and substring."""
-    n, keys = F.length(line) if length is None else length, []
-    for number in range(max_edits + 1):
-        start, size = segment(n, number, max_edits + 1)
-        keys.append(F.xxhash64(n, F.lit(number), F.substring(line, start + 1, size)))
-    return F.array(*keys)
+def index_shapes(max_edits: int) -> Column:
+    """The segments that a line is posted under, as array<struct<shorter, number, shift>>; see ``key_of``."""
+    return _shapes([(0, number, 0) for number in range(max_edits + 1)])
 
 
-def probe_keys(line: Column, max_edits: int, length: Column | None = None) -> Column:
-    """Keys under which a line of the same length or up to ``max_edits`` shorter is indexed if it is within ``max_edits``.
+def probe_shapes(max_edits: int) -> Column:
+    """Where to look for the segments of lines of the same length or up to ``max_edits`` shorter, within ``max_edits``.
 
     A line that is shorter by d keeps some segment unchanged, and, looking for it from both ends of the line, it
     is enough to seek segment k shifted by s with |s| <= k, |s - d| <= max_edits - k and
     |s| + |s - d| <= max_edits: edits before it and edits behind it.
     """
-    n, keys = F.length(line) if length is None else length, []
-    for shorter in range(max_edits + 1):
-        m = n - shorter
-        for number in range(max_edits + 1):
-            start, size = segment(m, number, max_edits + 1)
-            for shift in range(-number, number + 1):
-                if abs(shift - shorter) <= max_edits - number and abs(shift) + abs(shift - shorter) <= max_edits:
-                    inside = (start + shift >= 0) & (start + shift + size <= n)
-                    keys.append(F.when(inside, F.xxhash64(m, F.lit(number), F.substring(line, start + shift + 1, size))))
-    return F.array(*keys)
+    return _shapes([
+        (shorter, number, shift)
+        for shorter in range(max_edits + 1) for number in range(max_edits + 1) for shift in range(-number, number + 1)
+        if abs(shift - shorter) <= max_edits - number and abs(shift) + abs(shift - shorter) <= max_edits
+    ])
+
+
+def _shapes(shapes: list[tuple[int, int, int]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("shorter", "number", "shift"))]) for s in shapes])
+
+
+def key_of(line: Column, length: Column, shape: Column, max_edits: int) -> Column:
+    """Hash of a length, a segment's number and the characters at that segment's place; null if they would lie outside."""
+    of = length - shape["shorter"]
+    start, size = segment(of, shape["number"], max_edits + 1)
+    at = start + shape["shift"]
+    return F.when((at >= 0) & (at + size <= length), F.xxhash64(of, shape["number"], F.substring(line, at + 1, size)))
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,6 +103,17 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), distance)
 
 
+def pair_parity(line: Column) -> Column:
+    """64 bits: of each, whether an odd number of the line's neighbouring characters hash to it.
+
+    An edit takes away at most two pairs of neighbours and brings two, so it turns at most four bits.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    pairs = lambda letters: F.transform(letters, lambda c, i: F.xxhash64(F.get(letters, i - 1), c))
+    hashed = _with(F.split(line, ""), pairs)
+    return F.aggregate(hashed, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
 def _banded(a: Column, b: Column, m: Column, n: Column, k: int) -> Column:
     width = 2 * k + 1
     full = (1 << width) - 1
@@ -185,8 +199,8 @@ def deduplicate_lines(
     Each line is cut into ``max_edits + 1`` segments, one of which every linked line has too, shifted by a few
     characters at most. Lines are posted under their segments (with length and number) and probe those of lines as long
     or a little shorter. A posting list's members are compared with its first line; only lists whose members then fall
-    into several classes are compared further, across classes, with the distance in the join's condition: no list of
-    pairs arises from a segment that thousands of lines share. Candidates are verified by ``edit_distance_within``.
+    into several classes are compared further, across classes, in the join's condition, first by the bits of ``pair_parity``, then by
+    distance: no list of pairs arises from a segment that thousands of lines share. Candidates are verified by ``edit_distance_within``.
     Texts are moved only where they are needed: filters of fixed size find the candidate lines and the documents that
     lose lines; all other rows pass by the joins.
 
@@ -205,9 +219,13 @@ def deduplicate_lines(
     place = F.coalesce("id", F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("number")
     lines = long.select("line", "length", F.xxhash64("line").alias("h1"))
 
-    posted = lines.select("h1", F.explode(index_keys(F.col("line"), max_edits, F.col("length"))).alias("key"))
-    heads = posted.groupBy("key").agg(F.min("h1").alias("head"))
-    probes = lines.select("h1", F.explode(probe_keys(F.col("line"), max_edits, F.col("length"))).alias("key")).filter("key is not null")
+    def keyed(shapes: Column) -> DataFrame:
+        """(h1, key) of every line and shape: a row per shape first, so that the key is one small expression."""
+        each = lines.select("line", "length", "h1", F.explode(shapes).alias("shape"))
+        return each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
+
+    heads = keyed(index_shapes(max_edits)).groupBy("key").agg(F.min("h1").alias("head"))
+    probes = keyed(probe_shapes(max_edits))
     met = saved(probes.join(heads, "key").filter("h1 <> head").distinct(), "line-lists")
     members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
     wanted = members.select(F.col("h1").alias("key")).distinct()
@@ -230,12 +248,15 @@ def deduplicate_lines(
     grouped = members.join(classes, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("class"))
     several = grouped.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
     open_ = saved(
-        grouped.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi").join(candidate, "h1"), "line-open"
+        grouped.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi")
+        .join(candidate.withColumn("parity", pair_parity(F.col("line"))), "h1"),
+        "line-open",
     )
-    other = open_.select("key", F.col("h1").alias("b"), F.col("class").alias("class_b"), F.col("line").alias("line_b"))
+    other = open_.select("key", F.col("h1").alias("b"), F.col("class").alias("class_b"), F.col("line").alias("line_b"), F.col("parity").alias("parity_b"))
     across = open_.join(
         other,
         (open_["key"] == other["key"]) & (open_["h1"] < other["b"]) & (open_["class"] != other["class_b"])
+        & (F.bit_count(open_["parity"].bitwiseXOR(other["parity_b"])) <= 4 * max_edits)
         & (F.levenshtein(open_["line"], other["line_b"], max_edits) >= 0),
     ).select(open_["h1"].alias("a"), other["b"])
     united = connected_components(stars.unionByName(verified(across)))
@@ -254,11 +275,11 @@ def deduplicate_lines(
         "line-dropped",
     )
 
-    keyed = whole.withColumn("text_key", F.xxhash64("text"))
+    rows = whole.withColumn("text_key", F.xxhash64("text"))
     doc_key = F.xxhash64(F.coalesce("id", F.lit(0)), "text_key")
     hit = _maybe(_bits(dropped.select(doc_key.alias("key"))), doc_key)
     loss = dropped.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "numbers")
-    flagged = keyed.withColumn("hit", hit)
+    flagged = rows.withColumn("hit", hit)
     shortened = flagged.filter("hit").join(
         loss, flagged["id"].eqNullSafe(loss["lost_id"]) & (flagged["text_key"] == loss["lost_key"]), "left"
     )

@@ -14,7 +14,7 @@ import corpus_pipeline
 from plumbline.llm import embedding_dedup
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.graph import connected_components
-from plumbline.llm.line_dedup import deduplicate_lines, edit_distance_within, index_keys, probe_keys
+from plumbline.llm.line_dedup import deduplicate_lines, edit_distance_within, index_shapes, key_of, pair_parity, probe_shapes
 from plumbline.llm.minhash import drop_near_duplicates, near_duplicates, odd_sketch
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.warc import read_archive, write_archive
@@ -62,9 +62,12 @@ def test_edit_distance(spark):
     for k in (1, 2):
         want = F.least(F.levenshtein("a", "b"), F.when(F.col("a").isNotNull(), k + 1))
         assert df.filter(~edit_distance_within(F.col("a"), F.col("b"), k).eqNullSafe(want)).count() == 0
+    near = df.filter("levenshtein(a, b) <= 2").select(pair_parity(F.col("a")).alias("x"), pair_parity(F.col("b")).alias("y"))
+    assert near.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) > 8).count() == 0 and near.filter("x <> y").count() > 50
+    keys = lambda c, shapes: F.transform(shapes, lambda s: key_of(F.col(c), F.length(c), s, 2))
     close = df.filter("length(a) >= 9 and length(b) <= length(a) and levenshtein(a, b) <= 2")
     assert close.count() > 50
-    assert close.filter(~F.arrays_overlap(probe_keys(F.col("a"), 2), index_keys(F.col("b"), 2))).count() == 0
+    assert close.filter(~F.arrays_overlap(keys("a", probe_shapes(2)), keys("b", index_shapes(2)))).count() == 0
 
 
 def brute_lines(docs, edits, least):
