@@ -237,8 +237,8 @@ def test_quality(spark):
 def test_pipeline(spark):
     shared = prose(60)
     clean = [prose(70) + "\n" + prose(30) for _ in range(12)]
-    changed = clean[1].replace("\n", " another\n").split(" ")
-    changed[10] = "replaced"
+    changed = clean[1].split(" ")
+    changed[10] = changed[-1] = "replaced"
     texts = [*clean, shared + "\n" + prose(40), prose(40) + "\n" + shared, clean[0], " ".join(changed), None, "", "12 34 !!", prose(30) + " token = abcdefgh12345"]
     rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
