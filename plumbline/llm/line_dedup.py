@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import col
-from plumbline.llm.common import saved
+from plumbline.llm.common import saved, words
 from plumbline.llm.graph import connected_components
 
 #: Lines of a null id come after all others; a place is id * LINES + line number.
 NO_ID, LINES = str(2**63), 2**32
 #: Bits of the fixed-size filter that spares most texts a shuffle: 2 ** FILTER_WORDS words of 64.
 FILTER_WORDS = 17
+#: (least words of a line, edits of whole words allowed): about a tenth of the words, less for the longest lines.
+WORD_BANDS = ((10, 1), (20, 2), (40, 4), (80, 6), (160, 8), (320, 12), (640, 16), (1280, 24), (2560, 32), (5120, 48), (10240, 64), (20480, 96))
 
 
 def segment(length: Column, number: Column, segments: int) -> tuple[Column, Column]:
@@ -54,6 +56,85 @@ def key_of(line: Column, length: Column, shape: Column, max_edits: int) -> Colum
     return F.when((at >= 0) & (at + size <= length), F.xxhash64(of, shape["number"], F.substring(line, at + 1, size)))
 
 
+def _bands(n_words: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """array<struct<least, edits, size, own>>: the band of a line, and the one below if lines of that may be near it."""
+    held = []
+    for (least, edits), (above, _) in zip(bands, [*bands[1:], (None, None)]):
+        band = F.struct(F.lit(least).alias("least"), F.lit(edits).alias("edits"), F.lit(least // (edits + 1)).alias("size"))
+        own = F.lit(True) if above is None else n_words < above
+        reached = F.lit(True) if above is None else n_words < above + edits
+        held.append(F.when((n_words >= least) & reached, band.withField("own", own)))
+    return F.filter(F.array(*held), lambda band: band.isNotNull())
+
+
+def word_keys(line: Column, n_words: Column, bands: tuple[tuple[int, int], ...], probe: bool) -> Column:
+    """Hashes of runs of words, array<long>: a line's first ``edits + 1`` runs of ``size`` words, or where it seeks those of others.
+
+    Of two lines within ``edits`` edits of words, one has a run i unchanged with at most i edits before it: counting
+    the edits that fall into each run, take the first run up to whose end there are fewer edits than runs. So
+    it is enough to seek run i shifted by -i to i words.
+    """
+
+    def of_band(band: Column, hashes: Column) -> Column:
+        def run(i: Column, shift: Column) -> Column:
+            at = i * band["size"] + shift
+            return F.when(at + band["size"] <= n_words, F.xxhash64(band["least"], i, F.slice(hashes, at + 1, band["size"])))
+
+        shifts = lambda i: F.sequence(-i, i) if probe else F.array(F.lit(0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), band["edits"]), lambda i: F.transform(shifts(i), lambda shift: run(i, shift))))
+
+    wanted = _bands(n_words, bands) if probe else F.filter(_bands(n_words, bands), lambda band: band["own"])
+    hashed = F.transform(words(line), lambda word: F.xxhash64(word))
+    return _with(hashed, lambda hashes: F.flatten(F.transform(wanted, lambda band: of_band(band, hashes))))
+
+
+def _letters(codes: Column) -> Column:
+    """A text with one character for each of the numbers, which are below 2 ** 20."""
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + 0x10000), 8, "0")), "")), "UTF-32")
+
+
+def word_letters(line: Column) -> Column:
+    """The words of a line, each as one character drawn by its hash: equal words are equal, different ones nearly always differ."""
+    return _letters(F.transform(words(line), lambda word: F.pmod(F.xxhash64(word), F.lit(1 << 20))))
+
+
+def word_parity(line: Column) -> Column:
+    """64 bits: of each, whether an odd number of the line's words hash to it. An edit of a word turns at most two."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    return F.aggregate(words(line), F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(F.xxhash64(word))))
+
+
+def _as_letters(a: Column, b: Column) -> Column:
+    """struct<a, b>: the words of two lines, each as one character by its place among the words of both."""
+
+    def placed(known: Column, line: Column) -> Column:
+        return _letters(F.transform(words(line), lambda word: F.call_function("array_position", known, word)))
+
+    every = F.array_distinct(F.concat(words(a), words(b)))
+    return _with(every, lambda known: F.struct(placed(known, a).alias("a"), placed(known, b).alias("b")))
+
+
+def words_within(bands: tuple[tuple[int, int], ...], exact: bool) -> Column:
+    """Whether the lines of the two sides (columns of ``_a`` and ``_b``) are within the edits of words that the shorter one allows.
+
+    If not ``exact``, words are told apart by ``word_letters`` only, and a pair too many may pass, but none is lost.
+    """
+    n_a, n_b = F.col("n_words_a"), F.col("n_words_b")
+    turned = F.bit_count(F.col("words_a").bitwiseXOR(F.col("words_b")))
+
+    def of_band(held: Callable[[int], Column]) -> Column:
+        near = F.lit(False)
+        for least, edits in bands:
+            near = F.when(F.least(n_a, n_b) >= least, held(edits)).otherwise(near)
+        return near
+
+    def within(a: Column, b: Column) -> Column:
+        return of_band(lambda edits: F.levenshtein(a, b, edits) >= 0)
+
+    near = of_band(lambda edits: (F.abs(n_a - n_b) <= edits) & (turned <= 2 * edits)) & within(F.col("letters_a"), F.col("letters_b"))
+    return near & _with(_as_letters(F.col("line_a"), F.col("line_b")), lambda p: within(p["a"], p["b"])) if exact else near
+
+
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.transform(F.array(value), use)[0]
@@ -189,18 +270,21 @@ def deduplicate_lines(
     least_chars: int = 24,
     id_column: str = "doc_id",
     text_column: str = "text",
+    word_bands: tuple[tuple[int, int], ...] = WORD_BANDS,
 ) -> DataFrame:
-    """Drop from every document the lines that, but for ``max_edits`` edits, stand at an earlier place of the corpus.
+    """Drop from every document the lines that, but for a few edits, stand at an earlier place of the corpus.
 
     Lines are what ``\\n`` separates. Those of at least ``least_chars`` characters count; shorter ones always stay. Two
-    lines are linked if their Levenshtein distance is at most ``max_edits``; linked lines form classes, and of a class
+    lines are linked if their Levenshtein distance is at most ``max_edits`` characters, or at most as many whole words as
+    ``word_bands`` allows for the number of words of the shorter one; linked lines form classes, and of a class
     the first place stays, in order of doc_id and line number.
 
     Each line is cut into ``max_edits + 1`` segments, one of which every linked line has too, shifted by a few
     characters at most. Lines are posted under their segments (with length and number) and probe those of lines as long
-    or a little shorter. A posting list's members are compared with its first line; only lists whose members then fall
-    into several classes are compared further, across classes, in the join's condition, first by the bits of ``pair_parity``, then by
-    distance: no list of pairs arises from a segment that thousands of lines share. Candidates are verified by ``edit_distance_within``.
+    or a little shorter; likewise under runs of words, see ``word_keys``. Lines whose edits of words cover any ``max_edits``
+    edits of characters do without segments of characters. A posting list's members are compared with its first line; only lists whose members then fall
+    into several classes are compared further, across classes, in the join's condition, first by the bits of ``pair_parity`` or ``word_parity``, then by
+    distance: no list of pairs arises from a segment that thousands of lines share. Candidates are verified by ``edit_distance_within`` or the distance in words.
     Texts are moved only where they are needed: filters of fixed size find the candidate lines and the documents that
     lose lines; all other rows pass by the joins.
 
@@ -217,28 +301,40 @@ def deduplicate_lines(
     split = texts.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
     long = split.withColumn("length", F.length("line")).filter(F.col("length") >= least_chars)
     place = F.coalesce("id", F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("number")
-    lines = long.select("line", "length", F.xxhash64("line").alias("h1"))
-
-    def keyed(shapes: Column) -> DataFrame:
-        """(h1, key) of every line and shape: a row per shape first, so that the key is one small expression."""
-        each = lines.select("line", "length", "h1", F.explode(shapes).alias("shape"))
-        return each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
-
-    heads = keyed(index_shapes(max_edits)).groupBy("key").agg(F.min("h1").alias("head"))
-    probes = keyed(probe_shapes(max_edits))
+    lines = long.select("line", "length", F.xxhash64("line").alias("h1")).withColumn("n_words", F.size(words(F.col("line"))))
+    # an edit of a character is at most two of words, so from here on the words find all pairs; it moves a line by one word at most
+    covered = min((least for least, edits in word_bands if edits >= 2 * max_edits), default=None)
+    spelled = lines if covered is None else lines.filter(F.col("n_words") < covered + max_edits)
+
+    def keyed(shapes: Column, probe: bool) -> DataFrame:
+        """(h1, key) of every line and shape: a row per shape first, so that the key is one small expression; and of its runs of words."""
+        each = spelled.select("line", "length", "h1", F.explode(shapes).alias("shape"))
+        keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key"))
+        if word_bands:
+            worded = lines.filter(F.col("n_words") >= word_bands[0][0])
+            runs = word_keys(F.col("line"), F.col("n_words"), word_bands, probe)
+            keys = keys.unionByName(worded.select("h1", F.explode(runs).alias("key")))
+        return keys.filter("key is not null")
+
+    heads = keyed(index_shapes(max_edits), False).groupBy("key").agg(F.min("h1").alias("head"))
+    probes = keyed(probe_shapes(max_edits), True)
     met = saved(probes.join(heads, "key").filter("h1 <> head").distinct(), "line-lists")
     members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
     wanted = members.select(F.col("h1").alias("key")).distinct()
     candidate = saved(
-        lines.select("line", "h1").filter(_maybe(_bits(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct(),
+        lines.select("line", "h1").filter(_maybe(_bits(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
+        .withColumn("n_words", F.size(words(F.col("line")))).withColumn("letters", word_letters(F.col("line"))).withColumn("words", word_parity(F.col("line"))),
         "line-texts",
     )
+    own = ("line", "n_words", "letters", "words")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda n: candidate.select(F.col("h1").alias(n), F.col("line").alias(f"line_{n}"))
+        side = lambda n: candidate.select(F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in own])
+        close = edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits
+        lengths = F.abs(F.length("line_a") - F.length("line_b")) <= max_edits
         return saved(
             pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-            .filter(edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits).select("a", "b"),
+            .filter((lengths & close) | words_within(word_bands, exact=True)).select("a", "b"),
             "line-links",
         )
 
@@ -252,13 +348,17 @@ def deduplicate_lines(
         .join(candidate.withColumn("parity", pair_parity(F.col("line"))), "h1"),
         "line-open",
     )
-    other = open_.select("key", F.col("h1").alias("b"), F.col("class").alias("class_b"), F.col("line").alias("line_b"), F.col("parity").alias("parity_b"))
-    across = open_.join(
+    side = lambda n: open_.select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "parity", *own)])
+    one, other = side("a"), side("b")
+    across = one.join(
         other,
-        (open_["key"] == other["key"]) & (open_["h1"] < other["b"]) & (open_["class"] != other["class_b"])
-        & (F.bit_count(open_["parity"].bitwiseXOR(other["parity_b"])) <= 4 * max_edits)
-        & (F.levenshtein(open_["line"], other["line_b"], max_edits) >= 0),
-    ).select(open_["h1"].alias("a"), other["b"])
+        (one["key"] == other["key"]) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
+        & (
+            (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
+            & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
+            | words_within(word_bands, exact=False)
+        ),
+    ).select("a", "b")
     united = connected_components(stars.unionByName(verified(across)))
 
     located = saved(long.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")

@@ -14,7 +14,7 @@ import corpus_pipeline
 from plumbline.llm import embedding_dedup
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.graph import connected_components
-from plumbline.llm.line_dedup import deduplicate_lines, edit_distance_within, index_shapes, key_of, pair_parity, probe_shapes
+from plumbline.llm.line_dedup import WORD_BANDS, deduplicate_lines, edit_distance_within, index_shapes, key_of, pair_parity, probe_shapes
 from plumbline.llm.minhash import drop_near_duplicates, near_duplicates, odd_sketch
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.warc import read_archive, write_archive
@@ -119,6 +119,39 @@ def test_lines(spark):
     assert deduplicate_lines(table.limit(0)).count() == 0
 
 
+def test_long_lines_by_words(spark):
+    def word_distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    r, docs = random.Random(5), []
+    passage = [r.choice(VOCABULARY) for _ in range(9)]
+    for n in (9, 10, 11, 19, 20, 21, 22, 39, 40, 41, 43, 44, 79, 83, 90, 165):
+        for _ in range(2):
+            first = passage + [r.choice(VOCABULARY) for _ in range(n - 9)]
+            docs.append(first)
+            for edits in (1, 2, 3, 5, 8):
+                copy = list(first)
+                for _ in range(edits):
+                    at = r.randrange(len(copy))
+                    copy[at : at + r.randint(0, 1)] = [["anotherratherlongword"], ["x", "y"][: r.randint(0, 2)]][r.randint(0, 1)]
+                docs.append(copy)
+    lines = [" ".join(d) for d in docs]
+    limit = lambda n: max([0, *[edits for least, edits in WORD_BANDS if n >= least]])
+    letters = lambda i, j: len(lines[i]) - len(lines[j]) in range(-2, 3) and word_distance(lines[i], lines[j]) <= 2
+    near = lambda a, b: abs(len(a) - len(b)) <= (k := limit(min(len(a), len(b)))) and word_distance(a, b) <= k
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if near(docs[i], docs[j]) or letters(i, j)]
+    top = roots(len(docs), pairs)
+    assert len(set(top)) < len(docs) < len(pairs) + len(set(top))
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    found = {row.doc_id: row.n_dropped for row in deduplicate_lines(table).collect()}
+    assert found == {i: int(top[i] != i) for i in range(len(docs))}
+
+
 def shingles(text, width):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
