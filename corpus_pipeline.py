@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines seen earlier in the corpus go, and documents that have no word left after it."""
-    done = deduplicate_lines(docs)
+    done = deduplicate_lines(docs, short_copies=True)
     kept = done.filter((F.col("n_dropped") == 0) | (F.size(words(F.col("text"))) > 0))
     return _with_text(kept, F.col("text")).select(docs.columns)
 

@@ -271,10 +271,12 @@ def deduplicate_lines(
     id_column: str = "doc_id",
     text_column: str = "text",
     word_bands: tuple[tuple[int, int], ...] = WORD_BANDS,
+    short_copies: bool = False,
 ) -> DataFrame:
     """Drop from every document the lines that, but for a few edits, stand at an earlier place of the corpus.
 
-    Lines are what ``\\n`` separates. Those of at least ``least_chars`` characters count; shorter ones always stay. Two
+    Lines are what ``\\n`` separates. Those of at least ``least_chars`` characters count; of shorter ones, with ``short_copies``,
+    those with a letter count as exact copies only, and all others always stay. Two longer
     lines are linked if their Levenshtein distance is at most ``max_edits`` characters, or at most as many whole words as
     ``word_bands`` allows for the number of words of the shorter one; linked lines form classes, and of a class
     the first place stays, in order of doc_id and line number.
@@ -299,7 +301,9 @@ def deduplicate_lines(
     )
     texts = whole.select("id", "text", F.xxhash64("text").alias("text_key"))
     split = texts.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
-    long = split.withColumn("length", F.length("line")).filter(F.col("length") >= least_chars)
+    sized = split.withColumn("length", F.length("line"))
+    long = sized.filter(F.col("length") >= least_chars)
+    counted = sized.filter((F.col("length") >= least_chars) | F.col("line").rlike(r"\p{L}")) if short_copies else long
     place = F.coalesce("id", F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("number")
     lines = long.select("line", "length", F.xxhash64("line").alias("h1")).withColumn("n_words", F.size(words(F.col("line"))))
     # an edit of a character is at most two of words, so from here on the words find all pairs; it moves a line by one word at most
@@ -361,7 +365,7 @@ def deduplicate_lines(
     ).select("a", "b")
     united = connected_components(stars.unionByName(verified(across)))
 
-    located = saved(long.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")
+    located = saved(counted.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")
     placed = located.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).join(
         united, F.col("h1") == F.col("node"), "left"
     )

@@ -71,7 +71,7 @@ def minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return deduplicate_lines(table(spark, sf_dir, "documents"), short_copies=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

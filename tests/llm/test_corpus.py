@@ -152,6 +152,16 @@ def test_long_lines_by_words(spark):
     assert found == {i: int(top[i] != i) for i in range(len(docs))}
 
 
+def test_short_lines_go_as_exact_copies(spark):
+    rows = [(1, "All rights reserved.\n\n---\n12"), (2, "one\nAll rights reserved.\n\n---\n12\nAll rights reserved"), (None, "one\none\n等\n等")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in deduplicate_lines(table, short_copies=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("one\n\n---\n12\nAll rights reserved", 1), None: ("等", 3)}
+    assert {r.n_dropped for r in deduplicate_lines(table).collect()} == {0}
+    staged = corpus_pipeline.lines(spark, table.withColumn("n_chars", F.length("text").cast("long")), "")
+    assert {r.doc_id: r.text for r in staged.collect()} == {doc: text for doc, (text, _) in got.items()}
+
+
 def shingles(text, width):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
