@@ -25,8 +25,10 @@ TOKEN_END = re.compile(r"\S*")
 NOT_DIGIT = re.compile(r"[^0-9]")
 EDGE = "\"'.,;:!?()[]{}<>|*#"
 
-#: Dimensions of the hashed features, labelled tokens to learn from at most, rounds of learning and of message passing.
-FEATURES, SAMPLE, EPOCHS, PASSES = 1 << 10, 20_000, 60, 10
+#: Dimensions of the hashed features, labelled tokens to learn from at most, rounds of learning.
+FEATURES, SAMPLE, EPOCHS = 1 << 10, 20_000, 60
+#: Message passing ends once no message moves by more than SETTLED, and at the latest after PASSES rounds.
+SETTLED, PASSES = 1e-4, 1000
 #: Log-potential of equal labels on a skip edge, of a rule's own label, and the probability from which a span is added.
 SKIP, EVIDENCE, SURE = 6.0, 30.0, 0.9
 
@@ -161,41 +163,56 @@ def fit_field(slots: np.ndarray, labels: np.ndarray, before: np.ndarray) -> Fiel
     return Field(weights, np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))))
 
 
-def edges_of(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, whether a skip edge): neighbours in the text, and each token with the next of the same core in its document."""
-    pairs, skip, last = [], [], {}
+def edges_of(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, int]:
+    """(pairs, whether a skip edge, hubs): neighbours in the text, and each token with the hub of its core in its document.
+
+    A hub is a variable without evidence of its own, numbered behind the tokens, for each core that a document has more than
+    once; so all repetitions are two links apart, however many there are.
+    """
+    pairs, skip, members = [], [], {}
     for i in range(len(tokens)):
         if tokens.follows[i]:
             pairs.append((i - 1, i))
             skip.append(False)
         if tokens.core[i]:
-            key = (tokens.doc[i], tokens.core[i])
-            if key in last and not (tokens.follows[i] and last[key] == i - 1):
-                pairs.append((last[key], i))
-                skip.append(True)
-            last[key] = i
-    return np.array(pairs, np.int64).reshape(-1, 2), np.array(skip, bool)
+            members.setdefault((tokens.doc[i], tokens.core[i]), []).append(i)
+    repeated = [own for own in members.values() if len(own) > 1]
+    for hub, own in enumerate(repeated, len(tokens)):
+        pairs += [(i, hub) for i in own]
+        skip += [True] * len(own)
+    return np.array(pairs, np.int64).reshape(-1, 2), np.array(skip, bool), len(repeated)
 
 
 def marginals(tokens: Tokens, field: Field) -> np.ndarray:
     """Label probabilities of each token by loopy message passing over chain and skip edges of all documents at once."""
-    belief = field.weights[feature_slots(tokens)].sum(axis=1)
+    own = field.weights[feature_slots(tokens)].sum(axis=1)
     labels = np.array(tokens.label)
-    belief[np.arange(len(tokens)), labels] += np.where(labels > 0, EVIDENCE, 0)
-    pairs, skip = edges_of(tokens)
+    own[np.arange(len(tokens)), labels] += np.where(labels > 0, EVIDENCE, 0)
+    pairs, skip, hubs = edges_of(tokens)
+    belief = np.concatenate([own, np.zeros((hubs, LABELS))])
     if len(pairs):
         potential = np.where(skip[:, None, None], SKIP * np.eye(LABELS), field.chain)
         source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         messages = np.zeros((len(source), LABELS))
+        # documents share no edge: those whose messages have settled are left out of later rounds
+        doc = np.array(tokens.doc)[pairs[:, 0]]
+        doc = np.concatenate([doc, doc])
+        moving = np.arange(len(source))
         for _ in range(PASSES):
             heard = belief.copy()
-            np.add.at(heard, target, messages)
-            sent = (heard[source] - messages[back])[:, :, None] + potential
+            np.add.at(heard, target[moving], messages[moving])
+            sent = (heard[source[moving]] - messages[back[moving]])[:, :, None] + potential[moving]
             fresh = np.logaddexp.reduce(sent, axis=1)
-            messages = 0.5 * messages + 0.5 * (fresh - fresh.max(axis=1, keepdims=True))
+            fresh = fresh - fresh.max(axis=1, keepdims=True)
+            moved = np.abs(fresh - messages[moving]).max(axis=1) > SETTLED
+            messages[moving] = 0.5 * messages[moving] + 0.5 * fresh
+            moving = moving[np.isin(doc[moving], doc[moving][moved])]
+            if not len(moving):
+                break
         np.add.at(belief, target, messages)
+    belief = belief[: len(tokens)]
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)
 
@@ -251,8 +268,8 @@ def find_personal_data(docs: DataFrame, field: Field, id_column: str = "doc_id",
     """Find e-mail and IP addresses, card and phone numbers in every whole text.
 
     The fixed patterns' matches all stay. In each document the tokens with a digit or an at sign form a conditional random
-    field: label weights from hashed features, chain edges between neighbours, skip edges between tokens that repeat each
-    other's digits or address anywhere in the document. Message passing carries the label of a matched token to its
+    field: label weights from hashed features, chain edges between neighbours, skip edges that tie tokens with the
+    same digits or address anywhere in the document to one hub. Message passing carries the label of a matched token to its
     repetitions (a phone number written again without its country code, say); what then is labelled with a
     probability of at least ``SURE`` is added.
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm.langid import held_out, identify_language, keep_identified, language_prototypes
 from plumbline.llm.packing import fullest_set, pack_documents, plan_windows
-from plumbline.llm.pii import Field, base_spans, find_personal_data, fit_field, learn_field
+from plumbline.llm.pii import EVIDENCE, FEATURES, LABELS, SKIP, Field, base_spans, feature_slots, find_personal_data, fit_field, learn_field, marginals, signal_tokens
 from plumbline.llm.piece_codec import Encoder, PieceTable, encode_pieces
 from plumbline.llm.secrets import RULES, find_secrets, listed, redacted, trigram_query
 
@@ -185,6 +185,27 @@ def test_field_marks_what_repeats_a_match(spark, docs):
     assert find_personal_data(empty(docs), none).count() == 0
 
 
+@pytest.mark.parametrize("repetitions", [3, 15, 50])
+@pytest.mark.parametrize("leaning", [0.0, 1.0])
+def test_every_repetition_has_the_exact_marginals(repetitions, leaning):
+    text = "call +17755553054 now" + " and later 17755553054 again" * repetitions
+    tokens = signal_tokens([text], [base_spans(text)])
+    assert len(tokens) == repetitions + 1 and tokens.label == [4] + [0] * repetitions
+    weights = np.zeros((FEATURES, LABELS))
+    weights[np.unique(feature_slots(tokens)[1:]), 0] = leaning / 4
+    field = Field(weights, np.zeros((LABELS, LABELS)))
+    own = np.exp(weights[feature_slots(tokens)].sum(axis=1) + EVIDENCE * np.eye(LABELS)[tokens.label] * (np.array(tokens.label) > 0)[:, None])
+    tie = np.exp(SKIP * np.eye(LABELS))
+    # brute force: given the hub's label the tokens are independent
+    joint = np.array([[own[i] * tie[h] for h in range(LABELS)] for i in range(len(tokens))])
+    hub = np.log(joint.sum(axis=2)).sum(axis=0)
+    hub = np.exp(hub - hub.max()) / np.exp(hub - hub.max()).sum()
+    want = (joint / joint.sum(axis=2, keepdims=True) * hub[None, :, None]).sum(axis=1)
+    got = marginals(tokens, field)
+    assert np.abs(got - want).max() < 1e-3
+    assert leaning or (got[:, 4] > 0.9).all()
+
+
 def test_language(spark, docs):
     en, de = "the cat sat on the mat with that hat ", "die katze und der hund sind nicht schön "
     rows = [(i, (en if i % 2 else de) * (1 + i % 3), "en" if i % 2 else "de") for i in range(40)]
