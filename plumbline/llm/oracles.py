@@ -85,3 +85,51 @@ SECRETS = f"""
       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+SUBSTRINGS = """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+    x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS x FROM s),
+    f AS (SELECT x, min(doc_id) AS first FROM x GROUP BY x),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (x) WHERE first < doc_id),
+    r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+      sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+    FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
+def _vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256, scale: int = 1024) -> str:
+    def nearest(book: str) -> str:
+        """The nearest entry of each part: squared distances in whole numbers, ties to the lower entry."""
+        return f"""
+          SELECT vec_id, k, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+            SELECT p.vec_id, p.k, b.e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN {book} b ON b.k = p.k) GROUP BY vec_id, k"""
+
+    steps = "".join(f"""
+    a{r} AS MATERIALIZED ({nearest(f"b{r}")}),
+    s{r} AS MATERIALIZED (SELECT k, e, i, (sum(v)::BIGINT - ((sum(v)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS f
+      FROM (SELECT p.k, a.e, unnest(range(len(p.x))) AS i, unnest(p.x) AS v FROM p JOIN a{r} a ON a.vec_id = p.vec_id AND a.k = p.k) GROUP BY ALL),
+    b{r + 1} AS MATERIALIZED (SELECT b.k, b.e, coalesce(n.x, b.x) AS x FROM b{r} b
+      LEFT JOIN (SELECT k, e, list(f::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY k, e) n ON n.k = b.k AND n.e = b.e),""" for r in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (
+      SELECT vec_id, k, x[k * (len(x) // {parts}) + 1:(k + 1) * (len(x) // {parts})] AS x FROM v, range({parts}) r(k)),
+    b0 AS MATERIALIZED (
+      SELECT k, e, x FROM p JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v QUALIFY e < {entries}) USING (vec_id)),{steps}
+    z AS MATERIALIZED ({nearest(f"b{rounds}")}),
+    c AS (SELECT vec_id, string_agg(printf('%02x', e::INTEGER), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM z GROUP BY vec_id),
+    h AS (
+      SELECT sha256(string_agg(x, ',' ORDER BY k, e)) AS codebooks_sha256
+      FROM (SELECT k, e, array_to_string(x, ',') AS x FROM b{rounds}))
+    SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM v JOIN c ON c.vec_id = v.vec_id, h
+"""
+
+
+VECTOR_CODES = _vector_codes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import oracles
-from plumbline.llm.common import table
+from plumbline.functions.frames import join_groups
+from plumbline.llm.common import saved, table
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.langid import held_out, identify_language, language_prototypes
 from plumbline.llm.line_dedup import deduplicate_lines
@@ -19,6 +21,8 @@ from plumbline.llm.piece_codec import encode_pieces
 from plumbline.llm.pii import KINDS, find_personal_data, learn_field
 from plumbline.llm.quality import quality_rules
 from plumbline.llm.secrets import BASE, RULES, count_of, find_secrets, listed
+from plumbline.llm.substring_dedup import remove_repeated_passages
+from plumbline.llm.vector_codes import codebook_rows, encode, train_codebooks
 from plumbline.llm.warc import read_archive, write_archive
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +97,26 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    codebooks = train_codebooks(vectors, scale=1024, parts=4, entries=256, rounds=4)
+    digest = hashlib.sha256(",".join(str(v) for *_, v in codebook_rows(codebooks)).encode()).hexdigest()
+    coded = saved(
+        encode(vectors, codebooks, scale=1024).select(F.col("id").alias("vec_id"), "code", "error", F.col("source.label").alias("label")),
+        "vector-codes",
+    )
+    errors = coded.groupBy("label").agg(F.sum("error").alias("label_error"))
+    return join_groups(coded, errors, ["label"]).select(
+        "vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), width=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Builder] = {
     "op1_packing": packing,
     "op2_embedding_near_dedup": embedding_near_dedup,
@@ -104,10 +128,14 @@ QUERIES: dict[str, Builder] = {
     "op8_line_dedup": line_dedup,
     "op9_personal_data": personal_data,
     "op10_language_id": language_id,
+    "op11_vector_codes": vector_codes,
+    "op13_substring_dedup": substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": oracles.EMBEDDINGS,
     "op3_warc": oracles.WARC,
     "op5_secrets": oracles.SECRETS,
     "op6_minhash": oracles.MINHASH,
+    "op11_vector_codes": oracles.VECTOR_CODES,
+    "op13_substring_dedup": oracles.SUBSTRINGS,
 }
