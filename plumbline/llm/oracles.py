@@ -133,3 +133,22 @@ def _vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256, scale: in
 
 
 VECTOR_CODES = _vector_codes()
+
+HARD_NEGATIVES = """
+    WITH v AS MATERIALIZED (
+      SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (
+      SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+    p AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id,
+      (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INTEGER AS rank,
+      other_id AS negative_id, positive_score, score AS negative_score
+    FROM s JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+"""

@@ -13,6 +13,7 @@ from plumbline.llm import oracles
 from plumbline.functions.frames import join_groups
 from plumbline.llm.common import saved, table
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
+from plumbline.llm.hard_negatives import mine_hard_negatives
 from plumbline.llm.langid import held_out, identify_language, language_prototypes
 from plumbline.llm.line_dedup import deduplicate_lines
 from plumbline.llm.minhash import near_duplicates
@@ -111,6 +112,12 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"), width=13).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -129,6 +136,7 @@ QUERIES: dict[str, Builder] = {
     "op9_personal_data": personal_data,
     "op10_language_id": language_id,
     "op11_vector_codes": vector_codes,
+    "op12_hard_negatives": hard_negatives,
     "op13_substring_dedup": substring_dedup,
 }
 ORACLES: dict[str, str] = {
@@ -137,5 +145,6 @@ ORACLES: dict[str, str] = {
     "op5_secrets": oracles.SECRETS,
     "op6_minhash": oracles.MINHASH,
     "op11_vector_codes": oracles.VECTOR_CODES,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
     "op13_substring_dedup": oracles.SUBSTRINGS,
 }
