@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import profile, similarity
+from plumbline.operators import profile, similar_pairs, similarity
 from plumbline.plans.registry import query, table
 
 
@@ -144,3 +144,24 @@ def schema_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog(events.filter(F.col("ts") >= middle)), catalog(events.filter(F.col("ts") < middle)), threshold=0.7
     )
     return matches.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "vector_similar_pairs",
+    """
+    WITH RECURSIVE v AS (
+      SELECT min(vec_id) AS id, count(*) AS n, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY embedding),
+    links AS MATERIALIZED (
+      SELECT a.id AS a, b.id AS b, b.n FROM v a JOIN v b ON a.id <> b.id
+        AND round(list_cosine_similarity(a.e, b.e), 12) >= 0.92),
+    reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    g AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
+    s AS (SELECT a, count(*) AS n_links, sum(n)::BIGINT AS linked_rows FROM links GROUP BY a)
+    SELECT v.id AS class_id, v.n AS n_rows, coalesce(n_links, 0) AS n_links, coalesce(linked_rows, 0) AS linked_rows, group_id
+    FROM v JOIN g ON g.a = v.id LEFT JOIN s ON s.a = v.id
+    """,
+)
+def vector_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs.similar_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
