@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import MAX_UPLOAD_BYTES
+from plumbline.sources.byte_ranges import RANGE_BYTES, csv_records, large_files, reachable
 
 
 @F.pandas_udf(T.LongType())
@@ -79,20 +80,26 @@ def _plain_path(listed: str) -> str:
     return re.sub(r"^file:/+", "file:/", unquote(listed))
 
 
-def catalog_files(spark: SparkSession, folder: str, max_bytes: int = MAX_UPLOAD_BYTES, glob: str = "*") -> DataFrame:
+def catalog_files(
+    spark: SparkSession, folder: str, max_bytes: int = MAX_UPLOAD_BYTES, glob: str = "*", range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """Path, size, kind by content, whether the extension disagrees, and a row estimate for every file.
 
-    The content of a file over ``max_bytes`` is never loaded (the source prunes the column); such a
-    file keeps a NULL kind and is refused by ``admit_files``.
+    Files of up to ``max_bytes`` are looked at whole. Larger ones, which ``admit_files`` refuses, are read in byte ranges,
+    many tasks to a file (``byte_ranges.large_files`` says by which rules); only in stores that no task can open by itself they keep a
+    NULL kind and estimate.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     content = F.col("content")
     text = content.cast("string")
     small = files.filter(F.col("length") <= max_bytes).withColumn("kind", _kind(content, text))
     small = small.select("path", "length", "kind", _rows(content, text, F.col("kind")).alias("row_estimate"))
-    large = files.filter(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("row_estimate")
-    )
+    if reachable(folder):
+        large = large_files(spark, folder, max_bytes, glob, range_bytes)
+    else:
+        large = files.filter(F.col("length") > max_bytes).select(
+            "path", "length", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("row_estimate")
+        )
     # the source passes over empty files, so those come from the file listing, which the driver holds anyway
     listed = [(_plain_path(name),) for name in files.inputFiles()]
     named_only = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti").select(
@@ -124,10 +131,12 @@ def admit_files(catalog: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFr
 def count_rows_by_file(spark: SparkSession, path: str, kind: str, multi_line: bool = False) -> DataFrame:
     """Rows per file without reading columns: Parquet from row groups, text by its lines (CSV less its header).
 
-    ``multi_line`` is for CSV with line breaks inside quotes, whose records are then parsed.
+    ``multi_line`` is for CSV with line breaks inside quotes, whose records are then told apart range by range.
     """
     if kind == "parquet":
         rows = spark.read.parquet(path)
+    elif kind == "csv" and multi_line and reachable(path):
+        return csv_records(spark, path).groupBy("path").agg((F.count(F.lit(1)) - 1).alias("row_count"))
     elif kind == "csv" and multi_line:
         rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
         kind = "records"

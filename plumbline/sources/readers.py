@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import FILE_KINDS, JSON_NAMES
+from plumbline.functions.frames import quoted
+from plumbline.sources import byte_ranges
 
 
 def file_kind(name: str) -> str:
@@ -32,6 +34,29 @@ def _array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     return files.get(True, []), files.get(False, [])
 
 
+def _value(row: Row) -> str:
+    return row[0]
+
+
+def _quoted_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None, sampling_ratio: float, range_bytes: int
+) -> DataFrame:
+    """CSV with line breaks inside quotes, as records found by ``byte_ranges`` and parsed by Spark."""
+    options = {"escape": '"', "mode": "PERMISSIVE"}
+    records = byte_ranges.csv_records(spark, path, range_bytes)
+    rows = records.filter("not head").select("value")
+    if schema is None:
+        head = records.filter("head").orderBy("path").select("value").first()
+        if head is None:
+            return spark.createDataFrame([], T.StructType([]))
+        texts = spark.sparkContext.parallelize([head[0]], 1).union(rows.rdd.map(_value))  # what the reader takes to infer types from
+        schema = spark.read.options(header=True, inferSchema=True, samplingRatio=sampling_ratio, **options).csv(texts).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    names = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    return rows.select(F.from_csv("value", names, options).alias("record")).select("record.*")
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -40,13 +65,15 @@ def read_table(
     sampling_ratio: float = 1.0,
     describe: bool = False,
     multi_line: bool = False,
+    range_bytes: int = byte_ranges.RANGE_BYTES,
 ) -> DataFrame:
     """Read files of one kind; ``path`` may name any store Spark reaches (``s3a://``, ``hdfs://`` ...).
 
     Text formats without ``schema`` are scanned to infer one (a share of them with
     ``sampling_ratio``); cells that do not fit become NULL. Newline-delimited JSON stays splittable; of a folder, the
     files that open with ``[`` are read as one document each, the others line by line. ``multi_line`` is for CSV with line
-    breaks inside quotes; such files cannot be split. With ``describe`` the load envelope is
+    breaks inside quotes: a file is read in ranges of ``range_bytes``, whose quotes are counted first to find where records
+    start, so that it is many tasks (only in stores that no task can open by itself a file is one task). With ``describe`` the load envelope is
     returned instead: table name, row count, column count and column names.
     """
     kind = file_kind(kind)
@@ -58,7 +85,9 @@ def read_table(
             reader = reader.schema(schema)
         else:
             reader = reader.option("samplingRatio", sampling_ratio)
-        if kind == "csv":
+        if kind == "csv" and multi_line and byte_ranges.reachable(path):
+            df = _quoted_csv(spark, path, schema, sampling_ratio, range_bytes)
+        elif kind == "csv":
             reader = reader.option("header", True).option("escape", '"').option("multiLine", multi_line)
             df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
         else:
