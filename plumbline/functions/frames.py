@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import shared_folder
+
+#: Pieces into which ranges are cut at most; each costs a task, and a few sampled rows on the driver.
+MOST_PIECES = 20_000
+
 
 def quoted(name: str) -> str:
     """A column name safe to use in an expression, whatever it contains."""
@@ -73,3 +78,20 @@ def one_row(stats: DataFrame) -> Column:
 def with_row(df: DataFrame, stats: DataFrame, name: str = "_row") -> DataFrame:
     """Add a one-row aggregate to every row as struct ``name``."""
     return df.withColumn(name, one_row(stats))
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write to the shared folder and read back: what follows rereads files if an executor is lost."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_pieces(df: DataFrame, order: Sequence[Column], rows: int, rows_per_piece: int, name: str) -> DataFrame:
+    """Cut ``df`` along ``order`` into pieces of about ``rows_per_piece`` of its ``rows`` rows, numbered from 0 in ``name``.
+
+    Spark's range partitioning draws the borders from a sample of the whole ordering tuple, nulls, NaN and descending columns
+    as in a sort; only rows equal in all of it stay together. Written at once, as a second run might draw other borders.
+    """
+    pieces = max(1, min(MOST_PIECES, -(-rows // rows_per_piece)))
+    return written(df.repartitionByRange(pieces, *order).withColumn(name, F.spark_partition_id().cast("bigint")), "pieces")

@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import shared_folder
-
-
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: what follows rereads files if an executor is lost."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from plumbline.functions.frames import written
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Row-order operators that hold up when one key owns a large share of the rows.
 
 A plain window puts a whole key into one task. Here the rows per key are counted first (one small job). If no key is
-too large for a task, the plain window is used. If some are, each such key is cut along the ordering column into
-chunks of about ``rows_per_chunk`` rows; the window runs inside a chunk, and what must cross a chunk
+too large for a task, the plain window is used. If some are, each such key is cut along the whole ordering tuple into
+chunks of about ``rows_per_chunk`` rows by range partitioning; the window runs inside a chunk, and what must cross a chunk
 border (the last row, a sum so far) comes from a per-chunk aggregate, which is small.
 """
 
@@ -12,75 +12,37 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions.frames import as_list, col, is_temporal, join_groups
+from plumbline.functions.frames import as_list, col, in_pieces, join_groups
 
 ROWS_PER_CHUNK = 2_000_000
 CHUNK = "_chunk"
-TIME_SLOTS = 100_000
-SLOTS_PER_E_FOLD = 4096
 #: An ordering column: its name, or (name, True) for descending order with nulls last.
 Order = str | tuple[str, bool]
 
 
-def _name(order: Order) -> str:
-    return order if isinstance(order, str) else order[0]
-
-
 def _sorted(order: Sequence[Order]) -> list[Column]:
     return [col(o) if isinstance(o, str) else col(o[0]).desc_nulls_last() if o[1] else col(o[0]) for o in order]
 
 
-def _position(df: DataFrame, order: Order) -> Column:
-    """A number that never falls along the order: rows it cannot tell apart merely share a slot."""
-    name = _name(order)
-    if is_temporal(df.schema[name].dataType):
-        spot = F.unix_micros(col(name).cast("timestamp")).cast("double")
-    elif isinstance(df.schema[name].dataType, T.StringType):
-        first_bytes = F.rpad(F.hex(F.substring(col(name).cast("binary"), 1, 6)), 12, "0")
-        spot = F.conv(first_bytes, 16, 10).cast("double")
-    else:
-        spot = col(name).cast("double")
-    return spot if isinstance(order, str) or not order[1] else -spot
-
-
-def add_chunks(df: DataFrame, by: Sequence[str], order: Order, rows_per_chunk: int) -> DataFrame | None:
+def add_chunks(df: DataFrame, by: Sequence[str], order: Sequence[Order], rows_per_chunk: int) -> DataFrame | None:
     """Add ``_chunk``, or return None when no key exceeds ``rows_per_chunk`` rows.
 
-    Chunks follow a fine histogram of the large keys, so an uneven spread over the ordering column is
-    evened out. Rows of all other keys are chunk 0; the large keys' chunks count from 1.
+    Rows of a large key are told apart by all of ``order`` (a tie column included), so chunks are even however few moments
+    there are; only rows that agree in every ordering column, whose order is undefined anyway, share a chunk for certain.
+    Rows of all other keys are chunk 0; the large keys' chunks count from 1.
     """
     by = list(by)
-    spot = _position(df, order)
     keys = [col(c) for c in by]
-    sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(spot).alias("_lo"), F.max(spot).alias("_hi")
-    ).filter(F.col("_rows") > rows_per_chunk)
-    found = sizes.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")
-    ).first()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_chunk)
+    found = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).first()
     if found["n"] == 0:
         return None
-    lo, hi = found["lo"], found["hi"]
-    if lo is None:
-        slot = F.lit(-1).cast("bigint")
-    elif is_temporal(df.schema[_name(order)].dataType):
-        slot = F.floor((spot - lo) / ((hi - lo + 1) / TIME_SLOTS))
-    else:
-        slot = F.when(spot.isNotNull(), F.floor(F.log1p(F.greatest(F.lit(0.0), spot - lo)) * SLOTS_PER_E_FOLD))
-    nulls = -1 if isinstance(order, str) or not order[1] else 2**62  # where the nulls come in this order
-    slotted = df.withColumn("_slot", F.coalesce(slot, F.lit(nulls).cast("bigint")))
-    large = join_groups(slotted.select(*keys, "_slot"), sizes.select(*keys), by, "inner")
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_of = (
-        large.groupBy(*keys, "_slot")
-        .agg(F.count(F.lit(1)).alias("_in_slot"))
-        .withColumn(CHUNK, F.floor(F.coalesce(F.sum("_in_slot").over(before), F.lit(0)) / rows_per_chunk) + 1)
-        .select(*keys, "_slot", CHUNK)
-    )
-    joined = join_groups(slotted, chunk_of, [*by, "_slot"])
-    return joined.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(0).cast("bigint"))).drop("_slot")
+    large = sizes.select(*keys, F.lit(True).alias("_large"))
+    flagged = join_groups(df, large, by)
+    cut = in_pieces(flagged.filter("_large"), [*keys, *_sorted(order)], found["rows"], rows_per_chunk, CHUNK)
+    rest = flagged.filter("_large is null").withColumn(CHUNK, F.lit(-1).cast("bigint"))
+    return cut.unionByName(rest).withColumn(CHUNK, F.col(CHUNK) + 1).drop("_large")
 
 
 def _join_carried(rows: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -105,7 +67,7 @@ def neighbour(
     packed = F.struct(*[col(c) for c in cols])
     sort = [col(c) for c in order]
     keys = [col(c) for c in by]
-    rows = add_chunks(df, by, order[0], rows_per_chunk)
+    rows = add_chunks(df, by, order, rows_per_chunk)
     if rows is None:
         return df.withColumn(name, shift(packed).over(Window.partitionBy(*keys).orderBy(*sort)))
     edge = F.max_by if step == "previous" else F.min_by
@@ -129,7 +91,7 @@ def running_sum(
     keys = [col(c) for c in by]
     sort = _sorted(order)
     upto = F.sum(col(value))
-    rows = add_chunks(df, by, order[0], rows_per_chunk)
+    rows = add_chunks(df, by, order, rows_per_chunk)
     if rows is None:
         whole = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, upto.over(whole))
@@ -224,7 +186,7 @@ def as_of_join(
     both = a.unionByName(b)
     sort = [col(on), F.col("_side"), F.col("_tie")]
     latest = F.last("_r", ignorenulls=True)
-    rows = add_chunks(both, by, on, rows_per_chunk)
+    rows = add_chunks(both, by, [on, "_side", "_tie"], rows_per_chunk)
     if rows is None:
         upto = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(name, latest.over(upto)).filter("_side = 1").select("_l.*", name)

@@ -1,8 +1,8 @@
 """Exact order statistics without holding a column's values in one task.
 
 Spark's own ``percentile`` and ``mode`` keep a map of all distinct values of a group in one
-reducer. Here the values are counted first, a histogram over fixed slots finds which slot each wanted rank falls into,
-and only those slots are sorted.
+reducer. Here the values are counted first. Groups of more values than fit a task are cut along the value by range partitioning, so
+pieces are even wherever the values lie; sums per piece tell which of them holds each wanted rank, and only those pieces are sorted.
 """
 
 from __future__ import annotations
@@ -12,14 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.frames import as_list, col, join_groups
+from plumbline.functions.frames import as_list, col, in_pieces, join_groups, written
 
-SLOTS_PER_E_FOLD = 4096  # each slot spans about 0.02 % of a value
-
-
-def _slot(value: Column) -> Column:
-    """A slot number that never falls as the value rises; fine near zero, relative far from it."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * SLOTS_PER_E_FOLD)).cast("bigint")
+VALUES_PER_PIECE = 1_000_000
 
 
 def value_counts(df: DataFrame, value: str, by: str | Sequence[str] | None = None) -> DataFrame:
@@ -33,49 +28,51 @@ def value_counts(df: DataFrame, value: str, by: str | Sequence[str] | None = Non
     )
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: str | Sequence[str] | None = None) -> DataFrame:
+def _placed(counts: DataFrame, probs: Sequence[float], keys: list[str], values_per_piece: int) -> DataFrame:
+    """The counts that may hold a wanted rank, with ``_end`` (rows of the group up to and including the value), total and values."""
+    by = [col(c) for c in keys]
+    ends = lambda *parts: Window.partitionBy(*parts).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("values"))
+    largest, values = sizes.agg(F.max("values"), F.sum("values")).first()
+    if largest is None or largest <= values_per_piece:
+        group = Window.partitionBy(*by)
+        return counts.withColumns({
+            "_end": F.sum("_n").over(ends(*by)), "_total": F.sum("_n").over(group), "_values": F.count(F.lit(1)).over(group)
+        })
+    counts = in_pieces(counts, [*by, F.col("_v")], values, values_per_piece, "_piece")
+    # one row per group and piece from here on, not per value
+    group = Window.partitionBy(*by)
+    pieces = counts.groupBy(*by, "_piece").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_own")).withColumns({
+        "_total": F.sum("_rows").over(group), "_values": F.sum("_own").over(group),
+        "_upto": F.sum("_rows").over(group.orderBy("_piece")),
+    }).withColumn("_before", F.col("_upto") - F.col("_rows"))
+    wanted = F.exists(_ranks(probs), lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto")))
+    hit = pieces.filter(wanted).select(*by, "_piece", "_before", "_total", "_values")
+    picked = join_groups(counts, hit, [*keys, "_piece"], "inner")
+    return picked.withColumn("_end", F.col("_before") + F.sum("_n").over(ends(*by, F.col("_piece"))))
+
+
+def _ranks(probs: Sequence[float]) -> Column:
+    """For each probability the ranks (from 0) below and above its place, of a group of ``_total`` rows."""
+    at = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    return F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.lit(part).alias("part"), side(at(p)).alias("rank"), at(p).alias("at"))
+        for p in probs for part, side in ((0, F.floor), (1, F.ceil))
+    ])
+
+
+def quantiles_of_counts(
+    counts: DataFrame, probs: Sequence[float], by: str | Sequence[str] | None = None, values_per_piece: int = VALUES_PER_PIECE
+) -> DataFrame:
     """Interpolated quantiles of a ``value_counts`` frame, one row per group and probability.
 
-    ``distinct_count`` is the number of rows of ``counts`` in the group.
+    ``distinct_count`` is the number of rows of ``counts`` in the group. The counts are written once, as they are
+    gone through up to three times.
     """
     by = as_list(by)
     keys = [col(c) for c in by]
-    counts = counts.withColumn("_slot", _slot(F.col("_v")))
-    ordered = Window.partitionBy(*keys).orderBy("_slot") if keys else Window.orderBy("_slot")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    # one row per group and slot from here on, not per value
-    slots = counts.groupBy(*keys, "_slot").agg(
-        F.sum("_n").alias("_in_slot"), F.count(F.lit(1)).alias("_values_in_slot")
-    )
-    slots = slots.withColumns({
-        "_upto": F.sum("_in_slot").over(ordered), "_total": F.sum("_in_slot").over(whole),
-        "_values": F.sum("_values_in_slot").over(whole),
-    })
-    wanted = F.flatten(F.array(*[
-        F.array(
-            F.struct(
-                F.lit(float(p)).alias("prob"), F.lit(0).alias("part"),
-                F.floor(F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"),
-                (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"),
-            ),
-            F.struct(
-                F.lit(float(p)).alias("prob"), F.lit(1).alias("part"),
-                F.ceil(F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"),
-                (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"),
-            ),
-        )
-        for p in probs
-    ]))
-    slots = slots.withColumn("_before", F.col("_upto") - F.col("_in_slot"))
-    slots = slots.withColumn(
-        "_wanted",
-        F.filter(wanted, lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto"))),
-    ).filter(F.size("_wanted") > 0)
-    picked = join_groups(
-        counts, slots.select(*keys, "_slot", "_before", "_wanted", "_values"), [*by, "_slot"], "inner"
-    )
-    in_slot = Window.partitionBy(*keys, F.col("_slot")).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = picked.withColumn("_end", F.col("_before") + F.sum("_n").over(in_slot))
+    picked = _placed(written(counts.select(*keys, "_v", "_n"), "value-counts"), probs, by, values_per_piece)
+    picked = picked.withColumn("_wanted", _ranks(probs))
     hits = picked.select(
         *keys, "_v", "_values",
         F.explode(
@@ -91,7 +88,8 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: str | Seq
         F.max("w.at").alias("_at"),
         F.max("_values").alias("distinct_count"),
     )
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between)  # also for infinities
     return ends.select(*keys, "prob", value.alias("value"), "distinct_count")
 
 

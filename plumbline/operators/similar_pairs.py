@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import SIMILAR_AT
-from plumbline.functions.frames import col
-from plumbline.operators.components import components, written
+from plumbline.functions.frames import col, written
+from plumbline.operators.components import components
 
 #: Signs compared before vectors are, in 64-bit words, and the chance that they turn a similar pair away in deviations.
 SKETCH_WORDS, SKETCH_DEVIATIONS = 4, 7

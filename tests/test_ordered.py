@@ -30,11 +30,11 @@ def as_set(df):
 
 
 def test_only_large_keys_are_cut(skewed):
-    chunks = ordered.add_chunks(skewed, ["k"], "ts", 100)
+    chunks = ordered.add_chunks(skewed, ["k"], ["ts", "id"], 100)
     per_key = {r["k"]: r["n"] for r in chunks.groupBy("k").agg(F.count_distinct("_chunk").alias("n")).collect()}
     assert per_key[1] > 5 and all(n == 1 for k, n in per_key.items() if k != 1)
     assert chunks.count() == 3000
-    assert ordered.add_chunks(skewed, ["k"], "ts", 10**6) is None
+    assert ordered.add_chunks(skewed, ["k"], ["ts", "id"], 10**6) is None
 
 
 @pytest.mark.parametrize("order", ["name", "amount", "ts"])
@@ -114,3 +114,28 @@ def test_null_keys_form_a_group(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, None, 2.0), (3, "x", 5.0), (4, None, 4.0)], "id int, k string, v double")
     got = ordered.running_sum(df, "k", ["id"], "v", "s", rows_per_chunk=1)
     assert as_set(got.select("id", "s")) == {(1, 1.0), (2, 3.0), (3, 5.0), (4, 7.0)}
+
+
+def test_one_moment_is_cut_by_the_tie_column(spark):
+    """A key whose rows share one moment, at two rows a chunk."""
+    df = spark.range(40).select("id", F.lit("k").alias("k"), F.timestamp_seconds(F.lit(5)).alias("ts"), (F.col("id") % 7).cast("double").alias("v"))
+    chunks = ordered.add_chunks(df, ["k"], ["ts", "id"], 2)
+    assert chunks.groupBy("_chunk").count().agg(F.max("count"), F.count("*")).first()[0] <= 8 and chunks.select("_chunk").distinct().count() > 8
+    for call in (
+        lambda n: ordered.running_sum(df, "k", ["ts", "id"], "v", "s", n).select("id", "s"),
+        lambda n: ordered.neighbour(df, "k", ["ts", "id"], ["v"], "next", "n", n).select("id", "n.v"),
+        lambda n: ordered.as_of_join(df.filter("id % 2 = 0"), df.select("k", "ts", F.col("id").alias("r")), "ts", "k", ["r"], "r", "m", n).select("id", "m.r"),
+    ):
+        assert as_set(call(2)) == as_set(call(10**6))
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_nan_infinities_and_nulls_keep_their_places(spark, descending):
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, 2.0, nan, 3.0, 4.0, None, -inf, inf, nan, 0.0, -0.0, None, 2.0, 1e300, -1e-300]
+    df = spark.createDataFrame([(i, "k", v) for i, v in enumerate(values)], "id long, k string, v double")
+    whole = ordered.running_sum(df, "k", [("v", descending), "id"], "id", "s", 10**6).select("id", "s")
+    cut = ordered.running_sum(df, "k", [("v", descending), "id"], "id", "s", 2).select("id", "s")
+    assert as_set(cut) == as_set(whole)
+    shown = lambda n: {(r["id"], r["row_number"], r["rank"], r["dense_rank"], r["ntile"]) for r in ordered.ranks(df, "k", "v", "id", descending, 4, n).collect()}
+    assert shown(2) == shown(10**6)

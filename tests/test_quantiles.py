@@ -40,12 +40,26 @@ def test_nulls_and_nan_are_left_out(spark):
     assert q.quantiles(df, "v", [0.5]).first()["value"] == 2.0
 
 
-def test_slot_never_falls(spark):
-    rng = np.random.default_rng(5)
-    values = np.sort(np.concatenate([rng.normal(0, 1e6, 3000), rng.random(3000), -rng.random(3000) * 1e-3]))
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    slots = [r[0] for r in df.orderBy("v").select(q._slot(F.col("v"))).collect()]
-    assert slots == sorted(slots)
+@pytest.mark.parametrize("values_per_piece", [7, 10**6])
+def test_pieces_do_not_change_quantiles(spark, values_per_piece):
+    rng = np.random.default_rng(9)
+    groups = {
+        "far": 1e12 + rng.permutation(300), "wide": np.exp(rng.normal(0, 200, 200)) * rng.choice([-1, 1], 200),
+        "hot": np.repeat([1.0, 2.0, 3.0], [500, 1, 1]), "one": np.array([5.0]), "ends": np.array([-np.inf, 1.0, np.inf, np.inf]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, values in groups.items() for v in values], "k string, v double")
+    got = {(r["k"], r["prob"]): (r["value"], r["distinct_count"]) for r in q.quantiles_of_counts(q.value_counts(df, "v", "k"), [0.0, 0.5, 1.0], "k", values_per_piece).collect()}
+    for k, values in groups.items():
+        for p, name in ((0.0, np.min), (0.5, np.median), (1.0, np.max)):
+            assert got[(k, p)] == (pytest.approx(name(values), rel=1e-12), len(set(values))), (k, p)
+    whole = q.quantiles_of_counts(q.value_counts(df.filter("k = 'far'"), "v"), [0.25], None, values_per_piece).first()
+    assert whole["value"] == np.quantile(groups["far"], 0.25)
+
+
+def test_a_narrow_column_far_from_zero_is_spread(spark):
+    counts = q.value_counts(spark.range(10**12, 10**12 + 200_000).select(F.col("id").cast("double").alias("v")), "v")
+    pieces = q.in_pieces(counts, [F.col("_v")], 200_000, 1000, "_piece").groupBy("_piece").count()
+    assert pieces.count() > 100 and pieces.agg(F.max("count")).first()[0] < 5000
 
 
 def test_mode_tie_goes_to_smallest(spark):
