@@ -14,6 +14,14 @@ from plumbline.session import shared_folder
 MOST_PIECES = 20_000
 
 
+#: Options of ``to_json`` under which rows that differ in anything also differ in their text.
+EXACT_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def quoted(name: str) -> str:
     """A column name safe to use in an expression, whatever it contains."""
     return "`" + name.replace("`", "``") + "`"

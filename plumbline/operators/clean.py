@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import DROP_COLUMN_ABOVE, DROP_ROWS_BELOW
-from plumbline.functions.frames import as_list, col, is_numeric, join_groups, with_row
+from plumbline.functions.frames import EXACT_JSON, as_list, col, is_numeric, join_groups, with_row
 from plumbline.operators.ordered import running_sum
 from plumbline.operators.quantiles import most_frequent, wide_quantiles
 
@@ -360,7 +360,7 @@ def quality_score(df: DataFrame, expected_types: dict[str, str], weights: tuple
     zero = lambda c: col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, T.FractionalType) else col(c)
     # adding nothing turns a negative zero into a plain one
     cells = F.struct(*[zero(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    digest = F.sha2(F.to_json(cells, {"ignoreNullFields": "false"}), 256)
+    digest = F.sha2(F.to_json(cells, EXACT_JSON), 256)
     filled = sum((col(c).isNotNull().cast("bigint") for c in df.columns), F.lit(0))
     typed = sum((col(c).isNotNull().cast("bigint") for c in expected_types), F.lit(0))
     fits = sum((col(c).try_cast(t).isNotNull().cast("bigint") for c, t in expected_types.items()), F.lit(0))

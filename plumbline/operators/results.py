@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import MAX_SAMPLES
-from plumbline.functions.frames import as_list, col, is_temporal, one_row
+from plumbline.functions.frames import EXACT_JSON, as_list, col, is_temporal, one_row
 from plumbline.operators.analyses import GRAINS, period_start
 from plumbline.operators.ordered import neighbour
 from plumbline.operators.profile import sample_rows
@@ -22,9 +22,9 @@ def summarize_result(
     df: DataFrame, query_id: str, path: str = "", order_by: str | Sequence[str] | None = None,
     execution_ms: int = 0,
 ) -> DataFrame:
-    """One row: row count, column names and at most five sample rows as JSON."""
+    """One row: row count, column names and at most five sample rows as JSON, moments with all six digits."""
     head = sample_rows(df, MAX_SAMPLES, order_by)
-    shown = one_row(head.agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})).alias("rows")))
+    shown = one_row(head.agg(F.collect_list(F.to_json(F.struct(*[col(c) for c in df.columns]), EXACT_JSON)).alias("rows")))
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(query_id).alias("query_id"),
         F.lit(path).alias("result_path"),

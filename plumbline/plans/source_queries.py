@@ -152,3 +152,37 @@ def sink_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.to_records(
         table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     )
+
+
+@query(
+    "sink_records_micros",
+    """
+    SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS record
+    FROM (SELECT event_id, ts + to_microseconds(event_id % 1000) AS ts FROM events)
+    """,
+)
+def sink_records_micros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments that differ by microseconds."""
+    later = F.expr("ts + make_dt_interval(0, 0, 0, CAST(event_id % 1000 AS DECIMAL(18,6)) / 1000000)")
+    return sinks.to_records(table(spark, sf_dir, "events").select("event_id", later.alias("ts")), digits=6)
+
+
+@query(
+    "source_json_types",
+    """
+    SELECT 'd' || doc_id AS code, doc_id::DOUBLE AS amount, lang, NULL AS note FROM documents
+    UNION ALL SELECT item_id::VARCHAR, item_id + 0.5, NULL, 'n' || item_id FROM benchmark
+    """,
+)
+def source_json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder in which a column is text in some files and a number in others."""
+    path = shared_folder(spark, "json-types")
+    docs = table(spark, sf_dir, "documents")
+    docs.select(F.concat(F.lit("d"), "doc_id").alias("code"), F.col("doc_id").alias("amount"), "lang").write.json(path)
+    items = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("code"), (F.col("item_id") + 0.5).alias("amount"), F.concat(F.lit("n"), "item_id").alias("note")
+    )
+    one = items.select(F.to_json(F.struct("code", "amount", "note")).alias("item"))
+    few = one.groupBy(F.pmod(F.xxhash64("item"), F.lit(4))).agg(F.collect_list("item").alias("items"))
+    few.select(F.concat(F.lit("[\n"), F.array_join("items", ",\n"), F.lit("\n]")).alias("value")).repartition(4).write.mode("append").text(path)
+    return readers.read_table(spark, path, "json").select("code", "amount", "lang", "note")

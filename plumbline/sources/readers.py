@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import FILE_KINDS, JSON_NAMES
-from plumbline.functions.frames import quoted
+from plumbline.functions.frames import is_integral, is_numeric, quoted
 from plumbline.sources import byte_ranges
 
 
@@ -34,6 +34,23 @@ def _array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     return files.get(True, []), files.get(False, [])
 
 
+def merged_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds what either of two inferred ones does; where they disagree, text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        other = {f.name: f.dataType for f in b.fields}
+        fields = [T.StructField(f.name, merged_type(f.dataType, other.pop(f.name, f.dataType))) for f in a.fields]
+        return T.StructType(fields + [T.StructField(n, t) for n, t in other.items()])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged_type(a.elementType, b.elementType))
+    if is_numeric(a) and is_numeric(b):
+        return T.LongType() if is_integral(a) and is_integral(b) else T.DoubleType()
+    return T.StringType()
+
+
 def _value(row: Row) -> str:
     return row[0]
 
@@ -71,7 +88,7 @@ def read_table(
 
     Text formats without ``schema`` are scanned to infer one (a share of them with
     ``sampling_ratio``); cells that do not fit become NULL. Newline-delimited JSON stays splittable; of a folder, the
-    files that open with ``[`` are read as one document each, the others line by line. ``multi_line`` is for CSV with line
+    files that open with ``[`` are read as one document each, the others line by line, all by one schema in which text wins. ``multi_line`` is for CSV with line
     breaks inside quotes: a file is read in ranges of ``range_bytes``, whose quotes are counted first to find where records
     start, so that it is many tasks (only in stores that no task can open by itself a file is one task). With ``describe`` the load envelope is
     returned instead: table name, row count, column count and column names.
@@ -95,8 +112,11 @@ def read_table(
             if not arrays or not lines:
                 df = reader.option("multiLine", bool(arrays)).json(path)
             else:
-                df = reader.option("multiLine", False).json(lines)
-                df = df.unionByName(reader.option("multiLine", True).json(arrays), allowMissingColumns=True)
+                if schema is None:
+                    inferred = [reader.option("multiLine", many).json(files).schema for many, files in ((False, lines), (True, arrays))]
+                    schema = merged_type(*inferred)
+                df = spark.read.schema(schema).option("multiLine", False).json(lines)
+                df = df.unionByName(spark.read.schema(schema).option("multiLine", True).json(arrays))
     return load_envelope(df, path.rstrip("/").rsplit("/", 1)[-1]) if describe else df
 
 

@@ -28,12 +28,16 @@ def store_result(df: DataFrame, base: str, query_id: str) -> str:
     return write_table(df, result_path(base, query_id))
 
 
-def to_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row, moments in ISO-8601, NULL fields kept."""
+def to_records(df: DataFrame, digits: int = 3) -> DataFrame:
+    """One JSON object per row, moments in ISO-8601 with ``digits`` digits of the second (6 for all there are), NULL fields kept.
+
+    Three digits are the form in which the records of a query result have always been handed out; what is beyond is cut off.
+    """
     whole = F.struct(*[col(c) for c in df.columns])
+    moment = "yyyy-MM-dd'T'HH:mm:ss" + ("." + "S" * digits if digits else "")
     moments = {
-        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
-        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+        "timestampFormat": moment,
+        "timestampNTZFormat": moment,
         "dateFormat": "yyyy-MM-dd",
         "ignoreNullFields": "false",
     }

@@ -30,7 +30,7 @@ def as_set(df):
 
 
 def test_only_large_keys_are_cut(skewed):
-    chunks = ordered.add_chunks(skewed, ["k"], ["ts", "id"], 100)
+    chunks = ordered.add_chunks(skewed, ["k"], ["ts", "id"], 200)
     per_key = {r["k"]: r["n"] for r in chunks.groupBy("k").agg(F.count_distinct("_chunk").alias("n")).collect()}
     assert per_key[1] > 5 and all(n == 1 for k, n in per_key.items() if k != 1)
     assert chunks.count() == 3000
@@ -46,7 +46,7 @@ def test_running_sum_with_nulls_equals_the_plain_one(skewed, order):
         F.when(F.col("id") % 3 == 0, F.col("v")).alias("v"),
     )
     whole = ordered.running_sum(df, "k", [order, "id"], "v", "s", 10**6)
-    cut = ordered.running_sum(df, "k", [order, "id"], "v", "s", 100)
+    cut = ordered.running_sum(df, "k", [order, "id"], "v", "s", 700)
     assert as_set(cut.select("id", "s")) == as_set(whole.select("id", "s"))
 
 
@@ -63,15 +63,15 @@ def test_ranks_keep_type_and_put_nulls_last(spark, rows):
 def test_neighbour(skewed, step, fn):
     w = Window.partitionBy("k").orderBy("ts", "id")
     want = as_set(skewed.select("id", fn("v").over(w)))
-    got = ordered.neighbour(skewed, "k", ["ts", "id"], ["v"], step, "n", rows_per_chunk=50).select("id", "n.v")
+    got = ordered.neighbour(skewed, "k", ["ts", "id"], ["v"], step, "n", rows_per_chunk=300).select("id", "n.v")
     assert as_set(got) == want
 
 
 def test_running_sum_and_position(skewed):
     w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = as_set(skewed.select("id", F.sum("v").over(w), F.count(F.lit(1)).over(w)))
-    df = ordered.running_sum(skewed, "k", ["ts", "id"], "v", "s", rows_per_chunk=50)
-    df = ordered.row_position(df, "k", ["ts", "id"], "p", rows_per_chunk=50)
+    df = ordered.running_sum(skewed, "k", ["ts", "id"], "v", "s", rows_per_chunk=300)
+    df = ordered.row_position(df, "k", ["ts", "id"], "p", rows_per_chunk=300)
     assert as_set(df.select("id", "s", "p")) == want
 
 
@@ -83,7 +83,7 @@ def test_ranks(skewed, descending):
         "id", F.row_number().over(t), F.rank().over(w), F.dense_rank().over(w), F.round(F.percent_rank().over(w), 9),
         F.ntile(4).over(t),
     ))
-    got = ordered.ranks(skewed, "k", "v", "id", descending, 4, rows_per_chunk=60)
+    got = ordered.ranks(skewed, "k", "v", "id", descending, 4, rows_per_chunk=400)
     got = got.select("id", "row_number", "rank", "dense_rank", F.round("percent_rank", 9), "ntile")
     assert as_set(got) == want
 
@@ -96,17 +96,17 @@ def test_as_of(skewed):
     for r in rows:
         best = max(((f["ts"], f["rid"]) for f in facts if f["k"] == r["k"] and f["ts"] <= r["ts"]), default=(None, None))
         want.add((r["id"], best[1]))
-    for size in (40, 10**6):
+    for size in (400, 10**6):
         got = ordered.as_of_join(left, right, "ts", "k", ["rid", "v"], "rid", "m", rows_per_chunk=size)
         assert as_set(got.select("id", "m.rid")) == want
 
 
 def test_quota_and_cache_hits_with_chunks(skewed):
     plain = runs.apply_quota(skewed, "k", "ts", "id").select("id", "is_allowed", "resets_at")
-    cut = runs.apply_quota(skewed, "k", "ts", "id", rows_per_chunk=30).select("id", "is_allowed", "resets_at")
+    cut = runs.apply_quota(skewed, "k", "ts", "id", rows_per_chunk=400).select("id", "is_allowed", "resets_at")
     assert as_set(plain) == as_set(cut)
     a = runs.cache_hits(skewed, "k", "ts", "id", "10 SECONDS").select("id", "is_hit")
-    b = runs.cache_hits(skewed, "k", "ts", "id", "10 SECONDS", rows_per_chunk=30).select("id", "is_hit")
+    b = runs.cache_hits(skewed, "k", "ts", "id", "10 SECONDS", rows_per_chunk=400).select("id", "is_hit")
     assert as_set(a) == as_set(b) and {r[1] for r in as_set(a)} == {True, False}
 
 
