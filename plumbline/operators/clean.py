@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.fixed_values import DROP_COLUMN_ABOVE, DROP_ROWS_BELOW
-from plumbline.functions.frames import EXACT_JSON, as_list, col, is_numeric, join_groups, with_row
+from plumbline.functions.frames import EXACT_JSON, as_list, col, is_numeric, join_groups, with_row, written
 from plumbline.operators.ordered import running_sum
 from plumbline.operators.quantiles import most_frequent, wide_quantiles
 
@@ -41,14 +41,20 @@ def fill_mode(df: DataFrame, name: str, by: str | Sequence[str] | None = None) -
     return _with_stats(df, stats, by).withColumn(name, F.coalesce(col(name), F.col("_mode"))).drop("_mode")
 
 
-def fill_knn(df: DataFrame, name: str, feature: str, block: str | Sequence[str], k: int = 5) -> DataFrame:
+def fill_knn(
+    df: DataFrame, name: str, feature: str | Sequence[str], block: str | Sequence[str], k: int = 5
+) -> DataFrame:
     """Fill with the mean of the ``k`` complete rows nearest in ``feature`` within the block.
 
-    Rows as near as the k-th one all count, so the result does not depend on row order. Complete rows are
+    Rows as near as the k-th one all count, so the result does not depend on row order. Of several features the
+    straight distance counts (see ``_fill_knn_grid``). Of one, complete rows are
     first summed per distinct feature value; a missing value then looks at the ``k`` distinct values on
     either side by their place in the sorted list (an equi-join), never at all rows of its block.
     """
     block = as_list(block)
+    if len(as_list(feature)) > 1:
+        return _fill_knn_grid(df, name, as_list(feature), block, k)
+    feature = as_list(feature)[0]
     keys = [col(c) for c in block]
     spot = col(feature).cast("double")
     complete = col(name).isNotNull()
@@ -81,6 +87,75 @@ def fill_knn(df: DataFrame, name: str, feature: str, block: str | Sequence[str],
     return joined.withColumn(name, F.coalesce(col(name), F.col("_fill"))).drop("_fill", "_spot")
 
 
+def _fill_knn_grid(df: DataFrame, name: str, features: list[str], block: list[str], k: int) -> DataFrame:
+    """kNN fill over several features, exact, by a grid that is made coarser for those who are not done.
+
+    Complete rows are summed per distinct place. Cells of a block hold about ``k`` of these on average. A missing place meets the
+    places in its own and all neighbouring cells by an equi-join; it is done once its k-th distance is no
+    larger than a cell is wide, since whatever lies beyond the neighbours is farther. For the rest the cells become wider, by ever larger
+    steps (1, 2, 4, 16, 256 times ...), until neighbours hold the whole block. Rows with a null, NaN or infinite feature are neither filled nor used.
+    """
+    keys, axes = [col(c) for c in block], range(len(features))
+    spots = [col(f).cast("double") for f in features]
+    usable = reduce(lambda a, b: a & b, [s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) for s in spots])
+    complete = col(name).isNotNull()
+    places = written(
+        df.filter(usable).groupBy(*keys, *[(s + F.lit(0.0)).alias(f"_at{i}") for i, s in enumerate(spots)]).agg(
+            F.sum(F.when(complete, col(name).cast("double"))).alias("_sum"), F.count_if(complete).alias("_n"),
+            F.max(~complete).alias("_asked"),
+        ), "knn-places",
+    )
+    known = places.filter("_n > 0")
+    spans = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_places"),
+        *[F.min(f"_at{i}").alias(f"_low{i}") for i in axes], *[F.max(f"_at{i}").alias(f"_high{i}") for i in axes],
+    )
+    per_axis = F.greatest(F.lit(1.0), F.pow(F.col("_places") / k, F.lit(1 / len(features))))
+    spans = spans.select(
+        *keys, *[f"_low{i}" for i in axes], *[f"_high{i}" for i in axes],
+        *[F.when(F.col(f"_high{i}") > F.col(f"_low{i}"), (F.col(f"_high{i}") - F.col(f"_low{i}")) / per_axis).otherwise(1.0).alias(f"_width{i}") for i in axes],
+    )
+    known = join_groups(known.select(*keys, "_sum", "_n", *[f"_at{i}" for i in axes]), spans, block, "inner")
+    waiting = join_groups(places.filter("_asked").select(*keys, *[f"_at{i}" for i in axes]), spans, block, "inner")
+    waiting = written(waiting.withColumn("_id", F.monotonically_increasing_id()), "knn-waiting")
+    fills, coarser = [], 0
+    while not waiting.isEmpty():
+        scale = float(2**coarser)
+        # places far outside the known ones only need to be told from these
+        number = lambda i, at: F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), (F.col(at) - F.col(f"_low{i}")) / (F.col(f"_width{i}") * scale))))
+        cell = [number(i, f"_at{i}") for i in axes]
+        cells = known.select(*keys, "_sum", "_n", *[F.col(f"_at{i}").alias(f"_is{i}") for i in axes], *[c.alias(f"_cell{i}") for i, c in enumerate(cell)])
+        around = waiting
+        for i, c in enumerate(cell):
+            around = around.withColumn(f"_cell{i}", F.explode(F.sequence(c - 1, c + 1)))
+        near = join_groups(around, cells, [*block, *[f"_cell{i}" for i in axes]], "inner")
+        gap = reduce(lambda a, b: a + b, [(F.col(f"_at{i}") - F.col(f"_is{i}")) * (F.col(f"_at{i}") - F.col(f"_is{i}")) for i in axes])
+        sums = near.withColumn("_gap", gap).groupBy("_id", "_gap").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+        upto = Window.partitionBy("_id").orderBy("_gap")
+        sums = sums.withColumn("_nearer", F.sum("_n").over(upto) - F.col("_n")).filter(F.col("_nearer") < k)
+        found = sums.groupBy("_id").agg(
+            F.max("_gap").alias("_farthest"), F.sum("_n").alias("_met"), F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_fill")
+        )
+        reach = F.least(*[F.col(f"_width{i}") * scale for i in axes])
+        # the neighbours hold every known place of the block
+        covers = reduce(lambda x, y: x & y, [(c <= 1) & (c + 1 >= number(i, f"_high{i}")) for i, c in enumerate(cell)])
+        done = (F.col("_met") >= k) & (F.col("_farthest") <= reach * reach)
+        judged = written(
+            waiting.join(found.withColumnRenamed("_id", "_of"), F.col("_id") == F.col("_of"), "left").withColumn(
+                "_done", F.coalesce(done, F.lit(False)) | covers
+            ), "knn-round",
+        )
+        fills.append(judged.filter("_done").select(*keys, *[f"_at{i}" for i in axes], "_fill"))
+        waiting = judged.filter("not _done").drop("_of", "_farthest", "_met", "_fill", "_done")
+        coarser = max(1, 2 * coarser)
+    rows = df.withColumns({f"_at{i}": F.when(usable, s + F.lit(0.0)) for i, s in enumerate(spots)})
+    if not fills:
+        return df.withColumn(name, col(name).cast("double"))
+    filled = reduce(DataFrame.unionByName, fills)
+    joined = join_groups(rows, filled, [*block, *[f"_at{i}" for i in axes]])
+    return joined.withColumn(name, F.coalesce(col(name), F.col("_fill"))).drop("_fill", *[f"_at{i}" for i in axes])
+
+
 def drop_null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 

@@ -79,6 +79,28 @@ def clean_fill_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("p_partkey", F.round(F.col("p_size").cast("double"), 4).alias("p_size"))
 
 
+@query(
+    "clean_fill_knn_features",
+    """
+    WITH p AS (SELECT p_partkey, p_brand, p_retailprice AS x, (p_partkey * 37 % 1000)::DOUBLE AS y,
+                 CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END AS s FROM part),
+    d AS (SELECT a.p_partkey, b.s, rank() OVER (PARTITION BY a.p_partkey
+            ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS r
+          FROM p a JOIN p b ON a.p_brand = b.p_brand WHERE a.s IS NULL AND b.s IS NOT NULL)
+    SELECT p.p_partkey, round(coalesce(p.s, f.s), 4)::DOUBLE AS p_size
+    FROM p LEFT JOIN (SELECT p_partkey, avg(s) AS s FROM d WHERE r <= 5 GROUP BY 1) f USING (p_partkey)
+    """,
+)
+def clean_fill_knn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By two features, the price and a number derived from the key."""
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", "p_retailprice", (F.col("p_partkey") * 37 % 1000).alias("other"),
+        F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("p_size"),
+    )
+    filled = clean.fill_knn(part, "p_size", ["p_retailprice", "other"], "p_brand", 5)
+    return filled.select("p_partkey", F.round(F.col("p_size").cast("double"), 4).alias("p_size"))
+
+
 @query("clean_drop_null_rows", f"SELECT event_id, event_type, value FROM {HOLES} WHERE value IS NOT NULL")
 def clean_drop_null_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.drop_null_rows(events_with_holes(spark, sf_dir), ["value", "event_type"]).drop("user_id")

@@ -172,3 +172,30 @@ def test_log_of_two_steps_that_remove_rows(spark):
     assert log == {"v": 1, "k": 1}
     with pytest.raises(ValueError, match="table after each"):
         clean.cleaning_log(before, first, ops)
+
+
+def test_knn_over_features_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(220):
+        block = rng.choice("aab")
+        spot = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1) * 1e-3, float(rng.randint(0, 3))]) for _ in range(2)]
+        rows.append((i, block, *spot, rng.choice([None, None, float(rng.randint(0, 99))])))
+    rows += [(300, "a", 1e9, -1e9, None), (301, "b", None, 0.0, None), (302, "b", float("nan"), 0.0, 5.0), (303, "c", 0.0, 0.0, None)]
+    rows += [(304, "d", 0.0, 0.0, None), (305, "d", 5.0, 5.0, 3.0), (306, None, 0.0, 0.0, None), (307, None, 1.0, 1.0, 4.0)]
+    got = {r["i"]: r["v"] for r in clean.fill_knn(spark.createDataFrame(rows, "i int, k string, x double, y double, v double"), "v", ["x", "y"], "k", 3).collect()}
+    usable = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    for i, block, x, y, v in rows:
+        want = v
+        if v is None and x is not None:
+            near = sorted(((x - r[2]) ** 2 + (y - r[3]) ** 2, r[4]) for r in usable if r[1] == block and r[4] is not None)
+            near = [n for n in near if sum(m[0] < n[0] for m in near) < 3]
+            want = sum(n[1] for n in near) / len(near) if near else None
+        assert got[i] == want or abs(got[i] - want) < 1e-9, i
+
+
+def test_microseconds_make_rows_differ(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00.000001' AS t UNION ALL SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00.000002'")
+    assert clean.quality_score(df, {}).first()["uniqueness"] == 1.0

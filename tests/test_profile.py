@@ -129,3 +129,13 @@ def test_summary_text(spark):
 def test_describe_counts_rows(spark):
     rows = profile.describe_schema(spark.range(4).withColumn("v", F.lit(1.0))).collect()
     assert [(r["column_name"], r["column_type"], r["row_count"]) for r in rows] == [("id", "bigint", 4), ("v", "double", 4)]
+
+
+def test_only_possible_keys_are_counted(spark):
+    df = spark.range(5000).select(
+        "id", *[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(40)], F.concat(F.lit("u"), "id").alias("name"),
+        F.when(F.col("id") > 0, F.col("id")).alias("holes"), F.greatest(F.col("id"), F.lit(20)).alias("nearly"), F.greatest(F.col("id"), F.lit(200)).alias("less"),
+    )
+    assert profile.possible_keys(df) == ["id", "name", "nearly", "less"]
+    assert {r["name"] for r in profile.candidate_keys(df).collect()} == {"id", "name", "nearly"}
+    assert profile.candidate_keys(df.select("c1")).count() == 0

@@ -50,6 +50,17 @@ def test_range_join_equals_all_pairs(spark):
     assert {(r["p"], r["s"]) for r in got.collect()} == want
 
 
+def test_range_join_of_a_second_and_a_year(spark):
+    rng = np.random.default_rng(3)
+    points = [(i, int(v)) for i, v in enumerate(rng.integers(-40_000_000, 40_000_000, 300))]
+    spans = [(i, int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(-40_000_000, 40_000_000, 60), rng.choice([1, 2, 3600, 31_536_000], 60)))]
+    spans += [(100 + i, v, v + 1) for i, v in points[:20]] + [(200, 5, 5), (201, 9, 3)]
+    want = sorted((p, s) for p, v in points for s, a, b in spans if a <= v < b)
+    left, right = spark.createDataFrame(points, "p int, v long"), spark.createDataFrame(spans, "s int, a long, b long")
+    assert sorted((r["p"], r["s"]) for r in relational.range_join(left, right, "v", "a", "b", 1.0).collect()) == want
+    assert relational.range_join(left, right.limit(0), "v", "a", "b", 1.0).count() == 0
+
+
 @pytest.mark.parametrize("per_pass", [5, 1000])
 def test_knn_with_copies_and_zero_vectors(spark, per_pass):
     rng = np.random.default_rng(4)
