@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.fixed_values import CONSUMER_FIELDS
-from plumbline.operators import profile
+from plumbline.operators import mergeable, profile
 from plumbline.plans.registry import query, table
+from plumbline.session import shared_folder
 
 COLUMNS = {
     "customer": [
@@ -235,3 +236,37 @@ def profile_consumer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = profile.summarize(table(spark, sf_dir, "orders"), exact=True)
     return profile.summary_as_text(_rounded(summary, "avg", "std", "q25", "q50", "q75"))
+
+
+@query(
+    "profile_merged_days",
+    """
+    WITH l AS (
+      SELECT 'event_id' AS column_name, event_id::DOUBLE AS v, event_id::VARCHAR AS t FROM events
+      UNION ALL SELECT 'user_id', user_id::DOUBLE, user_id::VARCHAR FROM events
+      UNION ALL SELECT 'value', value, value::VARCHAR FROM events
+      UNION ALL SELECT 'event_type', NULL, event_type FROM events)
+    SELECT column_name, count(*) AS rows, count(*) - count(t) AS nulls, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
+      true AS distinct_fits, CASE WHEN column_name = 'event_type' THEN NULL ELSE true END AS quartiles_fit
+    FROM l GROUP BY column_name
+    """,
+)
+def profile_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of days, stored in two runs and merged; the sketched figures are held against exact ones."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", F.to_date("ts").alias("day"))
+    path = shared_folder(spark, "day-profiles")
+    mergeable.update_profiles(events.filter("day < '2024-01-16'"), F.col("day"), path)
+    merged = mergeable.update_profiles(events, F.col("day"), path).filter("column_name <> 'day'")
+    exact = profile.summarize(events.drop("day"), exact=True).select("column_name", F.col("approx_unique").alias("unique"))
+    numbers = events.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in ("event_id", "user_id", "value")
+    ])))
+    # the share of rows below, and up to, each merged quartile
+    held = numbers.join(merged.select("column_name", "q25", "q50", "q75"), "column_name").groupBy("column_name").agg(*[
+        ((F.avg((F.col("v") < F.col(q)).cast("int")) <= p + mergeable.RANK_ERROR) & (F.avg((F.col("v") <= F.col(q)).cast("int")) >= p - mergeable.RANK_ERROR)).alias(q)
+        for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+    ]).select("column_name", (F.col("q25") & F.col("q50") & F.col("q75")).alias("quartiles_fit"))
+    return merged.join(exact, "column_name").join(held, "column_name", "left").select(
+        "column_name", "rows", "nulls", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        (F.abs(F.col("approx_unique") - F.col("unique")) <= 0.05 * F.col("unique")).alias("distinct_fits"), "quartiles_fit",
+    )
