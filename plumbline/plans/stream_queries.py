@@ -22,6 +22,12 @@ def _drain(spark: SparkSession, sdf: DataFrame, mode: str = "complete") -> DataF
     return streams.last_snapshot(spark, f"{folder}/out")
 
 
+def _newest(spark: SparkSession, sdf: DataFrame, keys: list[str]) -> DataFrame:
+    folder = shared_folder(spark, "upserts")
+    streams.stream_upserts(sdf, f"{folder}/out", f"{folder}/checkpoint", keys).awaitTermination()
+    return streams.newest_rows(spark, f"{folder}/out", keys)
+
+
 @query(
     "stream_latest_status",
     """
@@ -37,7 +43,7 @@ def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     sdf = _stream(spark, sf_dir).select(
         "event_id", "ts", F.col("user_id").alias("session_id"), names[F.col("event_type")].alias("status")
     )
-    return _drain(spark, streams.stream_latest_status(sdf, "session_id", "status", ["ts", "event_id"]))
+    return _newest(spark, streams.stream_latest_status(sdf, "session_id", "status", ["ts", "event_id"]), ["session_id"])
 
 
 @query(
@@ -65,7 +71,8 @@ def stream_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _drain(spark, streams.stream_metrics(_stream(spark, sf_dir), "ts", "1 day", None, "2 hours", "event_type", "value"))
+    daily = streams.stream_metrics(_stream(spark, sf_dir), "ts", "1 day", None, "2 hours", "event_type", "value")
+    out = _newest(spark, daily, ["window_start", "event_type"])
     return out.select(
         streams.as_stored(F.col("window_start")).alias("window_start"), "event_type", "n", F.round("total", 4).alias("total")
     )
@@ -79,7 +86,7 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _drain(spark, streams.stream_metrics(_stream(spark, sf_dir), "ts", "24 hours", "6 hours", "2 hours"))
+    out = _newest(spark, streams.stream_metrics(_stream(spark, sf_dir), "ts", "24 hours", "6 hours", "2 hours"), ["window_start"])
     return out.select(streams.as_stored(F.col("window_start")).alias("window_start"), "n")
 
 
@@ -140,7 +147,7 @@ def stream_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_provider = limits(_usage(spark, sf_dir))
     alerts = streams.stream_budget_alerts(_stream(spark, sf_dir), "ts", "event_type", "value", per_provider)
-    out = _drain(spark, alerts)
+    out = _newest(spark, alerts, ["day", "event_type"])
     return out.select(
         streams.as_stored(F.col("day")).alias("day"), "event_type", F.round("used", 4).alias("used"),
         F.round("daily_limit", 4).alias("daily_limit"),

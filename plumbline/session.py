@@ -18,6 +18,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "plumbline")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # no Python call sites in error messages: collecting them dominates the building of wide plans
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PLUMBLINE_DRIVER_MEMORY", "12g"))

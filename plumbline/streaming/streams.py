@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from plumbline.fixed_values import EXHAUSTED_AT, STATUS_STEPS
 from plumbline.functions.frames import as_list, col
@@ -32,7 +33,7 @@ def stream_events(
 def stream_latest_status(
     sdf: DataFrame, session: str, status: str, order: Sequence[str], step_map: dict[str, int] | None = None
 ) -> DataFrame:
-    """Last status and step per session, kept as a running aggregate (complete or update mode)."""
+    """Last status and step per session, kept as a running aggregate (update mode, see ``stream_upserts``)."""
     key = F.struct(*[col(c) for c in order])
     step = step_of(col(status), step_map or STATUS_STEPS)
     return sdf.groupBy(col(session)).agg(
@@ -45,7 +46,11 @@ def stream_metrics(
     sdf: DataFrame, ts: str, width: str, slide: str | None = None, watermark: str = "1 hour",
     by: str | Sequence[str] | None = None, value: str | None = None,
 ) -> DataFrame:
-    """Counts and sums per tumbling or sliding window."""
+    """Counts and sums per tumbling or sliding window.
+
+    In update mode (``stream_upserts``) a window is given out each time it changes, and leaves the state once the watermark has
+    passed its end.
+    """
     w = F.window(col(ts), width, slide) if slide else F.window(col(ts), width)
     keys = [col(c) for c in as_list(by)]
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(col(value)).alias("total")] if value else [])
@@ -58,9 +63,9 @@ def stream_sessions(
 ) -> DataFrame:
     """Activity sessions per key: a pause longer than ``gap`` starts a new one.
 
-    Sessions are merged inside each task before the shuffle, so a very active key sends few rows.
+    A very active key sends few rows if the session merges windows inside each task before the shuffle
+    (spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition, which ``local_session`` sets).
     """
-    sdf.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(col(value)).alias("total")] if value else [])
     out = sdf.withWatermark(ts, watermark).groupBy(F.session_window(col(ts), gap).alias("_w"), col(by)).agg(*aggs)
     return out.select(
@@ -139,6 +144,53 @@ def last_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return every.filter(F.col("batch") == newest).drop("batch")
 
 
+def stream_upserts(
+    sdf: DataFrame, path: str, checkpoint: str, keys: str | Sequence[str], compact_every: int = 20, available_now: bool = True,
+    every: str = "1 minute",
+) -> StreamingQuery:
+    """Keep the newest row per key of an aggregate in update mode; ``newest_rows`` reads them.
+
+    A micro-batch holds only the keys that changed, and only these are written, to ``path/changes/batch=N``. Every
+    ``compact_every`` batches all newest rows are written once, to ``path/base/batch=N``, so that a reader never meets more than
+    that many versions of a key. Both replace their own folder, so a repeated batch changes nothing.
+    """
+    names = as_list(keys)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        if (number + 1) % compact_every == 0:
+            newest_rows(batch.sparkSession, path, names, number).write.mode("overwrite").parquet(f"{path}/base/batch={number}")
+
+    writer = sdf.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def newest_rows(spark: SparkSession, path: str, keys: str | Sequence[str], upto: int | None = None) -> DataFrame:
+    """The newest row of each key that ``stream_upserts`` has written, as of batch ``upto`` where given.
+
+    Reads the last compacted base and the changes after it; versions of a key meet in an aggregation that
+    combines before the shuffle.
+    """
+    names = as_list(keys)
+    try:
+        bases = spark.read.parquet(f"{path}/base")
+        if upto is not None:  # the base of this very batch may be left from an attempt that broke off
+            bases = bases.filter(F.col("batch") < upto)
+        base = bases.agg(F.max("batch")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        base = None
+    rows = spark.read.parquet(f"{path}/changes")
+    if upto is not None:
+        rows = rows.filter(F.col("batch") <= upto)
+    if base is not None:
+        rows = rows.filter(F.col("batch") > base).unionByName(bases.filter(F.col("batch") == base))
+    fields = [c for c in rows.columns if c != "batch"]
+    newest = rows.groupBy(*[col(k) for k in names]).agg(F.max_by(F.struct(*[col(c) for c in fields]), "batch").alias("_row"))
+    return newest.select("_row.*")
+
+
 def stream_terminal(
     sdf: DataFrame, path: str, checkpoint: str, session: str, status: str, order: Sequence[str],
     terminal: Sequence[str] = TERMINAL,

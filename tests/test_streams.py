@@ -99,3 +99,28 @@ def test_latest_status_stream(spark, tmp_path, feed):
     streams.stream_snapshots(status, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     row = streams.last_snapshot(spark, str(tmp_path / "out")).select("session", "status", F.col("step")).first()
     assert tuple(row) == ("a", "unheard", 2)
+
+
+def test_upserts_write_changed_keys_only(spark, tmp_path):
+    """Three runs of one stream: keys that did not change are not written again, also over a compaction and a restart."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    want = {}
+
+    def run(rows):
+        spark.createDataFrame(rows, "k string, status string, at long").coalesce(1).write.mode("append").parquet(source)
+        sdf = spark.readStream.schema("k string, status string, at long").parquet(source)
+        latest = streams.stream_latest_status(sdf, "k", "status", ["at"])
+        streams.stream_upserts(latest, out, checkpoint, "k", compact_every=2).awaitTermination()
+        for k, status, at in rows:
+            want[k] = max(want.get(k, (at, status)), (at, status))
+        got = {r["k"]: r["status"] for r in streams.newest_rows(spark, out, "k").collect()}
+        assert got == {k: v[1] for k, v in want.items()}
+
+    run([("a", "routing", 1), ("b", "routing", 1), ("c", "routing", 1)])
+    run([("b", "ingesting", 2)])
+    run([("c", "complete", 3), ("c", "cleaning", 2), ("d", "routing", 3)])
+    changes = spark.read.parquet(f"{out}/changes")
+    assert sorted((r["batch"], r["k"]) for r in changes.collect()) == [(0, "a"), (0, "b"), (0, "c"), (1, "b"), (2, "c"), (2, "d")]
+    assert [r["batch"] for r in spark.read.parquet(f"{out}/base").select("batch").distinct().collect()] == [1]
+    again = streams.newest_rows(spark, out, "k", upto=1).collect()
+    assert {r["k"]: r["status"] for r in again} == {"a": "routing", "b": "ingesting", "c": "routing"}
