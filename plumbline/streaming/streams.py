@@ -74,10 +74,13 @@ def stream_sessions(
     )
 
 
-def stream_first_in_ttl(sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl: str = "24 hours") -> DataFrame:
+def stream_first_in_ttl(
+    sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl: str = "24 hours", tie: str | Sequence[str] | None = None
+) -> DataFrame:
     """Keep an event if it comes more than ``ttl`` after the last kept one of the same keys.
 
-    The moment of the last kept event is each key's state; the events of a micro-batch are taken in order of time, so
+    The moment of the last kept event is each key's state; the events of a micro-batch are taken in order of time (equal
+    moments by ``tie``, else as they arrive), so
     the result does not depend on how they fall into batches as long as these come in order. Once the watermark
     is ``ttl`` past that moment the state goes.
     """
@@ -88,7 +91,7 @@ def stream_first_in_ttl(sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        rows = pd.concat(list(frames)).sort_values([ts, *as_list(tie)], kind="stable")
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         kept = []
         for at, moment in enumerate(rows[ts]):
@@ -191,15 +194,35 @@ def newest_rows(spark: SparkSession, path: str, keys: str | Sequence[str], upto:
     return newest.select("_row.*")
 
 
+def _ended_before(spark: SparkSession, ledger: str, number: int) -> DataFrame | None:
+    """Sessions that ended before batch ``number``, from the last compacted ledger and what came after it."""
+    rows, base = None, -1
+    if number > 0:
+        rows = spark.read.parquet(f"{ledger}/ended").filter(F.col("batch") < number)
+        try:
+            bases = spark.read.parquet(f"{ledger}/base").filter(F.col("batch") < number)
+            base = bases.agg(F.max("batch")).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            base = None
+        if base is not None:
+            rows = rows.filter(F.col("batch") > base).unionByName(bases.filter(F.col("batch") == base))
+    return rows
+
+
 def stream_terminal(
     sdf: DataFrame, path: str, checkpoint: str, session: str, status: str, order: Sequence[str],
-    terminal: Sequence[str] = TERMINAL,
+    terminal: Sequence[str] = TERMINAL, remember: str | None = None, compact_every: int = 20,
 ) -> StreamingQuery:
     """Forward a session's events up to and including its first terminal one; drop what comes later.
 
     Each micro-batch finds the terminal moments of its sessions by a map-side-combined aggregation and adds them to a
     ledger table; events are then filtered by a join with the ledger. So no session's events pass through one
-    task, and a repeated batch replaces exactly its own folders. The ledger holds one row per ended session.
+    task, and a repeated batch replaces exactly its own folders. Every ``compact_every`` batches the ledger is written anew as
+    one row per session, and batches read that and what came after it. With ``remember`` (as "7 days"; the first column of
+    ``order`` is then a moment) sessions that ended longer before the newest end are left out of it, so that it stops
+    growing; events that come even later are forwarded again.
     """
     events_path, ledger_path = f"{path}/events", f"{path}/ledger"
     key = F.struct(*[col(c) for c in order])
@@ -209,15 +232,23 @@ def stream_terminal(
         ended = batch.filter(col(status).isin(*terminal)).groupBy(col(session).alias("_session")).agg(
             F.min(key).alias("_end")
         )
-        ended.write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
-        ledger = spark.read.parquet(ledger_path)
-        earlier = ledger.filter(F.col("batch") < number).select("_session").distinct()
-        this_time = ledger.filter(F.col("batch") == number).select("_session", "_end")
-        alive = batch.join(earlier, col(session) == F.col("_session"), "left_anti")
+        ended.write.mode("overwrite").parquet(f"{ledger_path}/ended/batch={number}")
+        this_time = spark.read.schema(ended.schema).parquet(f"{ledger_path}/ended/batch={number}")
+        earlier = _ended_before(spark, ledger_path, number)
+        alive = batch
+        if earlier is not None:
+            alive = batch.join(earlier.select("_session").distinct(), col(session) == F.col("_session"), "left_anti")
         kept = alive.join(this_time, col(session) == F.col("_session"), "left").filter(
             F.col("_end").isNull() | (key <= F.col("_end"))
         )
         kept.select(*[col(c) for c in batch.columns]).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
+        if (number + 1) % compact_every == 0:
+            known = this_time if earlier is None else earlier.drop("batch").unionByName(this_time)
+            once = known.groupBy("_session").agg(F.min("_end").alias("_end"))
+            if remember is not None:
+                newest = known.agg(F.max("_end").alias("e")).select(F.col("e")[order[0]]).scalar()
+                once = once.filter(F.col("_end")[order[0]] >= newest - F.expr(f"INTERVAL {remember}"))
+            once.write.mode("overwrite").parquet(f"{ledger_path}/base/batch={number}")
 
     return (
         sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()

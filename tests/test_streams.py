@@ -124,3 +124,28 @@ def test_upserts_write_changed_keys_only(spark, tmp_path):
     assert [r["batch"] for r in spark.read.parquet(f"{out}/base").select("batch").distinct().collect()] == [1]
     again = streams.newest_rows(spark, out, "k", upto=1).collect()
     assert {r["k"]: r["status"] for r in again} == {"a": "routing", "b": "ingesting", "c": "routing"}
+
+
+def test_ledger_is_compacted_and_forgets(spark, tmp_path, feed):
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run(*rows):
+        streams.stream_terminal(
+            feed(*rows), out, check, "session", "status", ["ts", "id"], remember="1 day", compact_every=2
+        ).awaitTermination()
+        return {r["id"] for r in spark.read.parquet(f"{out}/events").collect()}
+
+    run(event(1, 0, "old", "complete"), event(2, 5, "open", "routing"))
+    run(event(3, 60 * 48, "new", "complete"))  # compacted here: "old" ended two days before "new"
+    base = spark.read.parquet(f"{out}/ledger/base")
+    assert [(r["_session"], r["batch"]) for r in base.collect()] == [("new", 1)]
+    got = run(event(4, 60 * 49, "new", "late"), event(5, 60 * 49, "open", "failed"), event(6, 60 * 50, "open", "late"))
+    assert got == {1, 2, 3, 5}
+    assert run(event(7, 60 * 51, "open", "late"), event(8, 60 * 51, "fresh", "routing")) == {1, 2, 3, 5, 8}
+
+
+def test_equal_moments_are_told_apart_by_the_tie(spark, tmp_path, feed):
+    sdf = feed(event(9, 0, "q", "x"), event(2, 0, "q", "x"), event(5, 0, "q", "x"))
+    first = streams.stream_first_in_ttl(sdf, "session", "ts", "24 hours", "id")
+    streams.stream_to_table(first, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
