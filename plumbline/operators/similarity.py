@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from plumbline.fixed_values import SIMILAR_AT
 from plumbline.functions.frames import col
 from plumbline.functions.vectors import as_vector, cosine
+from plumbline.session import shared_folder
+from plumbline.sources.byte_ranges import parquet_blocks, reachable
 
 QUERY_ROWS, BASE_ROWS = 8192, 65_536
 QUERIES_PER_PRODUCT = 512  # bounds the score matrix a task holds at once
@@ -68,15 +70,51 @@ def _nearest(k: int):
     return compare
 
 
+def _nearest_of_written(folder: str, k: int, query_rows: int, base_rows: int):
+    """The best ``k`` rows of each slab of a task for each query of a Parquet folder."""
+    compare = _nearest(k)
+
+    def against_all(slab: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for block in parquet_blocks(folder, query_rows):
+            yield compare(block, slab)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= base_rows:
+                yield from against_all(pd.concat(held))
+                held, rows = [], 0
+        if rows:
+            yield from against_all(pd.concat(held))
+
+    return run
+
+
 def knn(
     queries: DataFrame, query_key: str, query_vector: str, base: DataFrame, base_key: str, base_vector: str, k: int,
     query_rows: int = QUERY_ROWS, base_rows: int = BASE_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar base rows of every query: query_id, base_id, similarity, place.
 
-    Exact. Both sides are dealt into blocks of about ``query_rows`` and ``base_rows`` rows by a hash of their keys;
-    every block of queries meets every block of the base in a task of its own, which hands on its ``k`` best per query.
+    Exact. The queries are written to the shared folder. The base is read once, where it lies: a task takes ``base_rows`` of its
+    rows at a time, goes through the queries in blocks of ``query_rows``, and hands on its ``k`` best per query, which is all
+    that is shuffled. Where tasks cannot open the shared folder by themselves, both sides are dealt into such blocks by a hash of
+    their keys instead, and every block of queries meets every block of the base in a task of its own.
     """
+    key_type = base.schema[base_key].dataType.simpleString()
+    query_type = queries.schema[query_key].dataType.simpleString()
+    schema = f"query_id {query_type}, base_id {key_type}, similarity double"
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id")
+    place = F.row_number().over(order)
+    folder = shared_folder(queries.sparkSession, "queries")
+    if reachable(folder):
+        asked = queries.select(col(query_key).alias("q"), col(query_vector).cast("array<double>").alias("v")).filter("v is not null")
+        asked.write.parquet(folder)
+        known = base.select(col(base_key).alias("b"), col(base_vector).cast("array<double>").alias("v")).filter("v is not null")
+        found = known.mapInPandas(_nearest_of_written(folder, k, query_rows, base_rows), schema)
+        return found.withColumn("place", place).filter(F.col("place") <= k)
 
     def side(df: DataFrame, key: str, vector: str, name: str, rows: int) -> tuple[DataFrame, Column]:
         plain = df.select(col(key).alias(name), col(vector).cast("array<double>").alias("v")).filter("v is not null")
@@ -87,13 +125,8 @@ def knn(
     known, base_blocks = side(base, base_key, base_vector, "b", base_rows)
     wanted = wanted.withColumn("b_block", F.explode(F.sequence(F.lit(0), base_blocks - 1)))
     known = known.withColumn("q_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
-    key_type = base.schema[base_key].dataType.simpleString()
-    query_type = queries.schema[query_key].dataType.simpleString()
-    found = wanted.groupBy("q_block", "b_block").cogroup(known.groupBy("q_block", "b_block")).applyInPandas(
-        _nearest(k), f"query_id {query_type}, base_id {key_type}, similarity double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "base_id")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    found = wanted.groupBy("q_block", "b_block").cogroup(known.groupBy("q_block", "b_block")).applyInPandas(_nearest(k), schema)
+    return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
 def schema_texts(columns: DataFrame, dataset: str, name: str, semantic: str) -> DataFrame:

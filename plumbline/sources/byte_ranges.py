@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,14 @@ def read_bytes(path: str, start: int, stop: int) -> bytes:
         return file.read(stop - start)
 
 
+def parquet_blocks(folder: str, rows: int) -> Iterator[pd.DataFrame]:
+    """The rows of a Parquet folder in blocks of at most ``rows``."""
+    store, name = _file(folder)
+    for batch in dataset(name, filesystem=store, format="parquet").to_batches(batch_size=rows):
+        if batch.num_rows:
+            yield batch.to_pandas()
+
+
 def file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, glob: str = "*", least_bytes: int = 0) -> DataFrame:
     """(path, size, start, stop) of every range of the files of more than ``least_bytes`` bytes; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)

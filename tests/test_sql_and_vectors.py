@@ -61,8 +61,9 @@ def test_range_join_of_a_second_and_a_year(spark):
     assert relational.range_join(left, right.limit(0), "v", "a", "b", 1.0).count() == 0
 
 
-@pytest.mark.parametrize("per_pass", [5, 1000])
-def test_knn_with_copies_and_zero_vectors(spark, per_pass):
+@pytest.mark.parametrize("per_pass, reachable", [(5, True), (1000, True), (5, False)])
+def test_knn_with_copies_and_zero_vectors(spark, monkeypatch, per_pass, reachable):
+    monkeypatch.setattr(similarity, "reachable", lambda folder: reachable)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 8)).round(3)
     base[60:100] = base[0]  # a third of all rows are copies of one vector
