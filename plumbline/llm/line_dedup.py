@@ -13,6 +13,8 @@ from plumbline.llm.graph import connected_components
 
 #: Lines of a null id come after all others; a place is id * LINES + line number.
 NO_ID, LINES = str(2**63), 2**32
+#: Rounds in which lists of several classes are compared with one more of their lines.
+PIVOT_ROUNDS = 4
 #: Bits of the fixed-size filter that spares most texts a shuffle: 2 ** FILTER_WORDS words of 64.
 FILTER_WORDS = 17
 #: (least words of a line, edits of whole words allowed): about a tenth of the words, less for the longest lines.
@@ -284,9 +286,11 @@ def deduplicate_lines(
     Each line is cut into ``max_edits + 1`` segments, one of which every linked line has too, shifted by a few
     characters at most. Lines are posted under their segments (with length and number) and probe those of lines as long
     or a little shorter; likewise under runs of words, see ``word_keys``. Lines whose edits of words cover any ``max_edits``
-    edits of characters do without segments of characters. A posting list's members are compared with its first line; only lists whose members then fall
-    into several classes are compared further, across classes, in the join's condition, first by the bits of ``pair_parity`` or ``word_parity``, then by
-    distance: no list of pairs arises from a segment that thousands of lines share. Candidates are verified by ``edit_distance_within`` or the distance in words.
+    edits of characters do without segments of characters. A posting list's members are compared with its first line. Lists whose members then fall
+    into several classes take a pivot, the first line of a class that has given none yet, compare all members with it alone, and unite what is close; after
+    ``PIVOT_ROUNDS`` of these, members of what classes are left are compared with each other in the join's condition, first by the bits of ``pair_parity`` or
+    ``word_parity``, then by distance. So a family of near copies is united by one of its lines, and only close lines that no pivot has brought together
+    come out of that join as pairs. Candidates are verified by ``edit_distance_within`` or the distance in words.
     Texts are moved only where they are needed: filters of fixed size find the candidate lines and the documents that
     lose lines; all other rows pass by the joins.
 
@@ -343,27 +347,44 @@ def deduplicate_lines(
         )
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = verified(met.select(*ordered("head", "h1")))
-    classes = connected_components(stars)
-    grouped = members.join(classes, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("class"))
-    several = grouped.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
-    open_ = saved(
-        grouped.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi")
-        .join(candidate.withColumn("parity", pair_parity(F.col("line"))), "h1"),
-        "line-open",
-    )
-    side = lambda n: open_.select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "parity", *own)])
-    one, other = side("a"), side("b")
-    across = one.join(
-        other,
-        (one["key"] == other["key"]) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
-        & (
-            (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
-            & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
-            | words_within(word_bands, exact=False)
-        ),
-    ).select("a", "b")
-    united = connected_components(stars.unionByName(verified(across)))
+    links = verified(met.select(*ordered("head", "h1")))
+    spelt = candidate.withColumn("parity", pair_parity(F.col("line")))
+
+    def opened() -> DataFrame:
+        """The lists whose members fall into several classes by now."""
+        classes = connected_components(links)
+        grouped = members.join(classes, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("class"))
+        several = grouped.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
+        return saved(grouped.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi"), "line-open")
+
+    def close_pairs(some: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
+        side = lambda rows, n: rows.join(spelt, "h1").select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "parity", *own)])
+        one, other = side(some, "a"), side(others, "b")
+        return one.join(
+            other,
+            (one["key"] == other["key"]) & condition & (F.col("class_a") != F.col("class_b"))
+            & (
+                (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
+                & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
+                | words_within(word_bands, exact=False)
+            ),
+        ).select(*ordered("a", "b"))
+
+    pivots = met.select("key", F.col("head").alias("h1")).distinct()
+    for _ in range(PIVOT_ROUNDS):
+        open_ = opened()
+        tried = open_.join(pivots, ["key", "h1"]).select("key", "class").distinct()
+        fresh = open_.join(tried, ["key", "class"], "left_anti")
+        chosen = saved(
+            fresh.groupBy("key").agg(F.min(F.struct("h1", "class")).alias("p")).select("key", "p.h1", "p.class"), "line-pivots"
+        )
+        if chosen.isEmpty():
+            break
+        links = links.unionByName(verified(close_pairs(open_, chosen, F.lit(True))))
+        pivots = pivots.unionByName(chosen.select("key", "h1"))
+    else:
+        open_ = opened()
+    united = connected_components(links.unionByName(verified(close_pairs(open_, open_, F.col("a") < F.col("b")))))
 
     located = saved(counted.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")
     placed = located.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).join(
