@@ -13,8 +13,8 @@ from plumbline.llm.graph import connected_components
 
 #: Lines of a null id come after all others; a place is id * LINES + line number.
 NO_ID, LINES = str(2**63), 2**32
-#: Rounds in which lists of several classes are compared with one more of their lines.
-PIVOT_ROUNDS = 4
+#: A list of several classes is compared with about this many of its lines at first, and with as many times more in each further round.
+PIVOTS = 8
 #: Bits of the fixed-size filter that spares most texts a shuffle: 2 ** FILTER_WORDS words of 64.
 FILTER_WORDS = 17
 #: (least words of a line, edits of whole words allowed): about a tenth of the words, less for the longest lines.
@@ -69,25 +69,40 @@ def _bands(n_words: Column, bands: tuple[tuple[int, int], ...]) -> Column:
     return F.filter(F.array(*held), lambda band: band.isNotNull())
 
 
-def word_keys(line: Column, n_words: Column, bands: tuple[tuple[int, int], ...], probe: bool) -> Column:
-    """Hashes of runs of words, array<long>: a line's first ``edits + 1`` runs of ``size`` words, or where it seeks those of others.
+def run_shapes(edits: int, probe: bool) -> Column:
+    """The runs of words that a line of a band is posted under, or where it seeks those of others: array<int>, see ``run_and_shift``.
 
-    Of two lines within ``edits`` edits of words, one has a run i unchanged with at most i edits before it: counting
-    the edits that fall into each run, take the first run up to whose end there are fewer edits than runs. So
-    it is enough to seek run i shifted by -i to i words.
+    Of two lines within ``edits`` edits of words, one has a run i unchanged with exactly i edits before it: counting
+    the edits that fall into each run, take the first run up to whose end there are fewer edits than runs. So at most
+    ``edits - i`` are behind it. Lines seek the runs of lines with no more words than they have, so
+    run i stands at a shift from -min(i, edits - i) to i words.
     """
+    shifts = lambda i: range(-min(i, edits - i), i + 1) if probe else (0,)
+    # one text that is split once, when the query is planned: thousands of literals would be nodes of the plan
+    return F.split(F.lit(",".join(str(i * 1024 + shift + 512) for i in range(edits + 1) for shift in shifts(i))), ",").cast("array<int>")
 
-    def of_band(band: Column, hashes: Column) -> Column:
-        def run(i: Column, shift: Column) -> Column:
-            at = i * band["size"] + shift
-            return F.when(at + band["size"] <= n_words, F.xxhash64(band["least"], i, F.slice(hashes, at + 1, band["size"])))
 
-        shifts = lambda i: F.sequence(-i, i) if probe else F.array(F.lit(0))
-        return F.flatten(F.transform(F.sequence(F.lit(0), band["edits"]), lambda i: F.transform(shifts(i), lambda shift: run(i, shift))))
+def run_and_shift(shape: Column) -> tuple[Column, Column]:
+    """(run, shift) of one of ``run_shapes``."""
+    return F.shiftright(shape, 10), shape.bitwiseAND(F.lit(1023)) - 512
 
-    wanted = _bands(n_words, bands) if probe else F.filter(_bands(n_words, bands), lambda band: band["own"])
-    hashed = F.transform(words(line), lambda word: F.xxhash64(word))
-    return _with(hashed, lambda hashes: F.flatten(F.transform(wanted, lambda band: of_band(band, hashes))))
+
+def word_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...], probe: bool) -> DataFrame:
+    """(h1, key): hashes of a line's first ``edits + 1`` runs of ``size`` words, or of where it seeks those of others.
+
+    A row per band and shape comes first, so that a key is one small compiled expression.
+    """
+    wanted = _bands(F.col("n_words"), bands) if probe else F.filter(_bands(F.col("n_words"), bands), lambda band: band["own"])
+    hashed = F.transform(words(F.col("line")), lambda word: F.xxhash64(word))
+    banded = lines.filter(F.col("n_words") >= bands[0][0]).select("h1", "n_words", hashed.alias("hashes"), F.explode(wanted).alias("band"))
+    shapes = F.lit(None)
+    for least, edits in bands:
+        shapes = F.when(F.col("band.least") == least, run_shapes(edits, probe)).otherwise(shapes)
+    run, shift = run_and_shift(F.col("shape"))
+    placed = banded.select("h1", "n_words", "hashes", "band.least", "band.size", F.explode(shapes).alias("shape"))
+    at = run * F.col("size") + shift
+    key = F.xxhash64("least", run, F.slice("hashes", at + 1, F.col("size")))
+    return placed.filter(at + F.col("size") <= F.col("n_words")).select("h1", key.alias("key"))
 
 
 def _letters(codes: Column) -> Column:
@@ -285,12 +300,14 @@ def deduplicate_lines(
 
     Each line is cut into ``max_edits + 1`` segments, one of which every linked line has too, shifted by a few
     characters at most. Lines are posted under their segments (with length and number) and probe those of lines as long
-    or a little shorter; likewise under runs of words, see ``word_keys``. Lines whose edits of words cover any ``max_edits``
+    or a little shorter; likewise under runs of words, see ``run_shapes``. Lines whose edits of words cover any ``max_edits``
     edits of characters do without segments of characters. A posting list's members are compared with its first line. Lists whose members then fall
-    into several classes take a pivot, the first line of a class that has given none yet, compare all members with it alone, and unite what is close; after
-    ``PIVOT_ROUNDS`` of these, members of what classes are left are compared with each other in the join's condition, first by the bits of ``pair_parity`` or
-    ``word_parity``, then by distance. So a family of near copies is united by one of its lines, and only close lines that no pivot has brought together
-    come out of that join as pairs. Candidates are verified by ``edit_distance_within`` or the distance in words.
+    into several classes take pivots, about ``PIVOTS`` of their members by a hash, with which all members of other classes are compared; what is close is
+    united, and lists that still have several classes take ``PIVOTS`` times as many, until each has one class or all its members have been pivots.
+    So a line is mostly united by one of the first pivots near it and is not compared within its class again: per list, line and round about three close pairs
+    come out at most (with x pivots near it so far, ``PIVOTS`` * x * exp(-x) are expected), not one for each close line. Comparisons in the join's
+    condition go first by the bits of ``pair_parity`` or ``word_parity``, then by distance. Candidates are verified by ``edit_distance_within``
+    or the distance in words.
     Texts are moved only where they are needed: filters of fixed size find the candidate lines and the documents that
     lose lines; all other rows pass by the joins.
 
@@ -317,12 +334,8 @@ def deduplicate_lines(
     def keyed(shapes: Column, probe: bool) -> DataFrame:
         """(h1, key) of every line and shape: a row per shape first, so that the key is one small expression; and of its runs of words."""
         each = spelled.select("line", "length", "h1", F.explode(shapes).alias("shape"))
-        keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key"))
-        if word_bands:
-            worded = lines.filter(F.col("n_words") >= word_bands[0][0])
-            runs = word_keys(F.col("line"), F.col("n_words"), word_bands, probe)
-            keys = keys.unionByName(worded.select("h1", F.explode(runs).alias("key")))
-        return keys.filter("key is not null")
+        keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
+        return keys.unionByName(word_keys(lines, word_bands, probe)) if word_bands else keys
 
     heads = keyed(index_shapes(max_edits), False).groupBy("key").agg(F.min("h1").alias("head"))
     probes = keyed(probe_shapes(max_edits), True)
@@ -340,9 +353,10 @@ def deduplicate_lines(
         side = lambda n: candidate.select(F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in own])
         close = edit_distance_within(F.col("line_a"), F.col("line_b"), max_edits) <= max_edits
         lengths = F.abs(F.length("line_a") - F.length("line_b")) <= max_edits
+        few = F.lit(True) if covered is None else F.least("n_words_a", "n_words_b") < covered
         return saved(
             pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-            .filter((lengths & close) | words_within(word_bands, exact=True)).select("a", "b"),
+            .filter(words_within(word_bands, exact=True) | (lengths & few & close)).select("a", "b"),
             "line-links",
         )
 
@@ -350,41 +364,35 @@ def deduplicate_lines(
     links = verified(met.select(*ordered("head", "h1")))
     spelt = candidate.withColumn("parity", pair_parity(F.col("line")))
 
-    def opened() -> DataFrame:
-        """The lists whose members fall into several classes by now."""
+    def opened(done: int) -> DataFrame:
+        """The lists of more than ``done`` members whose members fall into several classes by now."""
         classes = connected_components(links)
         grouped = members.join(classes, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("class"))
         several = grouped.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
-        return saved(grouped.join(several.filter("low < high and n > 2").select("key"), "key", "left_semi"), "line-open")
+        some = several.filter((F.col("low") < F.col("high")) & (F.col("n") > F.greatest(F.lit(2), F.lit(done)))).select("key", "n")
+        return saved(grouped.join(some, "key"), "line-open")
 
-    def close_pairs(some: DataFrame, others: DataFrame, condition: Column) -> DataFrame:
+    def close_pairs(some: DataFrame, others: DataFrame) -> DataFrame:
         side = lambda rows, n: rows.join(spelt, "h1").select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "parity", *own)])
         one, other = side(some, "a"), side(others, "b")
         return one.join(
             other,
-            (one["key"] == other["key"]) & condition & (F.col("class_a") != F.col("class_b"))
+            (one["key"] == other["key"]) & (F.col("class_a") != F.col("class_b"))
             & (
-                (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
+                words_within(word_bands, exact=False)
+                | (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
                 & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
-                | words_within(word_bands, exact=False)
             ),
         ).select(*ordered("a", "b"))
 
-    pivots = met.select("key", F.col("head").alias("h1")).distinct()
-    for _ in range(PIVOT_ROUNDS):
-        open_ = opened()
-        tried = open_.join(pivots, ["key", "h1"]).select("key", "class").distinct()
-        fresh = open_.join(tried, ["key", "class"], "left_anti")
-        chosen = saved(
-            fresh.groupBy("key").agg(F.min(F.struct("h1", "class")).alias("p")).select("key", "p.h1", "p.class"), "line-pivots"
-        )
-        if chosen.isEmpty():
-            break
-        links = links.unionByName(verified(close_pairs(open_, chosen, F.lit(True))))
-        pivots = pivots.unionByName(chosen.select("key", "h1"))
-    else:
-        open_ = opened()
-    united = connected_components(links.unionByName(verified(close_pairs(open_, open_, F.col("a") < F.col("b")))))
+    # a line's draw from 0 to 1 is the same in all its lists; a list of n members takes those drawn below pivots / n
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("pivot"), "h1"), 11) / F.lit(float(2**53))
+    done, pivots = 0, PIVOTS
+    while not (open_ := opened(done)).isEmpty():
+        chosen = open_.filter((draw * F.col("n") >= done) & (draw * F.col("n") < pivots))
+        links = links.unionByName(verified(close_pairs(open_, chosen)))
+        done, pivots = pivots, pivots * PIVOTS
+    united = connected_components(links)
 
     located = saved(counted.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")
     placed = located.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).join(
