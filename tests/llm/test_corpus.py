@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import embedding_dedup
+from plumbline.llm import line_dedup
 from plumbline.llm.embedding_dedup import near_duplicate_vectors
 from plumbline.llm.graph import connected_components
 from plumbline.llm.line_dedup import WORD_BANDS, deduplicate_lines, edit_distance_within, index_shapes, key_of, pair_parity, probe_shapes
@@ -119,6 +120,25 @@ def test_lines(spark):
     assert deduplicate_lines(table.limit(0)).count() == 0
 
 
+def test_lines_of_a_wide_family_take_pivots(spark, monkeypatch):
+    """Members are up to 4 edits apart, so no one line unites them; unrelated lines share a segment with them."""
+    monkeypatch.setattr(line_dedup, "PIVOTS", 2)
+    r, center = random.Random(11), "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = []
+    for _ in range(45):
+        line = list(center)
+        for at in r.sample(range(len(line)), 2):
+            line[at] = r.choice("ABCD")
+        texts.append("".join(line))
+    texts += [center[:12] + "".join(r.choice("EFGH") for _ in range(24)) for _ in range(15)]
+    r.shuffle(texts)
+    docs = list(enumerate(texts))
+    want = brute_lines(docs, 2, 24)
+    assert 15 < sum(t != "" for t in want.values()) < 60
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {row.doc_id: row.text for row in deduplicate_lines(table).collect()} == want
+
+
 def test_long_lines_by_words(spark):
     def word_distance(a, b):
         row = list(range(len(b) + 1))
@@ -301,3 +321,15 @@ def test_pipeline(spark):
     assert found[19].text.endswith("[secret]") and all(r.n_chars == len(r.text) for r in found.values())
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r.doc_id for r in packed} == set(found)
+
+
+def test_pipeline_stages_keep_columns_of_clashing_names(spark):
+    line = prose(12)
+    rows = [(1, line, "mine", 7, "x", None), (2, line + "\n" + prose(9) + " token = abcdefgh12345", None, 7, "y", 1.5), (3, None, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_dropped int, N_Lines string, input_spans double")
+    for _, stage in corpus_pipeline.STAGES[1], corpus_pipeline.STAGES[3]:
+        got = stage(spark, docs, "")
+        assert got.schema == docs.schema
+        assert {row.doc_id: tuple(row)[2:] for row in got.collect()} == {row[0]: row[2:] for row in rows}
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert got.filter("text like '%[secret]'").count() == 1
