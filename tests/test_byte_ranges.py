@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import json
 import random
+import tracemalloc
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -90,3 +92,31 @@ def test_empty_csv(spark, tmp_path):
     (tmp_path / "head.csv").write_text("a,b\n")
     df = readers.read_table(spark, str(tmp_path), "csv", multi_line=True)
     assert df.columns == ["a", "b"] and df.count() == 0
+
+
+def test_a_range_is_not_held_whole(tmp_path):
+    """Scanning a range and cutting it into records takes a few blocks of memory, not many times the range."""
+    path, row = str(tmp_path / "big.csv"), '"' + 'x, ""y""\n' * 500 + '",1\n'
+    n = (24 << 20) // len(row)
+    (tmp_path / "big.csv").write_text("text,id\n" + row * n)
+    size = (tmp_path / "big.csv").stat().st_size
+    spans = pd.DataFrame({"path": [path], "size": [size], "start": [0], "stop": [size]})
+    tracemalloc.start()
+    scanned = pd.concat(list(byte_ranges._quote_scan(iter([spans]))))
+    records = sum(int((frame["value"].str.strip() != "").sum()) for frame in byte_ranges._records(iter([spans])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (scanned["quotes"][0], scanned["outside"][0], records) == (0, 8, n + 1)
+    assert peak < 3 * size
+
+
+def test_records_over_block_borders(tmp_path, monkeypatch):
+    rows = ["a,b", '"x\ny",1', "", '"""q""\r\n,",é', "last,2\r"]
+    (tmp_path / "cut.csv").write_bytes("\n".join(rows).encode())
+    path = str(tmp_path / "cut.csv")
+    span = pd.DataFrame({"path": [path], "start": [0], "stop": [len("\n".join(rows).encode())]})
+    for block in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(byte_ranges, "BLOCK_BYTES", block)
+        found = pd.concat(list(byte_ranges._records(iter([span]))), ignore_index=True)
+        assert found["value"].tolist() == [r.rstrip("\r") for r in rows]
+        assert found["head"].tolist() == [True, False, False, False, False]
