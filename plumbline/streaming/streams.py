@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,39 +75,87 @@ def stream_sessions(
     )
 
 
+def _micros(moments: pd.Series) -> np.ndarray:
+    """Microseconds since 1970 of the moments as their zone's clock shows them."""
+    if getattr(moments.dtype, "tz", None) is not None:
+        moments = moments.dt.tz_localize(None)
+    return moments.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _a_span_apart(moments: np.ndarray, last: int | None, span: int) -> list[int]:
+    """Places in ascending ``moments`` of the first one more than ``span`` after ``last``, of the first one so long after that, and so on."""
+    at, kept = 0 if last is None else int(moments.searchsorted(last + span, "right")), []
+    while at < len(moments):
+        kept.append(at)
+        at = int(moments.searchsorted(moments[at] + span, "right"))
+    return kept
+
+
+def _identity(sdf: DataFrame, names: Sequence[str]) -> Column:
+    """The key columns as one text, different for different keys; nulls equal nulls, and -0.0 equals 0.0."""
+
+    def text(name: str) -> Column:
+        kind = sdf.schema[name].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            return (col(name) + F.lit(0).cast(kind)).cast("string")
+        return F.base64(col(name)) if isinstance(kind, T.BinaryType) else col(name).cast("string")
+
+    return F.to_json(F.array(*[text(n) for n in names]))
+
+
 def stream_first_in_ttl(
-    sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl: str = "24 hours", tie: str | Sequence[str] | None = None
+    sdf: DataFrame, keys: str | Sequence[str], ts: str, ttl: str = "24 hours", tie: str | Sequence[str] | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Keep an event if it comes more than ``ttl`` after the last kept one of the same keys.
 
     The moment of the last kept event is each key's state; the events of a micro-batch are taken in order of time (equal
     moments by ``tie``, else as they arrive), so
     the result does not depend on how they fall into batches as long as these come in order. Once the watermark
-    is ``ttl`` past that moment the state goes.
+    is ``ttl`` past that moment the state goes. Keys are numbers, texts, booleans, dates, moments or bytes.
+
+    Python is called once for each of the ``buckets`` into which the keys are hashed, as a call costs much more than a key's
+    few rows. So a micro-batch's share of a bucket must fit into a task, and a checkpoint belongs to its number of buckets.
     """
     names = as_list(keys)
-    span = pd.Timedelta(ttl)
+    span = pd.Timedelta(ttl).value // 1000
+    ties = as_list(tie)
+    columns = sdf.columns
 
-    def keep(_key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def keep(_bucket, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values([ts, *as_list(tie)], kind="stable")
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(frames))
+        if ties:
+            rows = rows.sort_values(ties, kind="stable")
+        last = dict(zip(*state.get)) if state.exists else {}
+        codes, found = pd.factorize(rows["_ttl_key"])
+        moments = _micros(rows[ts])
+        order = np.lexsort((moments, codes))
+        moments, bounds = moments[order], np.searchsorted(codes[order], np.arange(len(found) + 1)).tolist()
         kept = []
-        for at, moment in enumerate(rows[ts]):
-            if last is None or moment.tz_localize(None) - last > span:
-                last = moment.tz_localize(None)
-                kept.append(at)
-        if last is not None:
-            state.update((last.value // 1000,))
-            expires = (last + span).value // 1_000_000 + 1
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept]
-
-    timed = sdf.withWatermark(ts, ttl).filter(col(ts).isNotNull())
-    return timed.groupBy(*[col(k) for k in names]).applyInPandasWithState(
-        keep, sdf.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout
+        for key, start, stop in zip(found, bounds, bounds[1:]):
+            places = _a_span_apart(moments[start:stop], last.get(key), span)
+            if places:
+                last[key] = int(moments[start + places[-1]])
+                kept += [start + at for at in places]
+        watermark = state.getCurrentWatermarkMs()
+        held = {k: v for k, v in last.items() if (v + span) // 1000 + 1 > watermark}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp((max(held.values()) + span) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield rows.iloc[order[kept]][columns]
+
+    timed = sdf.withWatermark(ts, ttl).filter(col(ts).isNotNull()).withColumn("_ttl_key", _identity(sdf, names))
+    # a key column is null in all rows of a bucket or in none, as pandas has no null among whole numbers
+    nulls = [F.when(col(n).isNull(), "-").otherwise("+") for n in names]
+    bucket = F.concat(*nulls, F.pmod(F.xxhash64("_ttl_key"), F.lit(buckets)).cast("string"))
+    return timed.withColumn("_ttl_bucket", bucket).groupBy("_ttl_bucket").applyInPandasWithState(
+        keep, sdf.schema, "keys array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

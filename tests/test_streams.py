@@ -149,3 +149,20 @@ def test_equal_moments_are_told_apart_by_the_tie(spark, tmp_path, feed):
     first = streams.stream_first_in_ttl(sdf, "session", "ts", "24 hours", "id")
     streams.stream_to_table(first, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
+
+
+def test_first_in_ttl_state_is_kept_by_bucket(spark, tmp_path):
+    """Many keys, null and large ones among them, are a few groups of the state; each key is judged for itself, also in a later batch."""
+    big = 2**60
+    keys = [(None, None), (None, "x"), (big, None), (big, "x"), (big + 1, "x"), (big + 1, "y")] + [(i, "x") for i in range(40)]
+    source, schema = str(tmp_path / "in"), "id long, k long, s string, ts timestamp_ntz"
+    for hours in ([0, 10], [24, 30, 60]):
+        rows = [(big + 100 * n + h, k, s, START + timedelta(hours=h)) for n, (k, s) in enumerate(keys) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    sdf = streams.stream_events(spark, source, schema, files_per_batch=1)
+    first = streams.stream_first_in_ttl(sdf, ["k", "s"], "ts", "24 hours", buckets=4)
+    query = streams.stream_to_table(first, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    kept = {(r["id"], r["k"], r["s"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert kept == {(big + 100 * n + h, k, s) for n, (k, s) in enumerate(keys) for h in (0, 30, 60)}
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 16
