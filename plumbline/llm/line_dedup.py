@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import col
-from plumbline.llm.common import saved, words
+from plumbline.llm.common import key_filter, maybe_in, saved, words
 from plumbline.llm.graph import connected_components
 
 #: Lines of a null id come after all others; a place is id * LINES + line number.
 NO_ID, LINES = str(2**63), 2**32
 #: A list of several classes is compared with about this many of its lines at first, and with as many times more in each further round.
 PIVOTS = 8
-#: Bits of the fixed-size filter that spares most texts a shuffle: 2 ** FILTER_WORDS words of 64.
-FILTER_WORDS = 17
 #: (least words of a line, edits of whole words allowed): about a tenth of the words, less for the longest lines.
 WORD_BANDS = ((10, 1), (20, 2), (40, 4), (80, 6), (160, 8), (320, 12), (640, 16), (1280, 24), (2560, 32), (5120, 48), (10240, 64), (20480, 96))
 
@@ -261,26 +259,6 @@ def _banded(a: Column, b: Column, m: Column, n: Column, k: int) -> Column:
     return F.when(F.abs(m - n) > k, k + 1).otherwise(F.least(_with(last, read), F.lit(k + 1)))
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.shiftright(key, 40), F.lit(64)).cast("int")
-
-
-def _bits(keys: DataFrame) -> Column:
-    """A filter of fixed size over the column ``key`` as one value, to be asked by ``_maybe``; true for every key in it."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("key")))
-    words = keys.select(F.pmod("key", F.lit(1 << FILTER_WORDS)).alias("at"), bit.alias("bit"))
-    held = words.groupBy("at").agg(F.bit_or("bit").alias("word"))
-    spark = keys.sparkSession
-    every = spark.range(1 << FILTER_WORDS).join(held, F.col("id") == F.col("at"), "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
-    lists = every.agg(F.sort_array(F.collect_list(F.struct("id", "word"))).alias("words"))
-    return lists.select(F.col("words.word").alias("words")).scalar()
-
-
-def _maybe(bits: Column, key: Column) -> Column:
-    word = F.get(bits, F.pmod(key, F.lit(1 << FILTER_WORDS)).cast("int"))
-    return F.call_function("shiftright", word, _bit(key)).bitwiseAND(F.lit(1)) == 1
-
-
 def deduplicate_lines(
     docs: DataFrame,
     max_edits: int = 2,
@@ -343,7 +321,7 @@ def deduplicate_lines(
     members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
     wanted = members.select(F.col("h1").alias("key")).distinct()
     candidate = saved(
-        lines.select("line", "h1").filter(_maybe(_bits(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
+        lines.select("line", "h1").filter(maybe_in(key_filter(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
         .withColumn("n_words", F.size(words(F.col("line")))).withColumn("letters", word_letters(F.col("line"))).withColumn("words", word_parity(F.col("line"))),
         "line-texts",
     )
@@ -410,7 +388,7 @@ def deduplicate_lines(
 
     rows = whole.withColumn("text_key", F.xxhash64("text"))
     doc_key = F.xxhash64(F.coalesce("id", F.lit(0)), "text_key")
-    hit = _maybe(_bits(dropped.select(doc_key.alias("key"))), doc_key)
+    hit = maybe_in(key_filter(dropped.select(doc_key.alias("key"))), doc_key)
     loss = dropped.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "numbers")
     flagged = rows.withColumn("hit", hit)
     shortened = flagged.filter("hit").join(

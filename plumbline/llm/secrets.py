@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import col
-from plumbline.llm.common import saved
+from plumbline.llm.common import key_filter, maybe_in, saved
 
 #: Above so many strings a set of possible strings is no longer listed.
 MOST_STRINGS = 64
@@ -129,7 +129,7 @@ def find_secrets(
 
     Each rule's pattern gives a Boolean query of trigrams. Texts are posted under the trigrams asked for, copies once;
     the posting lists of a query's alternatives are intersected by counting, which texts hold all of one's trigrams.
-    Only these candidates are verified with the pattern itself. A rule without mandatory trigrams (a run of hexadecimal
+    Only these candidates are verified with the pattern itself; a filter of fixed size lets all other texts pass by the join. A rule without mandatory trigrams (a run of hexadecimal
     digits, say) scans all texts. The key of a text is a 64-bit hash; texts that share one share their candidates, which
     verification then tells apart.
 
@@ -148,9 +148,14 @@ def find_secrets(
     # as many rows as the rules have trigrams
     terms = docs.sparkSession.createDataFrame(asked, "rule int, branch int, needed int, trigram string")
     held = postings.join(F.broadcast(terms), "trigram").groupBy("text_key", "rule", "branch", "needed").agg(F.count(F.lit(1)).alias("n"))
-    candidates = held.filter("n = needed").groupBy("text_key").agg(F.collect_set("rule").alias("candidate_rules"))
+    candidates = saved(
+        held.filter("n = needed").groupBy("text_key").agg(F.collect_set("rule").alias("candidate_rules")), "secret-candidates"
+    )
     rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), F.xxhash64(text).alias("row_key"))
-    looked = rows.join(candidates, rows["row_key"] == candidates["text_key"], "left")
+    flagged = rows.withColumn("hit", maybe_in(key_filter(candidates.select(F.col("text_key").alias("key"))), F.col("row_key")))
+    met = flagged.filter("hit").join(candidates, F.col("row_key") == F.col("text_key"), "left")
+    passed = flagged.filter("not hit").withColumn("candidate_rules", F.lit(None).cast("array<int>"))
+    looked = passed.select("row", "candidate_rules").unionByName(met.select("row", "candidate_rules"))
     whole = F.coalesce(F.col("row")[text_column], F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int>>")
     found = []

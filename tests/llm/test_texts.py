@@ -133,6 +133,16 @@ def test_mandatory_trigrams():
     assert trigram_query(RULES[1].pattern) == [frozenset({"aki", "kia"})]
 
 
+def test_texts_without_candidates_pass_by_the_join_of_secrets(spark, capsys):
+    rows = [(i, f"plain words {i} " * 20) for i in range(50)] + [(90, "password: abcdefgh1"), (91, "a token"), (92, None), (93, "f" * 32)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["s"] for r in found.select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    assert got == {i: "" for i in range(50)} | {90: "assign:0:19", 91: "", 92: "", 93: "hex:0:32"}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Union" in plan and "subquery" in plan.lower()
+
+
 def test_secrets_equal_plain_patterns(spark, docs):
     parts = ["token", "=", "secret:", "abcdefgh1", " ", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "'", '"', "é😀", "api_key", "PASSWORD = ", "\n"]
     texts = random_texts(400, parts, 14)
