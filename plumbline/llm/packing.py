@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,16 +46,20 @@ class WordIds(dict):
         self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
     def _part(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+        # printable ASCII stands for itself
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
         if len(self.parts) >= CACHED_WORDS:
             self.parts.clear()
         self.parts[part] = ids
         return ids
 
     def __missing__(self, stretch: str) -> bytes:
-        if self.PLAIN.fullmatch(stretch) and "<|" not in stretch:
-            known = self.parts
+        known = self.parts
+        if stretch.isascii() and stretch.isalpha():  # one part
+            part = stretch.lower()
+            ids = known.get(part) or self._part(part)
+        elif self.PLAIN.fullmatch(stretch) and "<|" not in stretch:
             ids = b"".join([known.get(p) or self._part(p) for p in self.PARTS.findall(stretch.lower())])
         else:
             ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,6 +74,12 @@ class WordIds(dict):
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The vocabulary with the words met so far: a Python worker keeps them from one task to the next."""
+    return WordIds(path)
+
+
 def fullest_set(counts: dict[int, int], lengths: list[int], capacity: int) -> dict[int, int]:
     """The multiset of ``lengths`` (descending, ``counts`` copies each) whose sum is nearest below ``capacity``.
 
@@ -220,7 +231,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         packer = Packer(window, max_slack, TaskContext.get().partitionId() << 32)
         out, size = [], 0
         for batch in batches:

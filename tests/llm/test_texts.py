@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm.langid import held_out, identify_language, keep_identified, language_prototypes
-from plumbline.llm.packing import fullest_set, pack_documents, plan_windows
+from plumbline.llm.packing import fullest_set, pack_documents, plan_windows, word_ids
 from plumbline.llm.pii import EVIDENCE, FEATURES, LABELS, SKIP, Field, base_spans, feature_slots, find_personal_data, fit_field, learn_field, marginals, signal_tokens
 from plumbline.llm.piece_codec import Encoder, PieceTable, encode_pieces
 from plumbline.llm.secrets import RULES, find_secrets, listed, redacted, trigram_query
@@ -133,6 +133,17 @@ def test_mandatory_trigrams():
     assert trigram_query(RULES[1].pattern) == [frozenset({"aki", "kia"})]
 
 
+def test_a_worker_keeps_the_words_it_has_met(spark):
+    """The vocabulary is loaded and words are encoded once in a Python worker, not once in a task; every part equals the tokenizer's own."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = word_ids(path)
+    plain = Tokenizer.from_file(path)
+    for text in ["Hello", "hello don't", "ABC,def 12a", "Ünïcode straße", "x<|y", "ÀB", "中文 a", "\tTab\x0b", "ªº", "İI ǅ"]:
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    known = len(ids)
+    assert word_ids(path) is ids and ids.encode("Hello") and len(ids) == known
+
+
 def test_texts_without_candidates_pass_by_the_join_of_secrets(spark, capsys):
     rows = [(i, f"plain words {i} " * 20) for i in range(50)] + [(90, "password: abcdefgh1"), (91, "a token"), (92, None), (93, "f" * 32)]
     found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
