@@ -333,3 +333,18 @@ def test_pipeline_stages_keep_columns_of_clashing_names(spark):
         assert {row.doc_id: tuple(row)[2:] for row in got.collect()} == {row[0]: row[2:] for row in rows}
         assert stage(spark, docs.limit(0), "").count() == 0
     assert got.filter("text like '%[secret]'").count() == 1
+
+
+def test_a_small_graph_is_dealt_over_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 != 9], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        classes = connected_components(links)
+        assert {(r["node"], r["component"]) for r in classes.collect()} == {(i, i - i % 10) for i in range(300)}
+        assert len(set(classes.inputFiles())) <= 8
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
