@@ -85,14 +85,22 @@ def run_and_shift(shape: Column) -> tuple[Column, Column]:
     return F.shiftright(shape, 10), shape.bitwiseAND(F.lit(1023)) - 512
 
 
+def _pieces(line: Column) -> Column:
+    """The words of a line that is not null, see ``words``: nearly all lines have spaces only, and those need no regular expression."""
+    spaced = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.array_remove(F.split(spaced, " ", -1), "")
+
+
 def word_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...], probe: bool) -> DataFrame:
     """(h1, key): hashes of a line's first ``edits + 1`` runs of ``size`` words, or of where it seeks those of others.
 
-    A row per band and shape comes first, so that a key is one small compiled expression.
+    A line is split into words once: what is asked of them stays behind a generator, as a filter would be pushed below the projection
+    and split again. A row per band and shape comes first, so that a key is one small compiled expression.
     """
+    once = F.explode(F.array(F.transform(_pieces(F.col("line")), lambda word: F.xxhash64(word))))
+    hashed = lines.select("h1", once.alias("hashes")).withColumn("n_words", F.size("hashes")).filter(F.col("n_words") >= bands[0][0])
     wanted = _bands(F.col("n_words"), bands) if probe else F.filter(_bands(F.col("n_words"), bands), lambda band: band["own"])
-    hashed = F.transform(words(F.col("line")), lambda word: F.xxhash64(word))
-    banded = lines.filter(F.col("n_words") >= bands[0][0]).select("h1", "n_words", hashed.alias("hashes"), F.explode(wanted).alias("band"))
+    banded = hashed.select("h1", "n_words", "hashes", F.explode(wanted).alias("band"))
     shapes = F.lit(None)
     for least, edits in bands:
         shapes = F.when(F.col("band.least") == least, run_shapes(edits, probe)).otherwise(shapes)
@@ -103,6 +111,18 @@ def word_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...], probe: bool)
     return placed.filter(at + F.col("size") <= F.col("n_words")).select("h1", key.alias("key"))
 
 
+def keys_of_lines(lines: DataFrame, probe: bool, max_edits: int, bands: tuple[tuple[int, int], ...], spelled_below: int | None) -> DataFrame:
+    """(h1, key): what lines (``line``, ``h1``) are posted under, or where they seek others.
+
+    Those of less than ``spelled_below`` words (None: all) by segments of characters, see ``key_of``, and all by runs of words.
+    """
+    spelled = lines if spelled_below is None else lines.filter(F.size(_pieces(F.col("line"))) < spelled_below)
+    shapes = probe_shapes(max_edits) if probe else index_shapes(max_edits)
+    each = spelled.select("line", "h1", F.length("line").alias("length"), F.explode(shapes).alias("shape"))
+    keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
+    return keys.unionByName(word_keys(lines, bands, probe)) if bands else keys
+
+
 def _letters(codes: Column) -> Column:
     """A text with one character for each of the numbers, which are below 2 ** 20."""
     return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + 0x10000), 8, "0")), "")), "UTF-32")
@@ -147,7 +167,11 @@ def words_within(bands: tuple[tuple[int, int], ...], exact: bool) -> Column:
         return of_band(lambda edits: F.levenshtein(a, b, edits) >= 0)
 
     near = of_band(lambda edits: (F.abs(n_a - n_b) <= edits) & (turned <= 2 * edits)) & within(F.col("letters_a"), F.col("letters_b"))
-    return near & _with(_as_letters(F.col("line_a"), F.col("line_b")), lambda p: within(p["a"], p["b"])) if exact else near
+    if not exact:
+        return near
+    kinds = lambda items: F.size(F.array_distinct(items))
+    told_apart = kinds(F.concat(words(F.col("line_a")), words(F.col("line_b")))) == kinds(F.split(F.concat("letters_a", "letters_b"), ""))
+    return near & (told_apart | _with(_as_letters(F.col("line_a"), F.col("line_b")), lambda p: within(p["a"], p["b"])))
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -304,28 +328,24 @@ def deduplicate_lines(
     long = sized.filter(F.col("length") >= least_chars)
     counted = sized.filter((F.col("length") >= least_chars) | F.col("line").rlike(r"\p{L}")) if short_copies else long
     place = F.coalesce("id", F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("number")
-    lines = long.select("line", "length", F.xxhash64("line").alias("h1")).withColumn("n_words", F.size(words(F.col("line"))))
+    lines = long.select("line", F.xxhash64("line").alias("h1"))
     # an edit of a character is at most two of words, so from here on the words find all pairs; it moves a line by one word at most
     covered = min((least for least, edits in word_bands if edits >= 2 * max_edits), default=None)
-    spelled = lines if covered is None else lines.filter(F.col("n_words") < covered + max_edits)
-
-    def keyed(shapes: Column, probe: bool) -> DataFrame:
-        """(h1, key) of every line and shape: a row per shape first, so that the key is one small expression; and of its runs of words."""
-        each = spelled.select("line", "length", "h1", F.explode(shapes).alias("shape"))
-        keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
-        return keys.unionByName(word_keys(lines, word_bands, probe)) if word_bands else keys
-
-    heads = keyed(index_shapes(max_edits), False).groupBy("key").agg(F.min("h1").alias("head"))
-    probes = keyed(probe_shapes(max_edits), True)
+    spelled_below = None if covered is None else covered + max_edits
+    keyed = lambda probe: keys_of_lines(lines, probe, max_edits, word_bands, spelled_below)
+    heads = keyed(False).groupBy("key").agg(F.min("h1").alias("head"))
+    probes = keyed(True)
     met = saved(probes.join(heads, "key").filter("h1 <> head").distinct(), "line-lists")
     members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
     wanted = members.select(F.col("h1").alias("key")).distinct()
+    named = lines.filter(maybe_in(key_filter(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
+    spelled = F.lit(True) if spelled_below is None else F.col("n_words") < spelled_below
     candidate = saved(
-        lines.select("line", "h1").filter(maybe_in(key_filter(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
-        .withColumn("n_words", F.size(words(F.col("line")))).withColumn("letters", word_letters(F.col("line"))).withColumn("words", word_parity(F.col("line"))),
+        named.withColumn("n_words", F.size(words(F.col("line")))).withColumn("letters", word_letters(F.col("line")))
+        .withColumn("words", word_parity(F.col("line"))).withColumn("parity", F.when(spelled, pair_parity(F.col("line")))),
         "line-texts",
     )
-    own = ("line", "n_words", "letters", "words")
+    own = ("line", "n_words", "letters", "words", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda n: candidate.select(F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in own])
@@ -339,19 +359,17 @@ def deduplicate_lines(
         )
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = verified(met.select(*ordered("head", "h1")))
-    spelt = candidate.withColumn("parity", pair_parity(F.col("line")))
+    classes = connected_components(verified(met.select(*ordered("head", "h1"))))
 
     def opened(done: int) -> DataFrame:
         """The lists of more than ``done`` members whose members fall into several classes by now."""
-        classes = connected_components(links)
         grouped = members.join(classes, F.col("h1") == F.col("node"), "left").select("key", "h1", F.coalesce("component", "h1").alias("class"))
         several = grouped.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
         some = several.filter((F.col("low") < F.col("high")) & (F.col("n") > F.greatest(F.lit(2), F.lit(done)))).select("key", "n")
         return saved(grouped.join(some, "key"), "line-open")
 
     def close_pairs(some: DataFrame, others: DataFrame) -> DataFrame:
-        side = lambda rows, n: rows.join(spelt, "h1").select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", "parity", *own)])
+        side = lambda rows, n: rows.join(candidate, "h1").select("key", F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("class", *own)])
         one, other = side(some, "a"), side(others, "b")
         return one.join(
             other,
@@ -368,13 +386,13 @@ def deduplicate_lines(
     done, pivots = 0, PIVOTS
     while not (open_ := opened(done)).isEmpty():
         chosen = open_.filter((draw * F.col("n") >= done) & (draw * F.col("n") < pivots))
-        links = links.unionByName(verified(close_pairs(open_, chosen)))
+        near = verified(close_pairs(open_, chosen))
+        classes = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near))
         done, pivots = pivots, pivots * PIVOTS
-    united = connected_components(links)
 
     located = saved(counted.select("id", "text_key", "number", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), place.alias("place")), "line-places")
     placed = located.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).join(
-        united, F.col("h1") == F.col("node"), "left"
+        classes, F.col("h1") == F.col("node"), "left"
     )
     shared = saved(placed.filter("n > 1 or component is not null"), "line-classes")
     alone = shared.filter("component is null").select("h1", "h2", F.col("place").alias("first"))

@@ -139,6 +139,29 @@ def test_lines_of_a_wide_family_take_pivots(spark, monkeypatch):
     assert {row.doc_id: row.text for row in deduplicate_lines(table).collect()} == want
 
 
+def test_keys_of_lines_split_at_all_spaces(spark):
+    """However its words are set apart, a line has the keys of its words, and lines that lack a few words of it meet it."""
+    r = random.Random(3)
+    base = [r.choice(VOCABULARY) for _ in range(85)]
+    gone = [r.sample(range(85), n % 4 + 1) for n in range(20)]
+    edited = [" ".join(w for i, w in enumerate(base) if i not in out) for out in gone]
+    odd = ["\t".join(base), " \x0b\r ".join(base), "  " + " \f".join(base) + " "]
+    lines = spark.createDataFrame([(line,) for line in (" ".join(base), *odd, *edited)], "line string").withColumn("h1", F.xxhash64("line"))
+    first, *others = [x.h1 for x in lines.collect()]
+    posts, probes = [line_dedup.keys_of_lines(lines, probe, 2, WORD_BANDS, 42) for probe in (False, True)]
+    of = {h: sorted(x.key for x in posts.filter(F.col("h1") == h).collect()) for h in (first, *others[:3])}
+    assert len(of[first]) == 7 and all(keys == of[first] for keys in of.values())
+    met = probes.filter(F.col("h1") == first).select("key").join(posts, "key").select("h1").distinct().collect()
+    assert {x.h1 for x in met} == {first, *others}
+
+
+def test_lines_without_open_lists_are_united_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(line_dedup, "connected_components", lambda links: calls.append(1) or connected_components(links))
+    table = spark.createDataFrame([(1, "a line of more than some characters"), (2, "a line of more than some character")], "doc_id long, text string")
+    assert [r.n_dropped for r in deduplicate_lines(table).orderBy("doc_id").collect()] == [0, 1] and len(calls) == 1
+
+
 def test_long_lines_by_words(spark):
     def word_distance(a, b):
         row = list(range(len(b) + 1))
