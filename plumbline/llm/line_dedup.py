@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.frames import col
@@ -15,6 +15,8 @@ from plumbline.llm.graph import connected_components
 NO_ID, LINES = str(2**63), 2**32
 #: A list of several classes is compared with about this many of its lines at first, and with as many times more in each further round.
 PIVOTS = 8
+#: Numbers of 64 bits that tell of the words of a line, see ``word_parity``.
+PARITIES = 4
 #: (least words of a line, edits of whole words allowed): about a tenth of the words, less for the longest lines.
 WORD_BANDS = ((10, 1), (20, 2), (40, 4), (80, 6), (160, 8), (320, 12), (640, 16), (1280, 24), (2560, 32), (5120, 48), (10240, 64), (20480, 96))
 
@@ -31,58 +33,79 @@ def index_shapes(max_edits: int) -> Column:
 
 
 def probe_shapes(max_edits: int) -> Column:
-    """Where to look for the segments of lines of the same length or up to ``max_edits`` shorter, within ``max_edits``.
+    """Where to look for the segments of lines of the same length or up to ``max_edits`` shorter, within ``max_edits``; among them all of ``index_shapes``.
 
     A line that is shorter by d keeps some segment unchanged, and, looking for it from both ends of the line, it
     is enough to seek segment k shifted by s with |s| <= k, |s - d| <= max_edits - k and
     |s| + |s - d| <= max_edits: edits before it and edits behind it.
     """
-    return _shapes([
+    return _shapes(_probes(max_edits))
+
+
+def _probes(max_edits: int) -> list[tuple[int, int, int]]:
+    return [
         (shorter, number, shift)
         for shorter in range(max_edits + 1) for number in range(max_edits + 1) for shift in range(-number, number + 1)
         if abs(shift - shorter) <= max_edits - number and abs(shift) + abs(shift - shorter) <= max_edits
-    ])
+    ]
 
 
 def _shapes(shapes: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("shorter", "number", "shift"))]) for s in shapes])
 
 
-def key_of(line: Column, length: Column, shape: Column, max_edits: int) -> Column:
-    """Hash of a length, a segment's number and the characters at that segment's place; null if they would lie outside."""
+def _place(length: Column, shape: Column, max_edits: int) -> tuple[Column, Column, Column]:
+    """(length of the lines sought, first position from 0, size) of the characters that a shape of a line of ``length`` names."""
     of = length - shape["shorter"]
     start, size = segment(of, shape["number"], max_edits + 1)
-    at = start + shape["shift"]
-    return F.when((at >= 0) & (at + size <= length), F.xxhash64(of, shape["number"], F.substring(line, at + 1, size)))
+    return of, start + shape["shift"], size
 
 
-def _bands(n_words: Column, bands: tuple[tuple[int, int], ...]) -> Column:
-    """array<struct<least, edits, size, own>>: the band of a line, and the one below if lines of that may be near it."""
-    held = []
-    for (least, edits), (above, _) in zip(bands, [*bands[1:], (None, None)]):
-        band = F.struct(F.lit(least).alias("least"), F.lit(edits).alias("edits"), F.lit(least // (edits + 1)).alias("size"))
-        own = F.lit(True) if above is None else n_words < above
-        reached = F.lit(True) if above is None else n_words < above + edits
-        held.append(F.when((n_words >= least) & reached, band.withField("own", own)))
-    return F.filter(F.array(*held), lambda band: band.isNotNull())
+def key_of(line: Column, length: Column, shape: Column, max_edits: int) -> Column:
+    """Hash of a length, a segment's number and the characters at that segment's place; null if they would lie outside."""
+    of, at, size = _place(length, shape, max_edits)
+    return F.when((at >= 0) & (at + size <= length), F.xxhash64(of, shape["number"], F.substring(line, at + 1, size)))
 
 
-def run_shapes(edits: int, probe: bool) -> Column:
-    """The runs of words that a line of a band is posted under, or where it seeks those of others: array<int>, see ``run_and_shift``.
+def run_shapes(edits: int) -> list[tuple[int, int]]:
+    """(run, shift) of the runs of words that a line of a band has or seeks; it is posted under those without a shift.
 
     Of two lines within ``edits`` edits of words, one has a run i unchanged with exactly i edits before it: counting
     the edits that fall into each run, take the first run up to whose end there are fewer edits than runs. So at most
     ``edits - i`` are behind it. Lines seek the runs of lines with no more words than they have, so
     run i stands at a shift from -min(i, edits - i) to i words.
     """
-    shifts = lambda i: range(-min(i, edits - i), i + 1) if probe else (0,)
-    # one text that is split once, when the query is planned: thousands of literals would be nodes of the plan
-    return F.split(F.lit(",".join(str(i * 1024 + shift + 512) for i in range(edits + 1) for shift in shifts(i))), ",").cast("array<int>")
+    return [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), i + 1)]
 
 
-def run_and_shift(shape: Column) -> tuple[Column, Column]:
-    """(run, shift) of one of ``run_shapes``."""
-    return F.shiftright(shape, 10), shape.bitwiseAND(F.lit(1023)) - 512
+#: A shape is one number: posted + 2 * (shift + SHIFTS / 2 + SHIFTS * (number of segment or run + RUNS * (band + BANDS * shorter))).
+SHIFTS, RUNS, BANDS = 1024, 1024, 64
+
+
+def _shape(band: int, number: int, shift: int, shorter: int, posted: bool) -> int:
+    return int(posted) + 2 * (shift + SHIFTS // 2 + SHIFTS * (number + RUNS * (band + BANDS * shorter)))
+
+
+def line_shapes(n_words: Column, max_edits: int, bands: tuple[tuple[int, int], ...], spelled_below: int | None) -> Column:
+    """array<long>: the shapes of a line of so many words, see ``_shape``; the band numbered len(bands) stands for segments of characters.
+
+    A line has the shapes of its own band, and those of the band below, without being posted, if lines of that may be near it.
+    """
+    spelled = [_shape(len(bands), number, shift, shorter, shorter == shift == 0) for shorter, number, shift in _probes(max_edits)]
+    above = [least for least, _ in bands[1:]] + [None]
+    borders = {0, *([] if spelled_below is None else [spelled_below]), *[least for least, _ in bands]}
+    borders |= {up + edits for (_, edits), up in zip(bands, above) if up is not None}
+    shapes = F.lit(None)
+    for n in sorted(borders):
+        held = spelled if spelled_below is None or n < spelled_below else []
+        for i, ((least, edits), up) in enumerate(zip(bands, above)):
+            if least <= n and (up is None or n < up + edits):
+                own = up is None or n < up
+                held = held + [_shape(i, run, shift, 0, own and shift == 0) for run, shift in run_shapes(edits)]
+        # one text that is split once, when the query is planned: thousands of literals would be nodes of the plan
+        every = F.split(F.lit(",".join(map(str, held))), ",").cast("array<long>") if held else F.lit(None).cast("array<long>")
+        shapes = F.when(n_words >= n, every).otherwise(shapes)
+    return shapes
 
 
 def _pieces(line: Column) -> Column:
@@ -91,36 +114,35 @@ def _pieces(line: Column) -> Column:
     return F.array_remove(F.split(spaced, " ", -1), "")
 
 
-def word_keys(lines: DataFrame, bands: tuple[tuple[int, int], ...], probe: bool) -> DataFrame:
-    """(h1, key): hashes of a line's first ``edits + 1`` runs of ``size`` words, or of where it seeks those of others.
-
-    A line is split into words once: what is asked of them stays behind a generator, as a filter would be pushed below the projection
-    and split again. A row per band and shape comes first, so that a key is one small compiled expression.
-    """
-    once = F.explode(F.array(F.transform(_pieces(F.col("line")), lambda word: F.xxhash64(word))))
-    hashed = lines.select("h1", once.alias("hashes")).withColumn("n_words", F.size("hashes")).filter(F.col("n_words") >= bands[0][0])
-    wanted = _bands(F.col("n_words"), bands) if probe else F.filter(_bands(F.col("n_words"), bands), lambda band: band["own"])
-    banded = hashed.select("h1", "n_words", "hashes", F.explode(wanted).alias("band"))
-    shapes = F.lit(None)
-    for least, edits in bands:
-        shapes = F.when(F.col("band.least") == least, run_shapes(edits, probe)).otherwise(shapes)
-    run, shift = run_and_shift(F.col("shape"))
-    placed = banded.select("h1", "n_words", "hashes", "band.least", "band.size", F.explode(shapes).alias("shape"))
-    at = run * F.col("size") + shift
-    key = F.xxhash64("least", run, F.slice("hashes", at + 1, F.col("size")))
-    return placed.filter(at + F.col("size") <= F.col("n_words")).select("h1", key.alias("key"))
+def _once(value: Column) -> Column:
+    """A value behind a generator, so that what is asked of it later does not work it out again."""
+    return F.explode(F.array(value))
 
 
 def keys_of_lines(lines: DataFrame, probe: bool, max_edits: int, bands: tuple[tuple[int, int], ...], spelled_below: int | None) -> DataFrame:
-    """(h1, key): what lines (``line``, ``h1``) are posted under, or where they seek others.
+    """(h1, key, posted): where lines (``line``, ``h1``) seek others, with a mark at what they are posted under; if not ``probe`` the latter only.
 
-    Those of less than ``spelled_below`` words (None: all) by segments of characters, see ``key_of``, and all by runs of words.
+    Those of less than ``spelled_below`` words (None: all) by segments of characters, see ``key_of``, and all by hashes of runs of
+    words. A line is read and split once for all its keys. A row per shape comes first, so that a key is one small compiled expression.
     """
-    spelled = lines if spelled_below is None else lines.filter(F.size(_pieces(F.col("line"))) < spelled_below)
-    shapes = probe_shapes(max_edits) if probe else index_shapes(max_edits)
-    each = spelled.select("line", "h1", F.length("line").alias("length"), F.explode(shapes).alias("shape"))
-    keys = each.select("h1", key_of(F.col("line"), F.col("length"), F.col("shape"), max_edits).alias("key")).filter("key is not null")
-    return keys.unionByName(word_keys(lines, bands, probe)) if bands else keys
+    hashes = F.transform(_pieces(F.col("line")), lambda word: F.xxhash64(word))
+    hashed = lines.select("h1", "line", F.length("line").alias("length"), _once(hashes).alias("hashes"))
+    shaped = hashed.withColumn("n_words", F.size("hashes")).select("*", F.explode(line_shapes(F.col("n_words"), max_edits, bands, spelled_below)).alias("shape"))
+    part = lambda over, of: F.shiftright("shape", over.bit_length() - 1).bitwiseAND(F.lit(of - 1)).cast("int")
+    posted, band = F.col("shape").bitwiseAND(F.lit(1)) == 1, part(2 * SHIFTS * RUNS, BANDS)
+    number, shift = part(2 * SHIFTS, RUNS), part(2, SHIFTS) - SHIFTS // 2
+    spelling = F.struct(part(2 * SHIFTS * RUNS * BANDS, BANDS).alias("shorter"), number.alias("number"), shift.alias("shift"))
+    of, at, size = _place(F.col("length"), spelling, max_edits)
+    fits, key = (at >= 0) & (at + size <= F.col("length")), F.xxhash64(of, number, F.substring(F.col("line"), at + 1, size))
+    if bands:
+        per_band = lambda values: F.get(F.array(*map(F.lit, values)), band)
+        run_size = per_band([least // (edits + 1) for least, edits in bands])
+        at = number * run_size + shift
+        run_key = F.xxhash64(per_band([least for least, _ in bands]), number, F.slice("hashes", at + 1, run_size))
+        in_words = band < len(bands)
+        fits, key = F.when(in_words, at + run_size <= F.col("n_words")).otherwise(fits), F.when(in_words, run_key).otherwise(key)
+    wanted = fits if probe else fits & posted
+    return shaped.filter(wanted).select("h1", key.alias("key"), posted.alias("posted"))
 
 
 def _letters(codes: Column) -> Column:
@@ -128,15 +150,19 @@ def _letters(codes: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c + 0x10000), 8, "0")), "")), "UTF-32")
 
 
-def word_letters(line: Column) -> Column:
-    """The words of a line, each as one character drawn by its hash: equal words are equal, different ones nearly always differ."""
-    return _letters(F.transform(words(line), lambda word: F.pmod(F.xxhash64(word), F.lit(1 << 20))))
+def word_letters(hashes: Column) -> Column:
+    """The words of a line, given by hashes, each as one character: equal words are equal, different ones nearly always differ."""
+    return _letters(F.transform(hashes, lambda word: F.pmod(word, F.lit(1 << 20))))
+
 
+def word_parity(hashes: Column) -> list[Column]:
+    """PARITIES times 64 bits: of each, whether an odd number of a line's words, given by hashes, fall to it. An edit of a word turns at most two.
 
-def word_parity(line: Column) -> Column:
-    """64 bits: of each, whether an odd number of the line's words hash to it. An edit of a word turns at most two."""
+    With 64 bits alone, lines that differ in a few more words than they may, and all lines with many edits, would pass for near.
+    """
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
-    return F.aggregate(words(line), F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(F.xxhash64(word))))
+    turned = lambda i: lambda bits, x: F.when(F.pmod(F.shiftright(x, 6), F.lit(PARITIES)) == i, bits.bitwiseXOR(bit(x))).otherwise(bits)
+    return [F.aggregate(hashes, F.lit(0).cast("long"), turned(i)) for i in range(PARITIES)]
 
 
 def _as_letters(a: Column, b: Column) -> Column:
@@ -149,24 +175,25 @@ def _as_letters(a: Column, b: Column) -> Column:
     return _with(every, lambda known: F.struct(placed(known, a).alias("a"), placed(known, b).alias("b")))
 
 
-def words_within(bands: tuple[tuple[int, int], ...], exact: bool) -> Column:
+def edits_allowed(n_words: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """How many edits of words a line of so many words may be from a longer one; -1 if it has too few."""
+    allowed = F.lit(-1)
+    for least, edits in bands:
+        allowed = F.when(n_words >= least, edits).otherwise(allowed)
+    return allowed
+
+
+def words_within(exact: bool) -> Column:
     """Whether the lines of the two sides (columns of ``_a`` and ``_b``) are within the edits of words that the shorter one allows.
 
-    If not ``exact``, words are told apart by ``word_letters`` only, and a pair too many may pass, but none is lost.
+    If not ``exact``, words are told apart by ``word_letters`` only, and a pair too many may pass, but none is lost. It is
+    kept short, as the JVM never compiles a method of over 8,000 bytes.
     """
     n_a, n_b = F.col("n_words_a"), F.col("n_words_b")
-    turned = F.bit_count(F.col("words_a").bitwiseXOR(F.col("words_b")))
-
-    def of_band(held: Callable[[int], Column]) -> Column:
-        near = F.lit(False)
-        for least, edits in bands:
-            near = F.when(F.least(n_a, n_b) >= least, held(edits)).otherwise(near)
-        return near
-
-    def within(a: Column, b: Column) -> Column:
-        return of_band(lambda edits: F.levenshtein(a, b, edits) >= 0)
-
-    near = of_band(lambda edits: (F.abs(n_a - n_b) <= edits) & (turned <= 2 * edits)) & within(F.col("letters_a"), F.col("letters_b"))
+    edits = F.when(n_a <= n_b, F.col("edits_a")).otherwise(F.col("edits_b"))
+    turned = sum((F.bit_count(F.col(f"words{i}_a").bitwiseXOR(F.col(f"words{i}_b"))) for i in range(1, PARITIES)), F.bit_count(F.col("words0_a").bitwiseXOR(F.col("words0_b"))))
+    within = lambda a, b: F.call_function("levenshtein", a, b, edits) >= 0
+    near = (F.abs(n_a - n_b) <= edits) & (turned <= 2 * edits) & within(F.col("letters_a"), F.col("letters_b"))
     if not exact:
         return near
     kinds = lambda items: F.size(F.array_distinct(items))
@@ -174,6 +201,16 @@ def words_within(bands: tuple[tuple[int, int], ...], exact: bool) -> Column:
     return near & (told_apart | _with(_as_letters(F.col("line_a"), F.col("line_b")), lambda p: within(p["a"], p["b"])))
 
 
+def letters_within(max_edits: int) -> Column:
+    """Whether the lines of the two sides are within the edits of characters; false, never null, where a line has no ``pair_parity``.
+
+    The null of a comparison with it would not keep the other half of the condition, the distance of two long lines, from being worked out.
+    """
+    spelled = F.col("parity_a").isNotNull() & F.col("parity_b").isNotNull()
+    few = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits
+    return spelled & few & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
+
+
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.transform(F.array(value), use)[0]
@@ -332,20 +369,24 @@ def deduplicate_lines(
     # an edit of a character is at most two of words, so from here on the words find all pairs; it moves a line by one word at most
     covered = min((least for least, edits in word_bands if edits >= 2 * max_edits), default=None)
     spelled_below = None if covered is None else covered + max_edits
-    keyed = lambda probe: keys_of_lines(lines, probe, max_edits, word_bands, spelled_below)
-    heads = keyed(False).groupBy("key").agg(F.min("h1").alias("head"))
-    probes = keyed(True)
-    met = saved(probes.join(heads, "key").filter("h1 <> head").distinct(), "line-lists")
-    members = met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct()
+    # a list's rows are dealt out and sorted once, and its first line is found where they lie
+    keys = keys_of_lines(lines, True, max_edits, word_bands, spelled_below)
+    head = F.min(F.when(F.col("posted"), F.col("h1"))).over(Window.partitionBy("key"))
+    found = keys.withColumn("head", head).filter("h1 <> head").select("key", "h1", "head").distinct()
+    met = saved(found.hint("rebalance"), "line-lists")  # in few files, as they are read often
+    members = saved(met.select("key", "h1").unionByName(met.select("key", F.col("head").alias("h1"))).distinct(), "line-members")
     wanted = members.select(F.col("h1").alias("key")).distinct()
     named = lines.filter(maybe_in(key_filter(wanted), F.col("h1"))).join(wanted, F.col("h1") == F.col("key"), "left_semi").distinct()
     spelled = F.lit(True) if spelled_below is None else F.col("n_words") < spelled_below
+    hashes = _once(F.transform(_pieces(F.col("line")), lambda word: F.xxhash64(word)))
+    own = ("line", "n_words", "edits", "letters", *[f"words{i}" for i in range(PARITIES)], "parity")
     candidate = saved(
-        named.withColumn("n_words", F.size(words(F.col("line")))).withColumn("letters", word_letters(F.col("line")))
-        .withColumn("words", word_parity(F.col("line"))).withColumn("parity", F.when(spelled, pair_parity(F.col("line")))),
+        named.select("h1", "line", hashes.alias("hashes")).withColumn("n_words", F.size("hashes")).withColumn("edits", edits_allowed(F.col("n_words"), word_bands))
+        .withColumn("letters", word_letters(F.col("hashes")))
+        .withColumns({f"words{i}": bits for i, bits in enumerate(word_parity(F.col("hashes")))})
+        .withColumn("parity", F.when(spelled, pair_parity(F.col("line")))).select("h1", *own),
         "line-texts",
     )
-    own = ("line", "n_words", "letters", "words", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda n: candidate.select(F.col("h1").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in own])
@@ -354,7 +395,7 @@ def deduplicate_lines(
         few = F.lit(True) if covered is None else F.least("n_words_a", "n_words_b") < covered
         return saved(
             pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-            .filter(words_within(word_bands, exact=True) | (lengths & few & close)).select("a", "b"),
+            .filter(words_within(exact=True) | (lengths & few & close)).select("a", "b"),
             "line-links",
         )
 
@@ -374,11 +415,7 @@ def deduplicate_lines(
         return one.join(
             other,
             (one["key"] == other["key"]) & (F.col("class_a") != F.col("class_b"))
-            & (
-                words_within(word_bands, exact=False)
-                | (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 4 * max_edits)
-                & (F.levenshtein(F.col("line_a"), F.col("line_b"), max_edits) >= 0)
-            ),
+            & (words_within(exact=False) | letters_within(max_edits)),
         ).select(*ordered("a", "b"))
 
     # a line's draw from 0 to 1 is the same in all its lists; a list of n members takes those drawn below pivots / n

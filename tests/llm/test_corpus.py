@@ -155,6 +155,33 @@ def test_keys_of_lines_split_at_all_spaces(spark):
     assert {x.h1 for x in met} == {first, *others}
 
 
+def test_keys_of_lines_come_from_one_pass(spark):
+    """What a line is posted under is among what it seeks, marked, so that lines are read and split once for both."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(VOCABULARY) for _ in range(n)) for n in (4, 10, 19, 20, 21, 39, 43, 44, 79, 83, 85, 86, 170, 20500)]
+    lines = spark.createDataFrame([(text,) for text in texts], "line string").withColumn("h1", F.xxhash64("line"))
+    posts, probes = [line_dedup.keys_of_lines(lines, probe, 2, WORD_BANDS, 42) for probe in (False, True)]
+    assert "Union" not in probes._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((x.h1, x.key) for x in df.collect())
+    assert rows(posts) == rows(probes.filter("posted")) and posts.count() < probes.count()
+    per_line = dict(posts.groupBy("h1").count().collect())
+    spelled, edits = lambda n: 3 * (n < 42), lambda n: max([-1, *[e for least, e in WORD_BANDS if n >= least]])
+    assert [per_line[x.h1] for x in lines.collect()] == [spelled(n) + edits(n) + 1 for n in (len(text.split()) for text in texts)]
+
+
+def test_lines_are_told_apart_before_distances(spark):
+    """Bits alone rule out long lines with more edits than allowed, and no distance of characters is asked for lines without their parity."""
+    r = random.Random(9)
+    line = [r.choice(VOCABULARY) for _ in range(700)]
+    other = [f"new{i}" if i % 25 == 0 else word for i, word in enumerate(line)]
+    of = lambda text: F.transform(F.split(F.lit(text), " "), lambda word: F.xxhash64(word))
+    bits = [spark.range(1).select(*line_dedup.word_parity(of(" ".join(text)))).first() for text in (line, other, line[:-1] + ["new"])]
+    turned = lambda a, b: sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(a, b))
+    assert turned(bits[0], bits[1]) > 2 * 16 and turned(bits[0], bits[2]) <= 2
+    sides = spark.createDataFrame([("a b", "a b", None, None), ("a b", "a b", 1, None), ("a b", "a c", 1, 1), ("a b", "xyz", 1, 1)], "line_a string, line_b string, parity_a long, parity_b long")
+    assert [x[0] for x in sides.select(line_dedup.letters_within(2)).collect()] == [False, False, True, False]
+
+
 def test_lines_without_open_lists_are_united_once(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(line_dedup, "connected_components", lambda links: calls.append(1) or connected_components(links))
